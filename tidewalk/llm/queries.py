@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import line_dedup, mixing
+from tidewalk.llm import decontaminate, line_dedup, mixing, near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.85).drop("th")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -21,6 +25,27 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(documents, _table(spark, sf_dir, "benchmark"), with_text=False)
+    items = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, hash(array_to_string(w[i + 1:i + 5], ' ')) as s from (select doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join both_ways l on l.a = r.b)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join sizes using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by a) c using (doc_id)
+"""
+
 OP2_SQL = r"""
 with sizes as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
@@ -59,10 +84,30 @@ select d.doc_id, coalesce(len(d.l), 0)::bigint as n_lines, coalesce(r.n_removed,
 from lines d left join removed r using (doc_id) left join kept k using (doc_id)
 """
 
+OP5_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+item_windows as (
+  select distinct item_id, least(len(w), 13) as n, array_to_string(w[i + 1:i + least(len(w), 13)], ' ') as x
+  from (select item_id, w, unnest(range(0, greatest(len(w) - 12, 1))) as i from item_words where len(w) > 0)),
+lengths as (select distinct n from item_windows),
+windows as (
+  select doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') as x
+  from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as i from words, lengths where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from windows join item_windows using (n, x)),
+hit_words as (select doc_id, count(distinct k) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as k from (select distinct doc_id, i, n from hits)) group by doc_id),
+hit_items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words left join hit_words using (doc_id) left join hit_items using (doc_id)
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_line_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op5_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
