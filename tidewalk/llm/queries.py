@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import decontaminate, line_dedup, mixing, near_dedup
+from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = language_id.fit(documents, public_tokenizers.path("piece_bpe_32k.model"))
+    out = language_id.predict(documents, model, ["doc_id"])
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -106,7 +119,7 @@ from words left join hit_words using (doc_id) left join hit_items using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op5_decontaminate)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op5_decontaminate, op8_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
