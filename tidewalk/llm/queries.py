@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, token_counts
+from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, token_counts
+from tidewalk.llm.scratch import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut(mpeg.with_media(_table(spark, sf_dir, "documents")), "media")
+    read = mpeg.read_media(stored)
+    offsets = F.crc32(F.array_join("seek_offsets", ","))
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{name}="), F.col(name).cast("string")) for name in ("n_frames", "samples", "sample_rate", "duration_s", "table_fits", "n_checked", "n_broken", "n_skipped")], F.concat(F.lit("seek="), offsets.cast("string")))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -mpeg.PAYLOAD_UNIT, mpeg.PAYLOAD_UNIT)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = language_id.fit(documents, public_tokenizers.path("piece_bpe_32k.model"))
@@ -119,7 +132,7 @@ from words left join hit_words using (doc_id) left join hit_items using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op5_decontaminate, op8_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op5_decontaminate, op8_token_counts, op9_mpeg_audio, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
