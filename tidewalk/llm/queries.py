@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, token_counts
+from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts
 from tidewalk.llm.scratch import cut
 
 
@@ -27,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(documents, _table(spark, sf_dir, "benchmark"), with_text=False)
@@ -132,7 +136,7 @@ from words left join hit_words using (doc_id) left join hit_items using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op5_decontaminate, op8_token_counts, op9_mpeg_audio, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op8_token_counts, op9_mpeg_audio, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
