@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts
+from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts, toxicity
 from tidewalk.llm.scratch import cut
 
 
@@ -38,6 +38,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    net = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(documents, net, ["doc_id"])
+    held_out = language_id.held_out(F.col("doc_id"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -136,7 +144,7 @@ from words left join hit_words using (doc_id) left join hit_items using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op8_token_counts, op9_mpeg_audio, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op7_toxicity, op8_token_counts, op9_mpeg_audio, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
