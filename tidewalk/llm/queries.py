@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts, toxicity
+from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts, tool_calls, toxicity
 from tidewalk.llm.scratch import cut
 
 
@@ -38,6 +38,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tool_calls.link_tool_calls(*tool_calls.calls_in(_table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "call_id", "name", "layer", "result_turn", "status", F.array_join("problems", "; ").alias("problems"), F.sha2("json", 256).alias("json_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     net = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
@@ -142,10 +147,36 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from words left join hit_words using (doc_id) left join hit_items using (doc_id)
 """
 
+OP6_SQL = r"""
+with recursive calls as (
+  select conv_id, turn, 'call-' || turn as call_id, ['search', 'lookup', 'translate'][turn % 3 + 1] as name, coalesce(text, '') as text,
+    case when length(text) % 7 = 0 then to_json(turn::varchar) else to_json(turn) end as lim, coalesce(length(text) % 7 = 0, false) as odd,
+    case when turn // 2 >= 1 then ((turn // 2 - 1) // 2) * 2 + turn % 2 end as parent
+  from conversations where role = 'user'),
+results as (select conv_id, turn - 1 as for_turn, turn as result_turn, text as content from conversations where role = 'assistant'),
+layer(conv_id, turn, n) as (
+  select c.conv_id, c.turn, 0 from calls c left join calls p on p.conv_id = c.conv_id and p.turn = c.parent where p.turn is null
+  union all
+  select c.conv_id, c.turn, l.n + 1 from layer l join calls c on c.conv_id = l.conv_id and c.parent = l.turn),
+full_rows as (
+  select c.*, l.n as layer, r.result_turn, r.content, r.for_turn is not null as has_result, c.parent is not null and p.turn is null as absent
+  from calls c join layer l using (conv_id, turn) left join results r on r.conv_id = c.conv_id and r.for_turn = c.turn left join calls p on p.conv_id = c.conv_id and p.turn = c.parent)
+select conv_id, turn, call_id, name, layer::int as layer, result_turn, case when has_result then 'linked' else 'pending' end as status,
+  concat_ws('; ', case when name = 'translate' then 'missing lang' end, case when name = 'translate' then 'unknown limit' end,
+    case when name <> 'translate' and odd then 'wrong type limit' end, case when absent then 'unknown dependency call-' || parent end) as problems,
+  sha256('{"arguments":{"limit":' || lim || ',"text":' || to_json(text) || '},"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id || ',"depends_on":['
+    || coalesce('"call-' || parent || '"', '') || '],"name":"' || name || '","result":' || coalesce(to_json(content), 'null') || ',"turn":' || turn || '}') as json_sha256
+from full_rows
+union all
+select conv_id, null, 'call-' || for_turn, null, null, result_turn, 'orphan', '',
+  sha256('{"call_id":' || to_json('call-' || for_turn) || ',"conv_id":' || conv_id || ',"result":' || coalesce(to_json(content), 'null') || '}')
+from results r where not exists (select 1 from calls c where c.conv_id = r.conv_id and c.turn = r.for_turn)
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op7_toxicity, op8_token_counts, op9_mpeg_audio, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op6_tool_calls, op7_toxicity, op8_token_counts, op9_mpeg_audio, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_tool_calls": OP6_SQL}
