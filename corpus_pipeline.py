@@ -1 +1,68 @@
-"""placeholder"""
+"""A corpus pipeline: five stages over the table of documents, each on all that the one before kept.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents. SQL can't express the first and third stage's methods, so there is
+no SQL for the whole; the stages are tested against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, near_dedup
+from tidewalk.llm.scratch import cut
+
+#: Least posterior chance of the predicted language.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose text is of a learned language; those without a letter or without a clear language go."""
+    model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    found = language_id.predict(docs, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove the lines that later occurrences of three-line windows cover. A document that loses all stays, empty."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near-duplicates, that of least doc_id."""
+    found = near_dedup.near_duplicates(docs)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which the benchmark's passages make at least a twentieth."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, by source weights."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix_sources),
+]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
