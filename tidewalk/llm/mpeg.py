@@ -77,7 +77,7 @@ def parse_header(word: bytes) -> Header | None:
 
 
 def _header(index: int, checked: bool) -> bytes:
-    return bytes([0xFF, 0xFB & ~checked, index << 4, 0xC0])
+    return bytes([0xFF, 0xFA if checked else 0xFB, index << 4, 0xC0])
 
 
 @lru_cache(1)
