@@ -1,24 +1,21 @@
 """Near-duplicate components by a chosen-path set similarity join on MinHash values.
 
 A document is the set of its distinct shingles of five words (A-Z in lower case, parted by ASCII white space), or of its
-whole sequence if it has fewer words. Equal sets become one vertex. Each of ``TREES`` independent trees starts by branching on
-the token (shingle) of least hash; a node that is too large branches again on the least tokens under two further hash
-functions that its path chooses, and a small node is compared exhaustively. At similarity s a pair meets in one tree's
-root with chance s and survives a deeper level with chance 1 - (1 - s)^2, so eight trees miss fewer than 3 in a million
-pairs at 0.8.
-
-Two things keep dense groups linear. Every member of a node is first compared with the node's leader (and with a few
-pivots), links are confirmed on the full sets, and members that are then in one component are not compared with each
-other. And if few members of a large node stay outside its leader's component, these are compared with the node in
-blocks instead of branching on. No node, pair or partner is capped: what is still large at the last level goes through the
-same blocks.
-
-Pairs are dropped before confirmation only if the 128 MinHash values agree in fewer places than a pair at the threshold
-does with a chance below 1 in 100,000.
+whole sequence if it has fewer words. Equal sets become one vertex. In each of ``TREES`` independent trees a path first chooses
+two hash functions and follows the tokens (shingles) of least hash under them; a node of more than ``BLOCK`` members
+branches on, each time on the least tokens under two further functions that its path chooses, and a small node is
+compared exhaustively. At similarity s a pair meets in one tree's first node with chance s**2 and survives a deeper level
+with chance 1 - (1 - s)**2, so sixteen trees miss fewer than one pair in a million at 0.8.
+
+Nodes are compared on 128 MinHash values, which only drops pairs that agree in fewer places than a pair at the threshold does
+with a chance below 1 in 100,000. What is similar by them makes clusters, equal ones of different trees count once, and
+in each cluster the full shingle sets confirm links. A walk from member to linked member tests only those not yet
+reached and hands on the links it walked, so a dense group yields a tree of links and not all its pairs. No node, pair
+or partner is capped: a node that is still large at the last level is compared in pairs of blocks.
 
 Defined results: null or wordless texts have 0 shingles and are linked with nothing, not even each other; a null
-``doc_id`` comes after all others as a component's name; documents of equal ``doc_id`` share what their texts give each; repeated
-rows give repeated results; an empty table gives an empty result; further columns of the input are ignored.
+``doc_id`` is no component's name unless there is no other; documents of equal ``doc_id`` share what their texts give each;
+repeated rows give repeated results; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,17 +32,17 @@ from tidewalk.llm.bytesets import SPACED, U, Words, mixed, slices
 from tidewalk.llm.scratch import cut
 
 SHINGLE = 5
-COORDINATES, TREES = 128, 8
-#: Members of a node that are compared exhaustively in one block; members outside the leader's component of a node
-#: that is compared in blocks at once; levels of branching.
-BLOCK, FEW, LEVELS = 512, 64, 6
+COORDINATES, TREES = 128, 16
+#: Members of a node that are compared exhaustively; levels of branching.
+BLOCK, LEVELS = 1024, 6
 #: Copies of a joined row that the rows of a hot key are dealt to.
 SALT = 8
+#: Documents whose names are broadcast to fetch their texts; beyond it the texts are shuffled.
+BROADCAST_NAMES = 200_000
 
 _random = np.random.default_rng(85)
 _XOR = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _TIMES = _random.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ROOTS = _random.integers(0, 1 << 63, TREES, dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,32 +57,32 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sketch(batches):
-    """doc_id, th, n, s1, s2 (hashes of the whole set), roots, sig."""
+    """doc_id, th, n, s1, s2 (hashes of the whole set), paths (first node in each tree), sig."""
     for batch in batches:
         for i, j, data, at in slices(batch.column(2), 1 << 20):
             hashes, at = shingle_sets(data, at)
             n = np.diff(at)
             full = np.flatnonzero(n)
             starts = at[full]
-            roots = np.zeros((len(n), TREES), U)
+            paths = np.zeros((len(n), TREES), U)
             sig = np.zeros((len(n), COORDINATES), np.uint16)
             sums = np.zeros((2, len(n)), U)
             if len(full):
                 for k in range(2):
                     run = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes ^ U(0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1)), dtype=U)])
                     sums[k] = mixed(run[at[1:]] - run[at[:-1]])
-                for k in range(TREES):
-                    roots[full, k] = np.minimum.reduceat(mixed(hashes ^ _ROOTS[k]), starts)
                 low = (hashes >> U(32)).astype(np.uint32)
                 for k in range(COORDINATES):
                     least = np.minimum.reduceat((low ^ _XOR[k]) * _TIMES[k], starts)
                     sig[full, k] = (least & np.uint32(0xFFFF)).astype(np.uint16)
+                    if k < 2 * TREES:
+                        paths[full, k // 2] = mixed(paths[full, k // 2] ^ least.astype(U) + U(k))
             own = [batch.column(c).slice(i, j - i) for c in range(2)]
             yield pa.RecordBatch.from_arrays([
                 *own, pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), pa.array(roots.ravel().view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), pa.array(paths.ravel().view(np.int64))),
                 pa.array([bytes(x) for x in sig.view(np.uint8).reshape(len(n), -1)], pa.binary()),
-            ], names=["doc_id", "th", "n", "s1", "s2", "roots", "sig"])
+            ], names=["doc_id", "th", "n", "s1", "s2", "paths", "sig"])
 
 
 def _salted(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
@@ -102,48 +99,97 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), COORDINATES)
 
 
-def _similar(pairs: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose MinHash values agree in enough places."""
-    least = least_agreement(threshold)
-    sig = vertices.select("v", "sig")
-
-    def keep(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                agree = (_matrix(part.column(2)) == _matrix(part.column(3))).sum(1)
-                yield part.select([0, 1]).filter(pa.array(agree >= least))
-
-    pairs = pairs.join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sa")), "a")
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that the full shingle sets confirm."""
-    percent = round(threshold * 100)
-
-    def confirm(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sets = {}
-                for ids, column in ((part.column(0), part.column(2)), (part.column(1), part.column(3))):
-                    new = {v: k for k, v in enumerate(ids.to_pylist()) if v not in sets}
-                    own = column.take(pa.array(list(new.values()), pa.int64()))
-                    for first, _, data, at in slices(own, 1 << 20):
-                        hashes, at = shingle_sets(data, at)
-                        for k, v in enumerate(list(new)[first : first + len(at) - 1]):
-                            sets[v] = hashes[at[k] : at[k + 1]]
-                good = []
-                for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    x, y = sets[a], sets[b]
-                    both = np.intersect1d(x, y, True).size if 100 * min(x.size, y.size) >= percent * max(x.size, y.size) else 0
-                    good.append(100 * both >= percent * (x.size + y.size - both))
-                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    text = texts.select("v", "text")
-    pairs = pairs.join(text.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
+def _groups(batches, key: int = 0):
+    """Tables of all rows of one value of column ``key``, from batches sorted by it."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+        if table.num_rows:
+            ids = np.asarray(table.column(key))
+            cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield table.slice(a, b - a)
+            rest = table.slice(int(cuts[-1]))
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _agreeing(sig: np.ndarray, least: int, k: int, others: np.ndarray) -> np.ndarray:
+    return others[(sig[others] == sig[k]).sum(1) >= least]
+
+
+def _walk(n: int, linked):
+    """Links of a forest that joins what ``linked(k, others)`` links: each member asks only for members not yet reached."""
+    left = np.arange(n)
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            k = todo.pop()
+            found = linked(k, left)
+            if len(found):
+                left = left[~np.isin(left, found, True)]
+                todo += found.tolist()
+                yield from ((k, int(x)) for x in found)
+
+
+def _clusters(batches, least: int):
+    """cluster, v from node, v, sig sorted by node: members of a node that MinHash values join."""
+    clusters, members = [], []
+
+    def out():
+        batch = pa.RecordBatch.from_arrays([pa.array(np.array(clusters, np.int64)), pa.array(np.array(members, np.int64))], names=["cluster", "v"])
+        clusters.clear()
+        members.clear()
+        return batch
+
+    for table in _groups(batches):
+        v, sig = np.asarray(table.column(1)), _matrix(table.column(2).combine_chunks())
+        root = np.arange(len(v))
+        for a, b in _walk(len(v), lambda k, others: _agreeing(sig, least, k, others)):
+            root[b] = root[a]
+        order = np.argsort(root, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(root[order])) + 1, [len(v)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 1:
+                own = np.sort(v[order[a:b]])
+                name = int(mixed(np.bitwise_xor.reduce(mixed(own.astype(U)), keepdims=True) + U(len(own))).view(np.int64)[0])
+                clusters += [name] * len(own)
+                members += own.tolist()
+        if len(members) > 100_000:
+            yield out()
+    yield out()
+
+
+def _links(batches, least: int, percent: int):
+    """a, b from cluster, v, sig, text sorted by cluster: confirmed links that join what is linked."""
+    for table in _groups(batches):
+        v, first = np.unique(np.asarray(table.column(1)), return_index=True)
+        table = table.take(pa.array(first))
+        sig = _matrix(table.column(2).combine_chunks())
+        sets, at = [], [np.zeros(1, np.int64)]
+        for _, _, data, own in slices(table.column(3), 1 << 20):
+            hashes, own = shingle_sets(data, own)
+            sets.append(hashes)
+            at.append(own[1:] + at[-1][-1])
+        at = np.concatenate(at)
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        size, mark = np.diff(at), np.zeros(len(names), np.int64)
+
+        def linked(k, others):
+            others = _agreeing(sig, least, k, others)
+            others = others[100 * np.minimum(size[others], size[k]) >= percent * np.maximum(size[others], size[k])]
+            if not len(others):
+                return others
+            n = size[others]
+            offset = np.cumsum(n) - n
+            mark[ids[at[k] : at[k + 1]]] = 1
+            both = np.add.reduceat(mark[ids[np.arange(n.sum()) - np.repeat(offset - at[others], n)]], offset)
+            mark[ids[at[k] : at[k + 1]]] = 0
+            return others[100 * both >= percent * (n + size[k] - both)]
+
+        pairs = np.array(list(_walk(len(v), linked)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(v[pairs[:, 0]]), pa.array(v[pairs[:, 1]])], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,130 +206,65 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
-def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    return nodes.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
-
-
-def _open_nodes(members: DataFrame, pivots: int = 0) -> DataFrame:
-    """Nodes whose members aren't in one component yet: size, leader, its label, members outside that, and pivots."""
-    picks = [F.min_by(F.struct("v", "label"), F.xxhash64("v", F.lit(k))).alias(f"p{k}") for k in range(pivots)]
-    stats = members.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("v", "label")).alias("leader"), *picks)
-    return stats.filter("low < high").drop("low", "high")
-
-
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _block_pairs(members: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
-    """Compare, in each node, the members outside the leader's component with all: rows key, v, label, m, main."""
-    least = least_agreement(threshold)
-    rows = members.withColumn("outside", F.col("label") != F.col("main")).withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
-    rows = rows.select(F.xxhash64("key", "block").alias("node"), "v", "label", "outside").join(vertices.select("v", "sig"), "v")
-
-    def compare(rows_of_node):
-        v, label, outside = (np.asarray(rows_of_node[c]) for c in ("v", "label", "outside"))
-        sig = _matrix(rows_of_node["sig"].combine_chunks() if isinstance(rows_of_node["sig"], pa.ChunkedArray) else rows_of_node["sig"])
-        for k in np.flatnonzero(outside):
-            agree = ((sig == sig[k]).sum(1) >= least) & (label != label[k]) & (~outside | (v > v[k]))
-            yield np.stack([np.minimum(v[agree], v[k]), np.maximum(v[agree], v[k])])
-
-    def scan(batches):
-        rest = None
-
-        def groups(table):
-            ids = np.asarray(table["node"])
-            cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
-            return [table.slice(a, b - a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-
-        def out(tables):
-            found = [x for t in tables for x in compare(t)]
-            a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            if table.num_rows:
-                *whole, rest = groups(table)
-                yield out(whole)
-        if rest is not None:
-            yield out([rest])
-
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(scan, "a long, b long").distinct()
-
-
-def _branches(members: DataFrame, vertices: DataFrame, level: int) -> DataFrame:
+def _branches(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """Children of large nodes by the least tokens under two hash functions that the node's path chooses."""
-    rows = members.select("key", "v").join(vertices.select("v", "sig"), "v")
+    rows = members.select("key", "v").join(sets.select("v", "sig"), "v")
     which = F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(level), F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(2)]))
     rows = rows.select("key", "v", "sig", which.alias("i"))
     return rows.select(F.xxhash64("key", "i", F.substring(F.col("sig"), F.col("i") * 2 + 1, F.lit(2))).alias("key"), "v").distinct()
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """The nodes of at least two members."""
-    sizes = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("v").alias("leader")).filter("m > 1")
-    return _salted(nodes, sizes, ["key"], "v")
+    """key, v, m of the nodes of at least two members."""
+    return _salted(nodes, nodes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), ["key"], "v")
+
+
+def _block_pairs(nodes: DataFrame) -> DataFrame:
+    """Nodes of at most BLOCK members in place of larger ones: every pair of blocks of half that size makes one."""
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK // 2)).cast("int")
+    rows = nodes.withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.least("home", "other"), F.greatest("home", "other")).alias("key"), "v")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id linked with it, itself included), kept, th (xxhash64 of the text)."""
     hashed = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sketches = cut(hashed.mapInArrow(_sketch, "doc_id long, th long, n long, s1 long, s2 long, roots array<long>, sig binary"), "sketches")
-    sets = sketches.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th")).alias("row"))
-    sets = cut(sets.withColumn("v", F.monotonically_increasing_id()), "sets")
-    vertices = sets.select("v", F.col("row.doc_id").alias("doc_id"), F.col("row.th").alias("th"))
-    own = sketches.filter("n > 0").select("doc_id", "th", "roots", "sig")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    vertices = vertices.join(own, same(vertices, own)).select("v", vertices["doc_id"], vertices["th"], "roots", "sig").dropDuplicates(["v"])
-    vertices = cut(vertices, "vertices")
-
-    nodes = vertices.select("v", F.posexplode("roots").alias("tree", "root")).select(F.xxhash64("tree", "root").alias("key"), "v")
-    nodes = cut(_shared(nodes), "nodes")
-    needed = vertices.join(nodes.select("v").distinct(), "v").select("v", "doc_id", "th")
-    texts = hashed.join(needed, same(hashed, needed)).select("v", "text").dropDuplicates(["v"])
-    texts = cut(texts, "texts")
-
-    links = []
-
-    def settle(pairs: DataFrame) -> DataFrame:
-        """Confirm pairs, and label the components that all links so far make."""
-        links.append(cut(_linked(cut(pairs, "pairs"), texts, threshold), "links"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        return components(edges)
-
-    labels = settle(_similar(nodes.filter("v != leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct(), vertices, threshold))
-    nodes = nodes.filter("m > 2").select("key", "v")
-    for level in range(LEVELS + 1):
-        members = _labelled(nodes, labels)
-        open_nodes = cut(_open_nodes(members, 3), "open")
-        if not open_nodes.count():
-            break
-        members = cut(_salted(members, open_nodes, ["key"], "v"), "members")
-        pivots = F.explode(F.array("p0", "p1", "p2", "leader")).alias("p")
-        pairs = members.select("v", "label", pivots).filter("label != p.label").select("v", F.col("p.v").alias("p")).select(*_pair("v", "p")).distinct()
-        labels = settle(_similar(pairs, vertices, threshold))
-        members = _labelled(members.select("key", "v"), labels)
-        open_nodes = _open_nodes(members).select("key", "m", F.col("leader.label").alias("main"))
-        members = _salted(members, open_nodes, ["key"], "v")
-        few = members.groupBy("key").agg(F.sum((F.col("label") != F.col("main")).cast("int")).alias("outside"))
-        members = cut(_salted(members, few, ["key"], "v"), "members")
-        ready = (F.col("m") <= BLOCK) | (F.col("outside") <= FEW) | F.lit(level == LEVELS)
-        labels = settle(_block_pairs(members.filter(ready), vertices, threshold))
-        large = members.filter(~ready)
+    sketches = cut(hashed.mapInArrow(_sketch, "doc_id long, th long, n long, s1 long, s2 long, paths array<long>, sig binary"), "sketches")
+    full = sketches.filter("n > 0")
+    sets = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th", "paths", "sig")).alias("row"))
+    sets = cut(sets.select("s1", "s2", "rep", "row.*").withColumn("v", F.monotonically_increasing_id()), "sets")
+
+    least, percent = least_agreement(threshold), round(threshold * 100)
+    nodes = cut(_shared(sets.select("v", F.posexplode("paths").alias("tree", "path")).select(F.xxhash64("tree", "path").alias("key"), "v")), "nodes")
+    leaves = [nodes.filter(F.col("m") <= BLOCK).select("key", "v")]
+    for level in range(LEVELS):
+        large = nodes.filter(F.col("m") > BLOCK)
         if not large.limit(1).count():
             break
-        nodes = cut(_shared(_branches(large, vertices, level)).filter("m > 1").select("key", "v"), "nodes")
-
+        nodes = cut(_shared(_branches(large, sets, level)), "nodes")
+        leaves.append(nodes.filter(F.col("m") <= BLOCK).select("key", "v"))
+    else:
+        leaves.append(_block_pairs(nodes.filter(F.col("m") > BLOCK)))
+    small = leaves[0]
+    for more in leaves[1:]:
+        small = small.unionByName(more)
+    small = small.join(sets.select("v", "sig"), "v").select("key", "v", "sig").repartition("key").sortWithinPartitions("key")
+    clusters = cut(small.mapInArrow(lambda rows: _clusters(rows, least), "cluster long, v long").distinct(), "clusters")
+
+    wanted = clusters.select("v").distinct().join(sets.select("v", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "v")
+    wanted = cut(wanted, "wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    texts = hashed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NAMES else wanted, same).select("v", "text")
+    texts = clusters.join(texts, "v").join(sets.select("v", "sig"), "v").select("cluster", "v", "sig", "text")
+    texts = texts.repartition("cluster").sortWithinPartitions("cluster")
+    links = texts.mapInArrow(lambda rows: _links(rows, least, percent), "a long, b long").distinct()
+
+    labels = components(cut(links, "links"))
     named = sets.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = cut(named.select("s1", "s2", "label").join(least, "label").drop("label"), "named")
-    full = _salted(sketches.filter("n > 0").select("doc_id", "th", "n", "s1", "s2"), named, ["s1", "s2"], "doc_id")
+    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.select("s1", "s2", "label").join(names, "label").drop("label")
+    rows = _salted(full.select("doc_id", "th", "n", "s1", "s2"), named, ["s1", "s2"], "doc_id")
     out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th"]
     empty = sketches.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return full.select(*out).unionByName(empty.select(*out))
+    return rows.select(*out).unionByName(empty.select(*out))
