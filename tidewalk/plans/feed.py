@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,17 @@ from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import adjacency, age_days, clamp01, duration_bucket
 from tidewalk.operators import profiles, ranking, retrieval, sessions, states
 from tidewalk.sources import tables
+from tidewalk.sources.shared import cut
+
+
+def stage(f):
+    """A stage that several others read: it is written once to the shared folder and read from there."""
+
+    @wraps(f)
+    def written(self):
+        return cut(f(self), f.__name__)
+
+    return cached_property(written)
 
 
 class Feed:
@@ -26,7 +37,7 @@ class Feed:
     def interactions(self) -> DataFrame:
         return tables.interactions(self.spark, self.folder)
 
-    @cached_property
+    @stage
     def catalog(self) -> DataFrame:
         return tables.catalog(self.spark, self.folder)
 
@@ -34,11 +45,11 @@ class Feed:
     def users(self) -> DataFrame:
         return tables.users(self.spark, self.folder)
 
-    @cached_property
+    @stage
     def features(self) -> DataFrame:
         return profiles.item_features(self.catalog)
 
-    @cached_property
+    @stage
     def states(self) -> DataFrame:
         return states.project_states(self.interactions)
 
@@ -46,7 +57,7 @@ class Feed:
     def excluded(self) -> DataFrame:
         return self.states.filter("excluded").select("user_id", "project_id")
 
-    @cached_property
+    @stage
     def sessionized(self) -> DataFrame:
         return sessions.sessionize(self.interactions, self.timeout)
 
@@ -54,7 +65,7 @@ class Feed:
     def sessions(self) -> DataFrame:
         return sessions.sessions(self.sessionized)
 
-    @cached_property
+    @stage
     def active(self) -> DataFrame:
         return sessions.active_sessions(self.sessions, self.now, self.timeout)
 
@@ -82,35 +93,35 @@ class Feed:
         topics = self.tags.select(F.col("tag").alias("topic"), F.concat(F.lit("tag:"), "tag").alias("feature"), F.lit(1.0).alias("value"))
         return profiles.onboarding_signals(self.answers, topics, self.features)
 
-    @cached_property
+    @stage
     def long_term(self) -> DataFrame:
         return profiles.long_term_profile(self.history, self.features, self.onboarding, self.now)
 
-    @cached_property
+    @stage
     def session_profile(self) -> DataFrame:
         return profiles.normalize(profiles.interaction_signals(self.session_rows, self.features))
 
-    @cached_property
+    @stage
     def confidence(self) -> DataFrame:
         return sessions.session_confidence(sessions.session_evidence(self.session_rows), self.session_profile)
 
-    @cached_property
+    @stage
     def effective(self) -> DataFrame:
         return sessions.blend(self.long_term, self.session_profile, self.confidence)
 
-    @cached_property
+    @stage
     def popularity(self) -> DataFrame:
         return retrieval.popularity_scores(self.catalog, retrieval.popularity_evidence(self.interactions))
 
-    @cached_property
+    @stage
     def popular(self) -> DataFrame:
         return retrieval.popularity_candidates(self.popularity, self.users, self.excluded)
 
-    @cached_property
+    @stage
     def affinities(self) -> DataFrame:
         return retrieval.affinity(self.effective, self.features)
 
-    @cached_property
+    @stage
     def content(self) -> DataFrame:
         return retrieval.content_candidates(self.affinities, self.catalog, self.excluded)
 
@@ -122,11 +133,11 @@ class Feed:
     def pairs(self) -> DataFrame:
         return retrieval.item_pairs(self.signals)
 
-    @cached_property
+    @stage
     def collaborative_scores(self) -> DataFrame:
         return retrieval.collaborative_scores(self.signals, self.pairs, self.excluded)
 
-    @cached_property
+    @stage
     def collaborative(self) -> DataFrame:
         return retrieval.collaborative_candidates(self.collaborative_scores, self.catalog)
 
@@ -136,15 +147,15 @@ class Feed:
         vectors = self.session_profile.join(self.confidence.select("user_id"), "user_id", "left_semi")
         return retrieval.affinity(vectors, self.features).select("user_id", "project_id", F.col("affinity").alias("raw"), F.greatest(F.lit(0.0), "affinity").alias("score"))
 
-    @cached_property
+    @stage
     def frame(self) -> DataFrame:
         return retrieval.item_signals(self.users, self.catalog, self.popularity, self.affinities, self.collaborative_scores)
 
-    @cached_property
+    @stage
     def exploration(self) -> DataFrame:
         return retrieval.exploration_candidates(self.frame, self.excluded)
 
-    @cached_property
+    @stage
     def merged(self) -> DataFrame:
         return ranking.merge_candidates({
             "content": self.content.withColumnRenamed("affinity", "signal"), "collaborative": self.collaborative.withColumnRenamed("collaborative", "signal"),
@@ -155,7 +166,7 @@ class Feed:
     def filtered(self) -> DataFrame:
         return ranking.filter_candidates(self.merged, self.catalog, self.excluded)
 
-    @cached_property
+    @stage
     def weights(self) -> DataFrame:
         """Ranking weights of each user."""
         yes = lambda df, name: df.select("user_id").distinct().withColumn(name, F.lit(True))
@@ -175,7 +186,7 @@ class Feed:
         saved = self.states.filter("saved").select("user_id", "project_id", F.lit(True).alias("saved"))
         return rows.join(saved, ["user_id", "project_id"], "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
 
-    @cached_property
+    @stage
     def ranked(self) -> DataFrame:
         return ranking.rank_candidates(self.inputs)
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import age_days, clamp01, duration_bucket, exploration_limit, discovery_mode, diversification_lambda, fnv1a, format_duration, format_score, interaction_weight, max_items_per_tag, r9, time_decay
-from tidewalk.operators import profiles, ranking, retrieval, sessions, states
+from tidewalk.operators import bpr, evaluation, profiles, ranking, retrieval, saved, sessions, states
 from tidewalk.oracle import AGE, BUCKET, NOW, sql
 from tidewalk.plans.feed import Feed
+from tidewalk.sources.shared import cut
+from tidewalk.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -293,6 +295,194 @@ def impression_dedupe(feed: Feed) -> DataFrame:
     return sessions.dedupe_impressions(feed.sessionized)
 
 
+_SAVED = {
+    "page": "select s.user_id, s.project_id, s.last_save as saved_at, s.built, s.completed, c.slug, c.title, c.tag_slugs, c.language_slugs, c.difficulty, c.estimated_hours, greatest(0, coalesce(f.affinity, 0)) as match_score, f.novelty as novelty_score from states s join catalog c using (project_id) join item_frame f on f.user_id = s.user_id and f.project_id = s.project_id where s.saved",
+}
+
+
+@query("select user_id, project_id, saved_at, title, match_score, novelty_score, built, completed from page", _SAVED)
+def saved_page(feed: Feed) -> DataFrame:
+    return saved.saved_page(feed.states, feed.catalog, feed.frame).select("user_id", "project_id", "saved_at", "title", "match_score", "novelty_score", "built", "completed")
+
+
+@query("""select 'recent' as sort, user_id, project_id, row_number() over (partition by user_id order by saved_at desc, slug) as place from page
+  union all select 'match', user_id, project_id, row_number() over (partition by user_id order by match_score desc, saved_at desc, slug) from page
+  union all select 'shortest', user_id, project_id, row_number() over (partition by user_id order by estimated_hours, saved_at desc, slug) from page
+  union all select 'difficulty', user_id, project_id, row_number() over (partition by user_id order by case difficulty when 'BEGINNER' then 0 when 'INTERMEDIATE' then 1 else 2 end, saved_at desc, slug) from page
+  union all select 'adventurous', user_id, project_id, row_number() over (partition by user_id order by novelty_score desc, saved_at desc, slug) from page""", _SAVED)
+def saved_sorted(feed: Feed) -> DataFrame:
+    page = saved.saved_page(feed.states, feed.catalog, feed.frame)
+    parts = [saved.sort_saved(page, sort).select(F.lit(sort).alias("sort"), "user_id", "project_id", F.col("place").cast("long")) for sort in saved.SORTS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("select user_id, 'tag' as kind, t as value, count(*) as n from (select user_id, unnest(tag_slugs) as t from page) group by all union all select user_id, 'language', t, count(*) from (select user_id, unnest(language_slugs) as t from page) group by all", _SAVED)
+def saved_facets(feed: Feed) -> DataFrame:
+    return saved.facets(saved.saved_page(feed.states, feed.catalog, feed.frame))
+
+
+@query(f"select user_id, project_id from page where list_contains(tag_slugs, 'red') and difficulty = 'BEGINNER' and {BUCKET} = 'ONE_TO_TWO_WEEKS'", _SAVED)
+def saved_filtered(feed: Feed) -> DataFrame:
+    page = saved.saved_page(feed.states, feed.catalog, feed.frame)
+    return saved.apply_filters(page, tag="red", difficulty="BEGINNER", duration="ONE_TO_TWO_WEEKS").select("user_id", "project_id")
+
+
+def _runs(feed: Feed) -> DataFrame:
+    return feed.sessions.select("user_id", F.col("session_no").alias("run_id"), F.col("started_at").alias("created_at"), F.col("n_events").alias("n_results"))
+
+
+@query("select user_id, session_no as run_id, started_at as created_at, n_events as n_results, row_number() over (partition by user_id order by started_at desc, session_no desc) as place from all_sessions qualify place <= 10")
+def recent_runs(feed: Feed) -> DataFrame:
+    """Each session as a stored run: the ten newest of each user."""
+    return saved.recent_runs(_runs(feed)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("select user_id, count(*) as kept, min(started_at) as oldest from (select * from all_sessions qualify row_number() over (partition by user_id order by started_at desc, session_no desc) <= 25) group by user_id")
+def run_retention(feed: Feed) -> DataFrame:
+    return saved.recent_runs(_runs(feed), CONFIG.kept_runs).groupBy("user_id").agg(F.count("*").alias("kept"), F.min("created_at").alias("oldest"))
+
+
+@query("""select user_id, w_content, w_collaborative, w_session, w_novelty, w_popularity, coalesce(n_content, 0) as n_content, coalesce(n_collaborative, 0) as n_collaborative, coalesce(n_popular, 0) as n_popular,
+  coalesce(n_exploration, 0) as n_exploration, coalesce(n_merged, 0) as n_merged, coalesce(n_ranked, 0) as n_ranked from weights
+  left join (select user_id, count(*) as n_content from content group by user_id) using (user_id) left join (select user_id, count(*) as n_collaborative from collaborative group by user_id) using (user_id)
+  left join (select user_id, count(*) as n_popular from popular group by user_id) using (user_id) left join (select user_id, count(*) as n_exploration from exploration group by user_id) using (user_id)
+  left join (select user_id, count(*) as n_merged from merged group by user_id) using (user_id) left join (select user_id, count(*) as n_ranked from inputs group by user_id) using (user_id)""")
+def run_snapshot(feed: Feed) -> DataFrame:
+    return saved.run_snapshot(feed).drop("e", "cold_start", "confidence", "has_profile", "has_collaborative", "has_session")
+
+
+_EVAL = {
+    "first_touches": "select user_id, project_id, min(created_at) as first_touch, min(created_at) filter (where type in ('SAVE', 'BUILD', 'COMPLETE', 'SHARE')) as first_positive from interactions group by user_id, project_id",
+    "positives": "select *, count(*) over (partition by user_id) as n_positives, row_number() over (partition by user_id order by first_touch desc, project_id desc) as r from first_touches where first_positive is not null",
+    "held": "select * from positives where n_positives >= 5 and r <= greatest(1, least(3, floor(0.2 * n_positives + 0.5)))",
+    "cutoffs": "select user_id, min(first_touch) as cutoff, list_sort(list(project_id)) as held_out, any_value(n_positives) as n_positives from held group by user_id",
+    "cases": "select c.*, (select count(*) from positives p where p.user_id = c.user_id and p.first_positive < c.cutoff) as training_positives from cutoffs c where training_positives >= 2",
+    "training": "select i.*, c.cutoff from interactions i join cases c using (user_id) where i.created_at < c.cutoff",
+    "out_of_case": "select distinct user_id, project_id from training where type in ('SAVE', 'BUILD', 'COMPLETE', 'SHARE', 'DISLIKE')",
+    "all_items": """select c.user_id, c.cutoff, g.project_id, g.prior, g.slug, coalesce(sum(i.weight), 0) as evidence, count(i.id) filter (where i.type <> 'OPEN') as n_strong from cases c cross join catalog g
+      left join interactions i on i.project_id = g.project_id and i.created_at < c.cutoff and i.type in ('OPEN', 'SAVE', 'BUILD', 'COMPLETE', 'SHARE') group by all""",
+    "eval_items": "select * from all_items anti join out_of_case using (user_id, project_id)",
+    "case_signals": "select user_id, feature, sum(scale * value) as signal from (select user_id, project_id, sum(weight * pow(0.5, date_diff('microsecond', created_at, cutoff) / 86400000000.0::double / 30)) as scale from training where weight <> 0 group by user_id, project_id) join features using (project_id) group by user_id, feature having abs(sum(scale * value)) > 1e-12",
+    "case_affinity": "select user_id, project_id, round(least(1, greatest(-1, dot / (len * norm))), 9) as affinity from (select user_id, project_id, sum(signal * value) as dot from case_signals join features using (feature) group by user_id, project_id) join (select user_id, sqrt(sum(signal * signal)) as len from case_signals group by user_id) using (user_id) join norms using (project_id)",
+    "r_random": "select 'random' as algorithm, user_id, project_id, row_number() over (partition by user_id order by list_reduce(list_prepend(2166136261::bigint, list_transform(string_split('20260818:' || user_id || ':' || project_id, ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295), project_id) as rank from eval_items qualify rank <= 10",
+    "r_popularity": "select 'popularity' as algorithm, user_id, project_id, row_number() over (partition by user_id order by evidence desc, prior desc, slug) as rank from eval_items qualify rank <= 10",
+    "r_content": "select 'content' as algorithm, user_id, project_id, row_number() over (partition by user_id order by coalesce(affinity, 0) desc, prior desc, slug) as rank from eval_items left join case_affinity using (user_id, project_id) where user_id in (select user_id from case_signals) qualify rank <= 10",
+    "recs": "select * from r_random union all select * from r_popularity union all select * from r_content",
+    "case_hits": "select algorithm, user_id, count(*) filter (where rank <= 5) as h5, count(*) as h10, sum(1 / log2(rank + 1)) as gain from recs semi join held using (user_id, project_id) group by algorithm, user_id",
+}
+
+
+class _Evaluation:
+    """What the evaluation queries share."""
+
+    def __init__(self, feed: Feed):
+        self.cases = cut(evaluation.split(feed.interactions), "cases")
+        self.training = evaluation.target_training(feed.interactions, self.cases)
+        self.excluded = evaluation.exclusions(self.training)
+        everything = self.cases.select("user_id", "cutoff").join(feed.catalog.select("project_id", "prior", "slug"))  # cases times catalog
+        self.all_items = cut(evaluation.evidence_before(everything, feed.interactions), "items")
+        self.items = self.all_items.join(self.excluded, ["user_id", "project_id"], "left_anti")
+        self.recommended = evaluation.random_baseline(self.items).unionByName(evaluation.popularity_baseline(self.items)).unionByName(evaluation.content_baseline(self.items, self.training, feed.features))
+
+
+@query("select user_id, cutoff, n_positives, array_to_string(held_out, ',') as held_out, training_positives from cases", _EVAL)
+def eval_split(feed: Feed) -> DataFrame:
+    return evaluation.split(feed.interactions).withColumn("held_out", F.array_join(F.col("held_out").cast("array<string>"), ","))
+
+
+@query("select user_id, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(user_id || '@' || strftime(cutoff, '%Y-%m-%d %H:%M:%S.%f') || ':' || array_to_string(held_out, ','), ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as fingerprint from cases", _EVAL)
+def eval_fingerprint(feed: Feed) -> DataFrame:
+    return evaluation.fingerprint(evaluation.split(feed.interactions))
+
+
+@query("select user_id, project_id from out_of_case", _EVAL)
+def eval_exclusions(feed: Feed) -> DataFrame:
+    return evaluation.exclusions(evaluation.target_training(feed.interactions, evaluation.split(feed.interactions)))
+
+
+@query("select user_id, count(*) as n, min(project_id) as first_item, max(project_id) as last_item from eval_items group by user_id", _EVAL)
+def eval_universe(feed: Feed) -> DataFrame:
+    cases = evaluation.split(feed.interactions)
+    items = evaluation.universe(cases, feed.catalog, evaluation.exclusions(evaluation.target_training(feed.interactions, cases)))
+    return items.groupBy("user_id").agg(F.count("*").alias("n"), F.min("project_id").alias("first_item"), F.max("project_id").alias("last_item"))
+
+
+@query("select user_id, project_id, evidence, n_strong from all_items", _EVAL)
+def eval_evidence(feed: Feed) -> DataFrame:
+    return _Evaluation(feed).all_items.select("user_id", "project_id", "evidence", "n_strong")
+
+
+@query("select algorithm, user_id, project_id, rank from recs", _EVAL)
+def eval_recommendations(feed: Feed) -> DataFrame:
+    return _Evaluation(feed).recommended.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""select algorithm, count(*) as cases, round(avg(coalesce(h5, 0) / 5), 9) as precision_5, round(avg(coalesce(h10, 0) / 10), 9) as precision_10, round(avg(coalesce(h5, 0) / len(held_out)), 9) as recall_5,
+  round(avg(coalesce(h10, 0) / len(held_out)), 9) as recall_10, round(avg(coalesce(gain, 0) / list_sum(list_transform(range(1, len(held_out) + 1), lambda i: 1 / log2(i + 1)))), 9) as ndcg_10, round(avg(if(coalesce(h10, 0) > 0, 1.0, 0.0)), 9) as hit_10
+  from (select distinct algorithm from recs) cross join cases left join case_hits using (algorithm, user_id) group by algorithm""", _EVAL)
+def eval_metrics(feed: Feed) -> DataFrame:
+    e = _Evaluation(feed)
+    return evaluation.metrics(e.recommended, e.cases)
+
+
+@query("""select algorithm, items, coverage, diversity, novelty from (select algorithm, count(distinct project_id) as items, round(count(distinct project_id) / (select count(*) from catalog), 9) as coverage from recs group by algorithm)
+  join (select algorithm, round(avg(1 - c), 9) as diversity from (select algorithm, user_id, avg(least(1, greatest(0, cosine))) as c from (
+    select a.algorithm, a.user_id, a.rank as ra, b.rank as rb, (select coalesce(sum(f.value * g.value), 0) from features f join features g on f.feature = g.feature where f.project_id = a.project_id and g.project_id = b.project_id) / (x.norm * y.norm) as cosine
+    from recs a join recs b on a.algorithm = b.algorithm and a.user_id = b.user_id and a.rank < b.rank join norms x on x.project_id = a.project_id join norms y on y.project_id = b.project_id) group by algorithm, user_id) group by algorithm) using (algorithm)
+  join (select algorithm, round(avg(n), 9) as novelty from (select r.algorithm, r.user_id, avg(1 - ln(1 + n_strong) / ln(1 + peak)) as n from recs r join all_items i using (user_id, project_id) join (select user_id, max(n_strong) as peak from all_items group by user_id) using (user_id) group by r.algorithm, r.user_id) group by algorithm) using (algorithm)""", _EVAL)
+def eval_beyond_accuracy(feed: Feed) -> DataFrame:
+    e = _Evaluation(feed)
+    recommended = cut(e.recommended, "recommended")
+    return evaluation.coverage(recommended, feed.catalog).join(evaluation.diversity(recommended, feed.features), "algorithm").join(evaluation.list_novelty(recommended, e.all_items), "algorithm")
+
+
+@query("select user_id, project_id, case when disliked then 'negative' when completed or built or saved or shared then 'positive' else 'neutral' end as label from states where user_id in (select user_id from states where not disliked and (completed or built or saved or shared))")
+def bpr_dataset(feed: Feed) -> DataFrame:
+    return bpr.dataset(feed.states, feed.catalog)
+
+
+@query()
+def bpr_recommendations(feed: Feed) -> DataFrame:
+    """The ten best untouched items of each user by factors trained on all of them."""
+    data = bpr.dataset(feed.states, feed.catalog)
+    users, items = bpr.train(data, feed.catalog)
+    fresh = users.select("user_id").join(items.select("project_id")).join(data, ["user_id", "project_id"], "left_anti")  # users times catalog
+    return bpr.normalize(bpr.rank(users, items, fresh)).withColumn("unit", r9("unit"))
+
+
+@query("""with pairs2 as (select o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey group by all),
+  sizes as (select l_partkey, count(*) as n from pairs2 group by 1),
+  both2 as (select a.l_partkey as i, b.l_partkey as j, count(*) as overlap from pairs2 a join pairs2 b on a.o_custkey = b.o_custkey and a.l_partkey <> b.l_partkey group by all)
+  select i, j, overlap, round(overlap / (sqrt(x.n) * sqrt(y.n)) * overlap / (overlap + 2.0), 8) as similarity, row_number() over (partition by i order by round(overlap / (sqrt(x.n) * sqrt(y.n)) * overlap / (overlap + 2.0), 8) desc, j) as rank
+  from both2 join sizes x on x.l_partkey = i join sizes y on y.l_partkey = j qualify rank <= 20""")
+def basket_item_neighbours(feed: Feed) -> DataFrame:
+    """Items of the same customers' orders: the item-item model on a sparse table."""
+    orders, lines = feed.spark.read.parquet(f"{feed.folder}/orders.parquet"), feed.spark.read.parquet(f"{feed.folder}/lineitem.parquet")
+    bought = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("project_id")).distinct().withColumn("signal", F.lit(1.0))
+    similar = retrieval.item_similarity(retrieval.item_pairs(bought))
+    return retrieval.item_neighbours(similar.drop("overlap")).join(similar.select("i", "j", "overlap"), ["i", "j"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("select project_id, sum(weight) as evidence, count(*) as n_events from interactions where type in ('OPEN', 'SAVE', 'BUILD', 'COMPLETE', 'SHARE') group by project_id")
+def stream_popularity(feed: Feed) -> DataFrame:
+    """Running evidence of a stream over the event files, drained."""
+    rows = ingest.incoming(ingest.events_stream(feed.spark, f"{feed.folder}/events.parquet"))
+    return ingest.drain(ingest.running_popularity(ingest.validated(rows, feed.catalog)[0]), "popularity")
+
+
+@query("""select user_id, min(created_at) as started_at, max(created_at) + interval 30 minute as expires_at, count(*) as n_events from (
+  select *, sum(s) over (partition by user_id order by created_at, id rows unbounded preceding) as no from (
+    select *, coalesce(date_diff('microsecond', lag(created_at) over (partition by user_id order by created_at, id), created_at) > 1800000000, true)::int as s from interactions)) group by user_id, no""")
+def stream_sessions(feed: Feed) -> DataFrame:
+    """Session windows of a stream over the event files, drained."""
+    rows = ingest.incoming(ingest.events_stream(feed.spark, f"{feed.folder}/events.parquet"))
+    out = ingest.drain(ingest.session_counts(rows), "sessions")
+    return out.withColumn("started_at", F.to_timestamp_ntz(F.col("started_at").cast("string"))).withColumn("expires_at", F.to_timestamp_ntz(F.col("expires_at").cast("string")))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
