@@ -144,4 +144,4 @@ def join_natural(items: Column) -> Column:
 
 
 def split_paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
