@@ -34,7 +34,7 @@ from tidewalk.llm.scratch import cut
 SHINGLE = 5
 COORDINATES, TREES = 128, 16
 #: Members of a node that are compared exhaustively; levels of branching.
-BLOCK, LEVELS = 1024, 6
+BLOCK, LEVELS = 2048, 6
 #: Copies of a joined row that the rows of a hot key are dealt to.
 SALT = 8
 #: Documents whose names are broadcast to fetch their texts; beyond it the texts are shuffled.
