@@ -126,10 +126,16 @@ def collaborative_candidates(scores: DataFrame, catalog: DataFrame, limit: int =
     return top_k(known, ["user_id"], [F.desc("collaborative"), F.col("slug")], limit).select("user_id", "project_id", "collaborative", "rank")
 
 
-def item_signals(users: DataFrame, catalog: DataFrame, popularity: DataFrame, affinities: DataFrame, collaborative: DataFrame) -> DataFrame:
-    """All known signals of each user and item: the frame on which exploration and ranking work."""
-    frame = users.join(catalog.select("project_id", "slug", "prior"))  # users times catalog: the answer's own size
-    frame = frame.join(popularity.select("project_id", "popularity"), "project_id").join(affinities, ["user_id", "project_id"], "left").join(collaborative.select("user_id", "project_id", "collaborative"), ["user_id", "project_id"], "left")
+def item_signals(users: DataFrame, catalog: DataFrame, popularity: DataFrame, affinities: DataFrame, collaborative: DataFrame, popular: DataFrame) -> DataFrame:
+    """All signals of each user and item that share any: the frame on which exploration and ranking work.
+
+    An item without affinity, collaborative score or a place among the user's popular ones is plausible for no user with
+    a profile, so no pair that could become a candidate is missing; users without a profile explore popular items.
+    """
+    keys = ["user_id", "project_id"]
+    pairs = affinities.select(*keys).unionByName(collaborative.select(*keys)).unionByName(popular.select(*keys)).distinct()
+    frame = pairs.join(users, "user_id").join(catalog.select("project_id", "slug", "prior"), "project_id").join(popularity.select("project_id", "popularity"), "project_id")
+    frame = frame.join(affinities, keys, "left").join(collaborative.select(*keys, "collaborative"), keys, "left")
     has_profile = affinities.select("user_id").distinct().withColumn("has_profile", F.lit(True))
     frame = frame.join(has_profile, "user_id", "left").withColumn("affinity", F.when(F.col("has_profile"), F.coalesce("affinity", F.lit(0.0)))).drop("has_profile")
     return frame.withColumn("novelty", r9(novelty(F.col("popularity"), F.coalesce("affinity", F.lit(0.0)))))

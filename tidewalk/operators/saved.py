@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
-from tidewalk.functions.scalar import duration_bucket, lookup
+from tidewalk.functions.scalar import duration_bucket, lookup, novelty, r9
 
 SORTS = ("recent", "match", "shortest", "difficulty", "adventurous")
 
 
-def saved_page(states: DataFrame, catalog: DataFrame, frame: DataFrame) -> DataFrame:
-    scores = frame.select("user_id", "project_id", F.greatest(F.lit(0.0), F.coalesce("affinity", F.lit(0.0))).alias("match_score"), F.col("novelty").alias("novelty_score"))
-    kept = states.filter("saved").select("user_id", "project_id", "saved_at", "built", "completed")
-    return kept.join(catalog, "project_id").join(scores, ["user_id", "project_id"])
+def saved_page(states: DataFrame, catalog: DataFrame, popularity: DataFrame, affinities: DataFrame) -> DataFrame:
+    kept = states.filter("saved").select("user_id", "project_id", "saved_at", "built", "completed").join(catalog, "project_id")
+    rows = kept.join(popularity.select("project_id", "popularity"), "project_id").join(affinities, ["user_id", "project_id"], "left")
+    match = F.greatest(F.lit(0.0), F.coalesce("affinity", F.lit(0.0)))
+    return rows.withColumn("match_score", match).withColumn("novelty_score", r9(novelty(F.col("popularity"), F.coalesce("affinity", F.lit(0.0))))).drop("popularity", "affinity")
 
 
 def apply_filters(items: DataFrame, tag: str | None = None, language: str | None = None, difficulty: str | None = None, duration: str | None = None) -> DataFrame:

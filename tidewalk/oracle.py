@@ -116,7 +116,7 @@ PARTS = {
   join norms using (project_id))""",
     "item_frame": f"""select *, round(0.65 * (1 - {_clamp('popularity')}) + 0.35 * 4 * {_clamp('coalesce(affinity, 0)')} * (1 - {_clamp('coalesce(affinity, 0)')}), 9) as novelty from (
   select u.user_id, u.e, c.project_id, c.slug, c.prior, p.popularity, case when u.user_id in (select user_id from affinities) then coalesce(a.affinity, 0) end as affinity, s.collaborative
-  from app_users u cross join catalog c join popularity p on p.project_id = c.project_id left join affinities a on a.user_id = u.user_id and a.project_id = c.project_id
+  from (select user_id, project_id from affinities union select user_id, project_id from collaborative_scores union select user_id, project_id from popular) k join app_users u on u.user_id = k.user_id join catalog c on c.project_id = k.project_id join popularity p on p.project_id = c.project_id left join affinities a on a.user_id = u.user_id and a.project_id = c.project_id
   left join collaborative_scores s on s.user_id = u.user_id and s.project_id = c.project_id)""",
     "exploration": f"""select user_id, project_id, exploration, plausibility, row_number() over (partition by user_id order by exploration desc, prior desc, slug) as rank from (
   select *, round({_clamp('(1 - e) * plausibility + e * (0.65 * novelty + 0.35 * plausibility)')}, 9) as exploration from (

@@ -149,7 +149,7 @@ class Feed:
 
     @stage
     def frame(self) -> DataFrame:
-        return retrieval.item_signals(self.users, self.catalog, self.popularity, self.affinities, self.collaborative_scores)
+        return retrieval.item_signals(self.users, self.catalog, self.popularity, self.affinities, self.collaborative_scores, self.popular)
 
     @stage
     def exploration(self) -> DataFrame:

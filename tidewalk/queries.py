@@ -296,13 +296,13 @@ def impression_dedupe(feed: Feed) -> DataFrame:
 
 
 _SAVED = {
-    "page": "select s.user_id, s.project_id, s.last_save as saved_at, s.built, s.completed, c.slug, c.title, c.tag_slugs, c.language_slugs, c.difficulty, c.estimated_hours, greatest(0, coalesce(f.affinity, 0)) as match_score, f.novelty as novelty_score from states s join catalog c using (project_id) join item_frame f on f.user_id = s.user_id and f.project_id = s.project_id where s.saved",
+    "page": "select s.user_id, s.project_id, s.last_save as saved_at, s.built, s.completed, c.slug, c.title, c.tag_slugs, c.language_slugs, c.difficulty, c.estimated_hours, greatest(0, coalesce(f.affinity, 0)) as match_score, round(0.65 * (1 - p.popularity) + 0.35 * 4 * greatest(0, coalesce(f.affinity, 0)) * (1 - greatest(0, coalesce(f.affinity, 0))), 9) as novelty_score from states s join catalog c using (project_id) join popularity p on p.project_id = s.project_id left join affinities f on f.user_id = s.user_id and f.project_id = s.project_id where s.saved",
 }
 
 
 @query("select user_id, project_id, saved_at, title, match_score, novelty_score, built, completed from page", _SAVED)
 def saved_page(feed: Feed) -> DataFrame:
-    return saved.saved_page(feed.states, feed.catalog, feed.frame).select("user_id", "project_id", "saved_at", "title", "match_score", "novelty_score", "built", "completed")
+    return saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities).select("user_id", "project_id", "saved_at", "title", "match_score", "novelty_score", "built", "completed")
 
 
 @query("""select 'recent' as sort, user_id, project_id, row_number() over (partition by user_id order by saved_at desc, slug) as place from page
@@ -311,7 +311,7 @@ def saved_page(feed: Feed) -> DataFrame:
   union all select 'difficulty', user_id, project_id, row_number() over (partition by user_id order by case difficulty when 'BEGINNER' then 0 when 'INTERMEDIATE' then 1 else 2 end, saved_at desc, slug) from page
   union all select 'adventurous', user_id, project_id, row_number() over (partition by user_id order by novelty_score desc, saved_at desc, slug) from page""", _SAVED)
 def saved_sorted(feed: Feed) -> DataFrame:
-    page = saved.saved_page(feed.states, feed.catalog, feed.frame)
+    page = saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities)
     parts = [saved.sort_saved(page, sort).select(F.lit(sort).alias("sort"), "user_id", "project_id", F.col("place").cast("long")) for sort in saved.SORTS]
     out = parts[0]
     for part in parts[1:]:
@@ -321,12 +321,12 @@ def saved_sorted(feed: Feed) -> DataFrame:
 
 @query("select user_id, 'tag' as kind, t as value, count(*) as n from (select user_id, unnest(tag_slugs) as t from page) group by all union all select user_id, 'language', t, count(*) from (select user_id, unnest(language_slugs) as t from page) group by all", _SAVED)
 def saved_facets(feed: Feed) -> DataFrame:
-    return saved.facets(saved.saved_page(feed.states, feed.catalog, feed.frame))
+    return saved.facets(saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities))
 
 
 @query(f"select user_id, project_id from page where list_contains(tag_slugs, 'red') and difficulty = 'BEGINNER' and {BUCKET} = 'ONE_TO_TWO_WEEKS'", _SAVED)
 def saved_filtered(feed: Feed) -> DataFrame:
-    page = saved.saved_page(feed.states, feed.catalog, feed.frame)
+    page = saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities)
     return saved.apply_filters(page, tag="red", difficulty="BEGINNER", duration="ONE_TO_TWO_WEEKS").select("user_id", "project_id")
 
 
