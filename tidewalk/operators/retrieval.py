@@ -77,14 +77,15 @@ def item_pairs(signals: DataFrame) -> DataFrame:
     return both.join(norms.select(F.col("project_id").alias("i"), F.col("n").alias("ni")), "i").join(norms.select(F.col("project_id").alias("j"), F.col("n").alias("nj")), "j")
 
 
-def _similarity(dot, overlap, ni, nj):
+def similarity(dot, overlap, ni, nj):
+    """Cosine, shrunk for items that few users share."""
     cosine = safe_div(dot, F.sqrt(F.greatest(ni, F.lit(0.0))) * F.sqrt(F.greatest(nj, F.lit(0.0))))
     # eight digits: times a signal (a multiple of one half) that is exact in nine, so sums of it have no ties to round
     return F.when(overlap > 0, F.round(clamp01(cosine * overlap / (overlap + CONFIG.shrinkage)), 8)).otherwise(0.0)
 
 
-def item_similarity(pairs: DataFrame) -> DataFrame:
-    return pairs.select("i", "j", "overlap", _similarity(*[F.col(c) for c in ("dot", "overlap", "ni", "nj")]).alias("similarity")).filter("similarity > 0")
+def itemsimilarity(pairs: DataFrame) -> DataFrame:
+    return pairs.select("i", "j", "overlap", similarity(*[F.col(c) for c in ("dot", "overlap", "ni", "nj")]).alias("similarity")).filter("similarity > 0")
 
 
 def item_neighbours(similarities: DataFrame, k: int = CONFIG.neighbours) -> DataFrame:
@@ -106,7 +107,7 @@ def collaborative_scores(signals: DataFrame, pairs: DataFrame, excluded: DataFra
     seeds = signals.select("user_id", F.col("project_id").alias("i"), F.col("signal").alias("vi"))
     own = signals.select("user_id", F.col("project_id").alias("j"), F.col("signal").alias("vj"))
     rows = seeds.join(pairs, "i").join(own, ["user_id", "j"], "left").withColumn("v", F.coalesce("vj", F.lit(0.0)))
-    left_out = _similarity(
+    left_out = similarity(
         F.col("dot") - F.col("vi") * F.col("v"), F.col("overlap") - (F.col("v") > 0).cast("int"),
         F.col("ni") - F.col("vi") * F.col("vi"), F.col("nj") - F.col("v") * F.col("v"),
     )

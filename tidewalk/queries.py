@@ -420,6 +420,26 @@ def eval_recommendations(feed: Feed) -> DataFrame:
     return _Evaluation(feed).recommended.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("""with case_rows as (select c.user_id as case_id, i.* exclude (user_id), i.user_id as other from cases c join interactions i on i.created_at < c.cutoff and i.user_id <> c.user_id),
+  case_states as (select case_id, other, project_id, coalesce(arg_max(type, row(created_at, id)) filter (where type in ('SAVE', 'UNSAVE', 'DISLIKE')) = 'SAVE', false) as saved,
+    coalesce(arg_max(type, row(created_at, id)) filter (where type in ('SAVE', 'DISLIKE')) = 'DISLIKE', false) as disliked, bool_or(type = 'BUILD') as built, bool_or(type = 'COMPLETE') as completed, bool_or(type = 'OPEN') as opened, bool_or(type = 'SHARE') as shared
+    from (select * from case_rows union all select user_id, t.* exclude (user_id, cutoff), user_id from training t) group by all),
+  case_vectors as (select * from (select case_id, other, project_id, case when disliked then 0 else (case when completed then 5 when built then 4 else 0 end) + if(saved, 2, 0) + if(shared, 3, 0) + if(opened, 0.5, 0) end::double as v from case_states) where v > 0),
+  seeds as (select case_id, project_id as i, v as w from case_vectors where case_id = other),
+  others as (select * from case_vectors where case_id <> other),
+  case_norms as (select case_id, project_id, sum(v * v) as n from others group by all),
+  case_pairs as (select s.case_id, s.i, s.w, b.project_id as j, sum(a.v * b.v) as dot, count(*) as overlap from seeds s join others a on a.case_id = s.case_id and a.project_id = s.i join others b on b.case_id = a.case_id and b.other = a.other and b.project_id <> s.i group by all),
+  near as (select p.*, round(least(1, dot / (sqrt(x.n) * sqrt(y.n)) * overlap / (overlap + 2.0)), 8) as sim from case_pairs p join case_norms x on x.case_id = p.case_id and x.project_id = i join case_norms y on y.case_id = p.case_id and y.project_id = j
+    qualify row_number() over (partition by p.case_id, i order by sim desc, j) <= 20),
+  raw as (select n.case_id as user_id, j as project_id, round(sum(sim * w), 9) as evidence from near n where not exists (select 1 from seeds s where s.case_id = n.case_id and s.i = n.j) group by all),
+  scored as (select user_id, project_id, slug, round(least(1, greatest(0, r.evidence / max(r.evidence) over (partition by user_id) * confidence)), 9) as score from raw r join eval_items e using (user_id, project_id) join (select case_id as user_id, least(1, sum(w) / 6) as confidence from seeds group by all) using (user_id))
+  select 'collaborative' as algorithm, user_id, project_id, row_number() over (partition by user_id order by score desc, slug) as rank from scored where score >= 0.02 qualify rank <= 10""".replace("with case_rows as", ", case_rows as", 1), _EVAL)
+def eval_collaborative(feed: Feed) -> DataFrame:
+    """The collaborative baseline: a model of the others' events before each case's cutoff."""
+    e = _Evaluation(feed)
+    return evaluation.collaborative_baseline(e.items, e.training, feed.interactions, e.cases).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("""select algorithm, count(*) as cases, round(avg(coalesce(h5, 0) / 5), 9) as precision_5, round(avg(coalesce(h10, 0) / 10), 9) as precision_10, round(avg(coalesce(h5, 0) / len(held_out)), 9) as recall_5,
   round(avg(coalesce(h10, 0) / len(held_out)), 9) as recall_10, round(avg(coalesce(gain, 0) / list_sum(list_transform(range(1, len(held_out) + 1), lambda i: 1 / log2(i + 1)))), 9) as ndcg_10, round(avg(if(coalesce(h10, 0) > 0, 1.0, 0.0)), 9) as hit_10
   from (select distinct algorithm from recs) cross join cases left join case_hits using (algorithm, user_id) group by algorithm""", _EVAL)
