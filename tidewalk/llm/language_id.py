@@ -6,7 +6,7 @@ prediction is the language of largest posterior under equal priors. Piece probab
 expectation-maximisation to the word counts of all labelled documents: Spark counts words by language and sums the
 expected piece counts, and only the pieces' totals (vocabulary times languages) meet on the driver.
 
-Words are runs of letters and their marks, in lower case behind a word-start mark; a word of more than ``CHUNK``
+Words are runs of word characters that are no digits, in lower case behind a word-start mark; a word of more than ``CHUNK``
 characters counts as several. A character that is no piece has a small fixed chance.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and where no language was learned; rows with a
@@ -16,13 +16,14 @@ predicted each; an empty table gives an empty result; ``predict`` keeps further
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +31,15 @@ from pyspark.sql import types as T
 from tidewalk.llm.bytesets import U, mixed, powers
 from tidewalk.llm.scratch import cut
 
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+WORD = re.compile(r"[^\W\d_]+")
 CHUNK, LONGEST = 30, 16
 #: Chance of a character that is no piece, and the count that every piece has besides its own.
 UNKNOWN, SMOOTHING = 1e-9, 0.05
 ROUNDS = 2
+#: Mask of the hash bits that pick a piece's slot.
+SLOTS, LATE_SLOTS = np.uint64((1 << 21) - 1), np.uint64((1 << 18) - 1)
 #: Distinct words that a task keeps with their scores.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,18 +78,36 @@ def vocabulary_pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.array(ids)[order]
 
 
+@lru_cache(2)
+def piece_slots(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """A direct table from the low bits of a hash to a piece, and one from other bits for pieces whose slot another one has."""
+    hashes, ids = vocabulary_pieces(path)
+    slots, n = np.zeros(int(SLOTS) + 1, np.int32), np.arange(len(hashes))
+    slots[(hashes & SLOTS).astype(np.int64)] = n
+    lost = np.flatnonzero(slots[(hashes & SLOTS).astype(np.int64)] != n)
+    lost = lost if len(lost) else n[:1]
+    bits = lambda shift: (hashes[lost] >> U(shift) & LATE_SLOTS).astype(np.int64)
+    shift = next(k for k in range(20, 44) if len(np.unique(bits(k))) == len(lost))
+    late = np.zeros(int(LATE_SLOTS) + 1, np.int32)
+    late[bits(shift)] = np.arange(len(lost))
+    return slots, hashes, ids, (U(shift), late, hashes[lost], ids[lost])
+
+
 class Forward:
     """Sums over all segmentations of words. chance: a row for each piece (the last: unknown) and a column for each language."""
 
     def __init__(self, path: str, chance: np.ndarray):
-        self.hashes, self.ids = vocabulary_pieces(path)
+        self.slots, self.hashes, self.ids, self.late = piece_slots(path)
         self.chance = np.concatenate([chance, np.zeros((1, chance.shape[1]))])
         self.none = len(chance)
 
     def _pieces(self, sums: np.ndarray, i: int, j: int) -> np.ndarray:
         h = _span(sums, i, j)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], self.none - 1 if j == i + 1 else self.none)
+        at = self.slots[(h & SLOTS).astype(np.int64)]
+        out = np.where(self.hashes[at] == h, self.ids[at], self.none - 1 if j == i + 1 else self.none)
+        shift, slots, hashes, ids = self.late
+        at = slots[(h >> shift & LATE_SLOTS).astype(np.int64)]
+        return np.where(hashes[at] == h, ids[at], out)
 
     def _lengths(self, words: list[str]):
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -211,20 +232,21 @@ def predict(documents: DataFrame, model: LanguageModel, columns: list[str] | Non
     def scan(batches):
         model = sent.value
         forward = Forward(model.vocabulary, model.chance)
-        index: dict[str, int] = {}
+        index = defaultdict(count().__next__)
         logs = np.zeros((0, len(model.languages)))
         names = pa.array(model.languages, pa.string())
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
                 if len(index) > KEPT_WORDS:
-                    index.clear()
+                    index = defaultdict(count().__next__)
                     logs = logs[:0]
                 ids, counts, at = [], [], [0]
                 for text in batch.column(batch.num_columns - 1):
                     own = Counter(text_words(text.as_py()))
-                    ids += [index.setdefault(w, len(index)) for w in own]
-                    counts += own.values()
+                    if any(map(str.isalpha, own)) or any(c.isalpha() for w in own for c in w):
+                        ids += map(index.__getitem__, own)
+                        counts += own.values()
                     at.append(len(ids))
                 new = list(index)[len(logs) :]
                 logs = np.concatenate([logs, forward.log_chances(["▁" + w for w in new])]) if new and model.languages else logs
