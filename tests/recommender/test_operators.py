@@ -264,3 +264,54 @@ def test_explanations(spark):
     assert say(session=0.7, confidence=0.5, session_tags=[("gfx", 1.0)]) == ("session", "Your current session has shifted towards gfx, while this still matches your broader data and web interests.")
     assert say(novelty=0.9, w_novelty=0.9, e=0.7, sources=["exploration"])[1].startswith("You're in a more adventurous discovery mode, so Acme is showing a less familiar project related to data.")
     assert CONFIG.explain_features == 2
+
+
+def test_snapshots_keep_null_apart_from_zero(spark):
+    from tidewalk.operators import views
+
+    rows = spark.createDataFrame([(1, 1, 1, 0.0, None, float("inf"), float("nan"), 0.5)], "user_id long, project_id long, rank int, content double, collaborative double, session double, novelty double, popularity double")
+    stored = views.to_snapshot(rows)
+    assert stored.first().raw_signals == '{"content":0.0,"collaborative":null,"session":null,"novelty":null,"popularity":0.5}'
+    assert stored.select(views.parse_signals(F.col("raw_signals")).alias("m")).first().m == {"content": 0.0, "popularity": 0.5}
+    for broken in ("{", "[1]", None, '{"content": "x"}'):
+        assert not (_one(spark, views.parse_signals(F.lit(broken).cast("string"))) or {}).get("content")
+
+
+def test_catalog_and_onboarding_problems(spark):
+    from tidewalk.operators import views
+
+    catalog = _catalog(spark, [(1, ["a"], 3, 0.5), (2, [], 1, 1.5), (3, ["a"] * 6, 81, 0.5)]).withColumn("title", F.when(F.col("project_id") == 3, " ").otherwise("Same"))
+    found = sorted((r.project_id, r.problem) for r in views.catalog_problems(catalog).collect())
+    assert found == [(1, "duplicate title"), (2, "duplicate title"), (2, "hours out of range"), (2, "needs 1 to 5 tags"), (2, "prior out of range"), (3, "hours out of range"), (3, "needs 1 to 5 tags"), (3, "no title"), (3, "tags repeat")]
+    answers = spark.createDataFrame([(1, ["a", "b", "c"], 1, 2), (2, ["a", "a"], 1, 1), (3, None, 1, 2)], "user_id long, topics array<string>, chosen long, rejected long")
+    assert sorted((r.user_id, r.problem) for r in views.onboarding_problems(answers).collect()) == [(2, "chose the rejected item"), (2, "too few topics"), (2, "topics repeat"), (3, "too few topics")]
+    old, new = (spark.createDataFrame(x, "user_id long, e double") for x in ([(1, 0.1), (2, 0.2)], [(2, 0.9), (3, 0.3)]))
+    assert sorted(map(tuple, views.upsert(old, new, "user_id").collect())) == [(1, 0.1), (2, 0.9), (3, 0.3)]
+
+
+def test_bpr_learns_and_agrees_with_itself(spark):
+    from tidewalk.operators import bpr
+
+    catalog = _catalog(spark, [(i, ["a"], 3, 0.5) for i in range(12)])
+    data = spark.createDataFrame([(u, i, "positive") for u in range(8) for i in range(12) if i % 2 == u % 2 and (u + i) % 3] + [(0, 1, "negative")], "user_id long, project_id long, label string")
+    users, items = bpr.train(data, catalog, rounds=6)
+    frame = data.filter("label = 'positive'").select("user_id", "project_id", F.lit(1).alias("good"))
+    scored = users.join(items).join(frame, ["user_id", "project_id"], "left").withColumn("s", bpr._dot("p", "q"))
+    means = {r.good: r.m for r in scored.groupBy("good").agg(F.avg("s").alias("m")).collect()}
+    assert means[1] > means[None]
+    again = bpr.train(data.repartition(3), catalog, rounds=1)[0].orderBy("user_id").collect()
+    first = bpr.train(data, catalog, rounds=1)[0].orderBy("user_id").collect()
+    assert all(a.p == pytest.approx(b.p) for a, b in zip(again, first))
+
+
+def test_stream_rejects_and_appends(spark, tmp_path):
+    from tidewalk.streaming import ingest
+
+    folder = str(tmp_path / "events.parquet")
+    rows = [(k, T0 + dt.timedelta(minutes=k), k % 3, "view", 1.0, '{"k": %d}' % (k % 4)) for k in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(4).write.parquet(folder)
+    stream = ingest.incoming(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder))
+    good, bad = ingest.validated(stream, _catalog(spark, [(0, ["a"], 3, 0.5), (1, ["a"], 3, 0.5)]))
+    assert ingest.drain(good, "good", "append").count() == 20
+    assert {r.reason for r in ingest.drain(bad, "bad", "append").collect()} == {"unknown_project"}
+    assert ingest.drain(ingest.deduped_impressions(stream), "once", "append").groupBy("user_id", "project_id").count().filter("count > 1").count() == 0

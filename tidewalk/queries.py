@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import age_days, clamp01, duration_bucket, exploration_limit, discovery_mode, diversification_lambda, fnv1a, format_duration, format_score, interaction_weight, max_items_per_tag, r9, time_decay
-from tidewalk.operators import bpr, evaluation, profiles, ranking, retrieval, saved, sessions, states
+from tidewalk.operators import bpr, evaluation, profiles, ranking, retrieval, saved, sessions, states, views
 from tidewalk.oracle import AGE, BUCKET, NOW, sql
 from tidewalk.plans.feed import Feed
+from tidewalk.sources import tables
 from tidewalk.sources.shared import cut
 from tidewalk.streaming import ingest
 
@@ -503,6 +504,60 @@ def stream_sessions(feed: Feed) -> DataFrame:
     return out.withColumn("started_at", F.to_timestamp_ntz(F.col("started_at").cast("string"))).withColumn("expires_at", F.to_timestamp_ntz(F.col("expires_at").cast("string")))
 
 
+_KEY = "substr(feature, strpos(feature, ':') + 1)"
+
+
+@query(f"""select feature, {_FAMILY} as family, {_KEY} as key, case {_KEY} when 'UNDER_2_HOURS' then 'Under 2 hours' when 'ONE_EVENING' then 'One evening' when 'WEEKEND' then 'Weekend' when 'ONE_TO_TWO_WEEKS' then '1–2 weeks'
+  else case when {_FAMILY} = 'language' then upper({_KEY}) else upper({_KEY}[1]) || lower({_KEY}[2:]) end end as label from (select distinct feature from features)""")
+def feature_labels(feed: Feed) -> DataFrame:
+    return views.feature_labels(feed.features)
+
+
+@query("""select project_id, 'duplicate title' as problem from (select *, count(*) over (partition by title) as n from every_item) where n > 1
+  union all select project_id, 'duplicate slug' from (select *, count(*) over (partition by slug) as n from every_item) where n > 1
+  union all select project_id, 'slug has a bad form' from every_item where not regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')
+  union all select project_id, 'needs 1 to 5 tags' from every_item where len(tags) not between 1 and 5
+  union all select project_id, 'hours out of range' from every_item where hours not between 2 and 80 union all select project_id, 'prior out of range' from every_item where prior not between 0 and 1""", {"every_item": "select p_partkey as project_id, lpad(p_partkey::varchar, 6, '0') as slug, p_name as title, list_distinct(string_split(p_name, ' ')) as tags, p_size as hours, (p_partkey * 37 % 101) / 100.0::double as prior from part"})
+def catalog_problems(feed: Feed) -> DataFrame:
+    """Integrity of the whole item table."""
+    return views.catalog_problems(tables.as_catalog(tables.table(feed.spark, feed.folder, "part")))
+
+
+@query("""select u.user_id, t.topics, a.chosen, a.rejected, a.difficulty, nullif(a.duration, 'ANYTHING') as duration, if(n < 3, 'too few topics', null) as problem
+  from app_users u join answers a using (user_id) join (select user_id, string_agg(tag, ',' order by tag) as topics, count(*) as n from picked_topics group by user_id) t using (user_id)""")
+def onboarding_state(feed: Feed) -> DataFrame:
+    problems = views.onboarding_problems(feed.answers)
+    state = feed.answers.withColumn("topics", F.array_join("topics", ",")).withColumn("duration", F.nullif("duration", F.lit("ANYTHING")))
+    return state.join(problems, "user_id", "left").select("user_id", "topics", "chosen", "rejected", "difficulty", "duration", "problem")
+
+
+@query("""select case when c.project_id is null then 'unknown_project' when floor(v * 1000000) not between 0 and 14400000 then 'dwell_out_of_range' else 'accepted' end as outcome, count(*) as n, sum(weight) as weight
+  from interactions i join (select event_id as id, value as v from events) using (id) left join (select project_id from catalog where difficulty <> 'ADVANCED') c on c.project_id = i.project_id group by all""")
+def interaction_outcomes(feed: Feed) -> DataFrame:
+    """Events validated against the items that aren't advanced, with the event's value as dwell time (thousands of seconds)."""
+    events = tables.table(feed.spark, feed.folder, "events")
+    dwell = events.select(F.col("event_id").alias("id"), F.floor(F.col("value") * 1_000_000).alias("dwell_ms"))
+    good, bad = ingest.validated(feed.interactions.join(dwell, "id"), feed.catalog.filter("difficulty <> 'ADVANCED'"))
+    both = good.withColumn("outcome", F.lit("accepted")).select("outcome", "weight").unionByName(bad.select(F.col("reason").alias("outcome"), "weight"))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+@query("""select user_id, project_id, rank, if(content is null, 0, 1) + if(collaborative is null, 0, 1) + if(session is null, 0, 1) + if(novelty is null, 0, 1) + if(popularity is null, 0, 1) as n_signals,
+  content as content_read, collaborative as collaborative_read, session as session_read from ranked where rank <= 10""")
+def result_snapshots(feed: Feed) -> DataFrame:
+    """The ten best of each user written as JSON and read back; absent signals stay absent."""
+    stored = views.to_snapshot(feed.ranked.filter("rank <= 10")).withColumn("m", views.parse_signals(F.col("raw_signals")))
+    return stored.select("user_id", "project_id", F.col("rank").cast("long"), F.size("m").alias("n_signals"), *[F.col(f"m.{c}").alias(f"{c}_read") for c in ("content", "collaborative", "session")])
+
+
+@query("""select u.user_id, u.e, case when u.e <= 0.3 then 'familiar' when u.e >= 0.7 then 'adventurous' else 'balanced' end as mode, i.total, s.saved_items, r.runs, r.last_run_at from app_users u
+  join (select user_id, count(*) as total from interactions group by user_id) i using (user_id) join (select user_id, count(*) filter (where saved) as saved_items from states group by user_id) s using (user_id)
+  left join (select user_id, count(*) as runs, max(started_at) as last_run_at from all_sessions group by user_id) r using (user_id)""")
+def user_insights(feed: Feed) -> DataFrame:
+    stats = states.user_stats(feed.interactions, feed.states)
+    return views.insights(feed.users, stats, _runs(feed)).select("user_id", "e", "mode", "total", "saved_items", "runs", "last_run_at")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
