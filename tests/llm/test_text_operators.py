@@ -273,7 +273,7 @@ def test_language_id(spark):
     for i in range(300):
         lang = r.choice(["en", "de"])
         rows.append((i, " ".join(r.choice(vocabulary[lang]) for _ in range(r.randint(1, 30))), lang, "x"))
-    rows += [(300, None, "en", None), (301, "", None, None), (302, "12 !? ", "de", None), (None, "the river", "de", None), (303, "HOUSE light", None, None), (304, "der " * 3000, "de", None)]
+    rows += [(300, None, "en", None), (301, "", None, None), (302, "12 ½² !? ", "de", None), (None, "the river", "de", None), (303, "HOUSE light", None, None), (304, "der " * 3000, "de", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     assert model.languages == ["de", "en"]
@@ -339,3 +339,15 @@ def test_empty_tables(spark, docs):
     assert near_dedup.near_duplicates(none).count() == mixing.mix(none).count() == line_dedup.dedup_lines(none).count() == suffix_dedup.dedup_bytes(none).count() == 0
     assert token_counts.count_tokens(none, path).count() == mpeg.read_media(mpeg.with_media(none)).count() == decontaminate.find_contamination(none, bench).count() == 0
     assert decontaminate.find_contamination(docs, bench).agg({"n_hit": "sum"}).first()[0] == 0
+
+
+def test_pretokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    from tidewalk.llm.pretokens import pretokens
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for code in [*range(0x260), *range(0x500, 0x600), 0x1C, 0x2003, 0x2019, 0x2028, 0x3000, 0x4E2D, 0x1F600]:
+        c = chr(code)
+        for text in (f"a{c}b {c}{c} 1{c}  {c}\n{c}", f"it's{c}'ll {c}"):
+            assert pretokens(text, tokenizer) == [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)], hex(code)
