@@ -27,11 +27,13 @@ def popularity_candidates(scores: DataFrame, users: DataFrame, excluded: DataFra
     """Each user's most popular items that aren't excluded.
 
     A user's first ``limit`` lie within the first limit + (own excluded items) of the global order, so only
-    those ranks are joined with the user.
+    those ranks are joined with the user, and no more than the deepest of them are ranked at all.
     """
-    order = Window.orderBy(F.desc("popularity"), "slug")
-    ranked = scores.withColumn("place", F.row_number().over(order))
-    depth = users.select("user_id").join(excluded.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left")
+    order = [F.desc("popularity"), F.col("slug")]
+    hidden = excluded.groupBy("user_id").agg(F.count("*").alias("n"))
+    deepest = limit + (hidden.agg(F.max("n")).first()[0] or 0)
+    ranked = scores.orderBy(*order).limit(deepest).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    depth = users.select("user_id").join(hidden, "user_id", "left")
     depth = depth.select("user_id", F.explode(F.sequence(F.lit(1), (F.coalesce("n", F.lit(0)) + limit).cast("int"))).alias("place"))
     pairs = depth.join(ranked, "place").join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti")
     return top_k(pairs, ["user_id"], [F.col("place")], limit).select("user_id", "project_id", "popularity", "rank")
