@@ -49,7 +49,7 @@ def _ranks(ids: list, hashes: list) -> np.ndarray:
 def _blocks(batches):
     """doc_id, place, anchor, block, known: one row per block; known: an earlier one in this slice equals it."""
     for batch in batches:
-        for i, j, data, at in slices(batch.column(2)):
+        for i, j, data, at in slices(batch.column(2), 2 << 20):
             n = len(data)
             if n < MATCH:
                 continue
