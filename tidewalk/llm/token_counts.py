@@ -2,8 +2,8 @@
 
 A merge never crosses the border of a pre-token, so a text has as many tokens as its pre-tokens have pieces. Pre-tokens are
 counted over all documents, each distinct one is encoded once, and documents get their counts from a join of their own
-pre-token frequencies with that table. The ``HEAD`` most frequent pre-tokens, a fixed number, are sent to the tasks
-that split the documents; only the rest is joined, which also keeps hot keys out of the join.
+pre-token frequencies with that table. The most frequent pre-tokens, at most ``HEAD`` of them, are sent to the tasks that
+split the documents; only the rest is joined, which also keeps hot keys out of the join.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside texts are what the library takes
 them for by default, one token each; a null ``doc_id`` is kept; repeated rows are counted each; an empty table gives an
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidewalk.llm.pretokens import pretoken_counts
 from tidewalk.llm.scratch import cut
 
-#: Most frequent pre-tokens that every task holds.
+#: Most pre-tokens that every task holds.
 HEAD = 1 << 18
 #: Pre-tokens that a task gathers before it hands on their counts.
 GATHERED = 200_000
@@ -67,11 +67,23 @@ def pretoken_table(documents: DataFrame, vocabulary: str) -> DataFrame:
     return cut(counts.mapInArrow(encode, "piece string, freq long, n int"), "pretokens")
 
 
+def frequent_pieces(table: DataFrame, limit: int) -> DataFrame:
+    """The most frequent pieces, as many whole buckets of frequencies (16 to a doubling) as have no more than ``limit`` rows."""
+    bucket = F.floor(F.log2("freq") * 16).cast("int")
+    least, room = None, limit
+    for b, n in sorted(((r["b"], r["count"]) for r in table.groupBy(bucket.alias("b")).count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = b
+    return table.filter(bucket >= least if least is not None else F.lit(False))
+
+
 def count_tokens(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every text, as the ``tokenizers`` file ``vocabulary`` gives them."""
     spark = documents.sparkSession
     table = pretoken_table(documents, vocabulary)
-    top = table.orderBy(F.desc("freq"), "piece").limit(HEAD).select("piece", "n").toArrow()
+    top = frequent_pieces(table, HEAD).select("piece", "n").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(top["piece"].to_pylist(), top["n"].to_pylist())))
 
     def split(batches):
