@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,39 @@ def test_bpr_learns_and_agrees_with_itself(spark):
     assert all(a.p == pytest.approx(b.p) for a, b in zip(again, first))
 
 
+def test_bpr_trains_all_epochs_and_pairs_without_untouched_items(spark):
+    from tidewalk.operators import bpr
+
+    catalog = _catalog(spark, [(i, ["a"], 3, 0.5) for i in range(40)])
+    data = [(u, i, "positive") for u in range(8) for i in range(40) if i % 2 == u % 2 and i != 4]
+    # all touched, one disliked: the disliked item is all that can be drawn; 9 has nothing to draw
+    data += [(8, i, "negative" if i == 4 else "positive" if i < 3 else "neutral") for i in range(40)] + [(9, i, "positive" if i < 3 else "neutral") for i in range(40)]
+    data = spark.createDataFrame(data, "user_id long, project_id long, label string")
+    # all in one block by the constants, and blocks that meet after each of fewer, larger steps
+    for given in ({}, {"block": 60, "rounds": 8, "rate": 0.5}):
+        users, items = bpr.train(data, catalog, **given)
+        p, q = ({r[0]: np.array(r[1]) for r in x.collect()} for x in (users, items.select("project_id", "q")))
+        assert set(p) == set(range(10)) and set(q) == set(range(40))
+        good = [p[u] @ q[i] - p[u] @ q[j] for u in range(8) for i in range(40) for j in range(40) if i % 2 == u % 2 != j % 2 and i != 4]
+        assert np.log1p(np.exp(-np.array(good))).mean() < 0.1
+        assert all(p[8] @ q[i] > p[8] @ q[4] + 1 for i in range(3))
+        assert np.abs(p[9]).max() <= CONFIG.bpr["init"]
+
+
+def test_bpr_draws_evenly_from_untouched_and_disliked_items():
+    import pyarrow as pa
+
+    from tidewalk.operators import bpr
+
+    table = pa.table({"user_id": [1, 2, 3, 4], "liked": [[0, 3], [0], [1], [2]], "disliked": [[], [1], [0, 2], []], "touched": [[0, 3, 4], [0, 1, 5], [0, 1, 2, 3, 4, 5], [0, 1, 2, 3, 4, 5]]}, pa.schema([("user_id", pa.int64()), *[(x, pa.list_(pa.int32())) for x in ("liked", "disliked", "touched")]]))
+    block, seen = bpr._Block(table, 6), {}
+    for t in range(6000):
+        for u, i, j in zip(*block.draw(bpr._rng(1, t, 0))):
+            seen[u, i, j] = seen.get((u, i, j), 0) + 1 / 6000
+    want = {(0, i, j): 1 / 3 for i in (0, 3) for j in (1, 2, 5)} | {(1, 0, 1): 1 / 2} | {(1, 0, j): 1 / 6 for j in (2, 3, 4)} | {(2, 1, j): 1 / 2 for j in (0, 2)}
+    assert seen == pytest.approx(want, abs=0.03)
+
+
 def test_stream_rejects_and_appends(spark, tmp_path):
     from tidewalk.streaming import ingest
 
