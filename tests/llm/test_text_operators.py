@@ -241,6 +241,26 @@ def test_media_survives_junk_and_damage():
     assert mpeg.parse_header(bytes([0xFF, 0xFB, 0x90, 0xC0])).length == 417 and mpeg.parse_header(bytes([0xFF, 0xFF, 0x90, 0xC0])).layer == 1
 
 
+def test_media_keeps_a_payload_that_looks_like_a_tag():
+    sizes, biggest, tried = mpeg._frames(), mpeg._frames()[-1][0], 0
+    for room, _ in sizes:
+        for full in (0, 1):
+            n = full * biggest + room
+            marked = [(b"x" * at + b"TAG").ljust(n, b"x") for at in range(n - 2)]
+            payload = next((x for x in marked if mpeg.write_file(x)[-128:-125] == b"TAG"), None)
+            if payload is None:
+                continue  # in the smallest frames a header or no frame at all is there
+            tried += 1
+            plain, named = mpeg.write_file(payload), mpeg.write_file(payload) + b"TAG" + b"name".ljust(125, b"\0")
+            for read in map(mpeg.read_file, (plain, named)):
+                assert read.ancillary == payload and read.table_fits and read.broken == read.skipped == 0
+            assert "title" not in mpeg.read_file(plain).tags and mpeg.read_file(named).tags["title"] == "name"
+    assert tried == 2 * (len(sizes) - 2) + 1
+    text = b"HTML TAG " + b"y" * 60
+    assert mpeg.read_file(mpeg.write_file(mpeg.payload_of(text))).ancillary.startswith(text)
+    assert mpeg.read_file(b"TAG" + b"name".ljust(125, b"\0")).tags == {"title": "name"}
+
+
 def test_forward_sums_all_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
     import sentencepiece

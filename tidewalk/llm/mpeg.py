@@ -132,6 +132,7 @@ class Media:
     checked: int = 0
     broken: int = 0
     skipped: int = 0
+    last_end: int = 0
     table: dict | None = None
     table_fits: bool = False
     ancillary: bytes = b""
@@ -176,15 +177,24 @@ def _main_bytes(side: bytes, version: int) -> int:
 
 def read_file(data: bytes | None) -> Media:
     """What the stored bytes are: tags, frames, duration, checksums, seek offsets, ancillary data."""
-    out, p, data = Media(), 0, data or b""
-    end = len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("title", data[-125:-95].rstrip(b"\0 ").decode("latin-1"))
+    data = data or b""
+    out = _read_frames(data, len(data))
+    # "TAG" may be part of the last frame: it is a tag only where the frames before it end, and none reaches into it
+    if data[-128:-125] == b"TAG" and out.last_end <= len(data) - 128:
+        shorter = _read_frames(data, len(data) - 128)
+        if shorter.last_end == len(data) - 128:
+            out = shorter
+            out.tags.setdefault("title", data[-125:-95].rstrip(b"\0 ").decode("latin-1"))
+    return out
+
+
+def _read_frames(data: bytes, end: int) -> Media:
+    """What the bytes before ``end`` are."""
+    out, p = Media(), 0
     ancillary, synced = [], False
     while p < end:
         if data[p : p + 3] == b"ID3" and p + 10 <= end:
-            p = _read_tag(data, p, out.tags)
+            p = out.last_end = _read_tag(data, p, out.tags)
             continue
         head = parse_header(data[p : p + 4])
         follows = head and (p + head.length == end or p + head.length < end and (data[p + head.length : p + head.length + 3] == b"ID3" or parse_header(data[p + head.length : p + head.length + 4])))
@@ -218,6 +228,7 @@ def read_file(data: bytes | None) -> Media:
             if head.layer == 3:
                 ancillary.append(data[body + head.side + _main_bytes(side, head.version) : p + head.length])
         p += head.length
+        out.last_end = p
     out.ancillary = b"".join(ancillary)
     if out.table is not None:
         out.table_fits = out.table.get("frames") == len(out.offsets) and out.table.get("bytes") == end - out.table["at"]
