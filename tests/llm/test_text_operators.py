@@ -261,6 +261,28 @@ def test_media_keeps_a_payload_that_looks_like_a_tag():
     assert mpeg.read_file(b"TAG" + b"name".ljust(125, b"\0")).tags == {"title": "name"}
 
 
+def test_foreign_media_give_tables_checksums_and_durations():
+    def frames(head, n, fill=b""):
+        return (bytes(head) + fill).ljust(mpeg.parse_header(bytes(head)).length, b"\0") * n
+
+    slow, fast = frames([0xFF, 0xFB, 0x50, 0xC0], 3), frames([0xFF, 0xFB, 0x54, 0xC0], 2)
+    read = mpeg.read_file(slow + fast)
+    assert read.samples == 5 * 1152 and read.seconds == pytest.approx(3 * 1152 / 44100 + 2 * 1152 / 48000) and mpeg.read_file(None).seconds == 0
+    size = len(slow) // 3 + len(slow)
+    table = b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + size.to_bytes(4) + (3).to_bytes(4) + b"\0\3\0\2\0\1\0\1" + bytes([52, 53, 54])
+    read = mpeg.read_file(frames([0xFF, 0xFB, 0x50, 0xC0], 1, bytes(32) + table) + slow)
+    assert len(read.offsets) == 3 and read.table_fits and read.table["entries"] == [104, 106, 108] and read.table["quality"] == 75
+    # Layer I with a checksum: mono, stereo, joint stereo of bound 8
+    for modes, covered in ((0xC0, 16), (0x00, 32), (0x50, 20)):
+        head = bytes([0xFF, 0xFE, 0x50, modes])
+        bits = bytes(range(covered))
+        frame = frames(head, 1, mpeg.crc16(head[2:] + bits).to_bytes(2) + bits + b"\1")
+        spoilt = bytearray(frame)
+        spoilt[5 + covered] ^= 1
+        read = mpeg.read_file(frame + bytes(spoilt) + frame)
+        assert (read.checked, read.broken, len(read.offsets)) == (3, 1, 3)
+
+
 def test_forward_sums_all_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
     import sentencepiece

@@ -6,8 +6,9 @@ behind it is ancillary data, which decoders pass over and which holds the payloa
 largest bitrate until the rest fits a smaller one.
 
 ``read_file`` works on any MPEG-1, -2 or -2.5 audio: it skips tags, looks for a header whose frame ends at another header,
-a tag or the end, resynchronises after junk, reads tables of variable bitrates, verifies checksums, and gives the
-exact duration in samples and the offset of every frame.
+a tag or the end, resynchronises after junk, reads tables of variable bitrates (Xing, Info, VBRI), verifies checksums of
+Layers I and III, and gives the duration by each frame's own rate and the offset of every frame. It does not verify
+checksums of Layer II (they aren't counted) and does not read frames of free bitrates. ``rate`` is the last frame's.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; a null ``doc_id`` is kept; repeated rows give
 repeated results; an empty table gives an empty result. Null or broken media give no frames.
@@ -128,6 +129,7 @@ class Media:
     tags: dict = field(default_factory=dict)
     offsets: list = field(default_factory=list)
     samples: int = 0
+    samples_at: dict = field(default_factory=dict)
     rate: int = 0
     checked: int = 0
     broken: int = 0
@@ -137,6 +139,10 @@ class Media:
     table_fits: bool = False
     ancillary: bytes = b""
 
+    @property
+    def seconds(self) -> float:
+        return sum((n / rate for rate, n in self.samples_at.items()), 0.0)
+
 
 def _read_tag(data: bytes, at: int, tags: dict) -> int:
     """Read the ID3v2 tag at ``at`` and give its end."""
@@ -175,6 +181,12 @@ def _main_bytes(side: bytes, version: int) -> int:
     return (sum(_bits(side, first + k * step, 12) for k in range(channels * granules)) + 7) // 8
 
 
+def _allocation_bytes(modes: int) -> int:
+    """Bytes of a Layer I frame's bit allocation, which its checksum covers, by the header's last byte."""
+    mode, bound = modes >> 6, 4 * ((modes >> 4 & 3) + 1)
+    return 16 if mode == 3 else (32 + bound) // 2 if mode == 1 else 32
+
+
 def read_file(data: bytes | None) -> Media:
     """What the stored bytes are: tags, frames, duration, checksums, seek offsets, ancillary data."""
     data = data or b""
@@ -208,9 +220,10 @@ def _read_frames(data: bytes, end: int) -> Media:
         synced = True
         body = p + 4 + 2 * head.checked
         side = data[body : body + head.side]
-        if head.checked and head.layer == 3:
+        if head.checked and head.layer != 2:
+            covered = side if head.layer == 3 else data[body : body + _allocation_bytes(data[p + 3])]
             out.checked += 1
-            out.broken += crc16(data[p + 2 : p + 4] + side) != int.from_bytes(data[p + 4 : p + 6])
+            out.broken += crc16(data[p + 2 : p + 4] + covered) != int.from_bytes(data[p + 4 : p + 6])
         mark = data[body + head.side : body + head.side + 4]
         if not out.offsets and out.table is None and mark in (b"Xing", b"Info"):
             q = body + head.side + 4
@@ -221,9 +234,14 @@ def _read_frames(data: bytes, end: int) -> Media:
                 if flags & bit:
                     out.table[name] = data[q : q + n] if n == 100 else int.from_bytes(data[q : q + n])
                     q += n
+        elif not out.offsets and out.table is None and head.layer == 3 and data[p + 36 : p + 40] == b"VBRI":
+            out.table = {"at": p, "quality": int.from_bytes(data[p + 44 : p + 46]), "bytes": int.from_bytes(data[p + 46 : p + 50]), "frames": int.from_bytes(data[p + 50 : p + 54])}
+            entries, scale, width, step = (int.from_bytes(data[q : q + 2]) for q in range(p + 54, p + 62, 2))
+            out.table |= {"frames_per_entry": step, "entries": [scale * int.from_bytes(data[q : q + width]) for q in range(p + 62, min(p + 62 + entries * width, p + head.length), width or 1)]}
         else:
             out.offsets.append(p)
             out.samples += head.samples
+            out.samples_at[head.rate] = out.samples_at.get(head.rate, 0) + head.samples
             out.rate = head.rate
             if head.layer == 3:
                 ancillary.append(data[body + head.side + _main_bytes(side, head.version) : p + head.length])
@@ -272,7 +290,7 @@ def read_media(files: DataFrame) -> DataFrame:
                 payloads = [m.ancillary[: int(m.tags["payload_bytes"])] if m.tags.get("payload_bytes", "").isdecimal() else m.ancillary for m in found]
                 yield pa.RecordBatch.from_arrays([
                     *part.columns, pa.array([list(m.tags.items()) for m in found], pa.map_(pa.string(), pa.string())), pa.array([len(m.offsets) for m in found], pa.int64()),
-                    pa.array([m.samples for m in found], pa.int64()), pa.array([m.rate for m in found], pa.int32()), pa.array([m.samples / m.rate if m.rate else 0.0 for m in found]),
+                    pa.array([m.samples for m in found], pa.int64()), pa.array([m.rate for m in found], pa.int32()), pa.array([m.seconds for m in found]),
                     pa.array([m.offsets for m in found], pa.list_(pa.int32())), pa.array([m.table_fits for m in found]), pa.array([m.checked for m in found], pa.int64()),
                     pa.array([m.broken for m in found], pa.int64()), pa.array([m.skipped for m in found], pa.int64()), pa.array(payloads, pa.binary()),
                 ], names=[*kept, *[f.name for f in fields]])
