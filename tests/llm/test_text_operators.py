@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts, toxicity
@@ -155,24 +156,85 @@ def test_line_dedup(docs):
     assert set(docs.columns) <= set(out.columns) and out.count() == docs.count()
 
 
-@pytest.mark.parametrize("split", [2, 20_000])
-def test_suffix_dedup(docs, split):
-    rows = sorted({(i is not None, i or 0, t or "") for i, t in _rows(docs)})
-    got = defaultdict(set)
-    for r in suffix_dedup.dedup_bytes(docs, split).collect():
-        got[r.doc_id].add((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
-        assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
-    seen = set()
-    for known, i, text in rows:
+def _suffix_brute_force(docs):
+    """Rows that op4 has to give, as a sorted list: texts of one id are in order of their hash."""
+    rows = [(r.doc_id, r.th, r.text or "") for r in docs.selectExpr("doc_id", "xxhash64(text) as th", "text").collect()]
+    seen, out = set(), {}
+    for known, i, th, text in sorted({(i is not None, i or 0, th, text) for i, th, text in rows}):
         data = text.encode()
         gone = np.zeros(len(data), bool)
         for s in range(len(data) - 99):
             w = data[s : s + 100]
-            gone[s : s + 100] |= w in seen
+            if w in seen:
+                gone[s : s + 100] = True
             seen.add(w)
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(gone)))
-        assert (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()) in got[i if known else None], i
+        spans = int((gone[1:] & ~gone[:-1]).sum()) + int(len(gone) > 0 and gone[0])
+        out[i if known else None, text] = (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    return sorted(repr((i, *out[i, text])) for i, _, text in rows)
+
+
+def _suffix_rows(found):
+    rows = found.collect()
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
+    return sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in rows)
+
+
+@pytest.mark.parametrize("split", [2, 20_000])
+def test_suffix_dedup(docs, split):
+    assert _suffix_rows(suffix_dedup.dedup_bytes(docs, split)) == _suffix_brute_force(docs)
+
+
+def test_suffix_dedup_of_hot_anchors(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0.001)
+    monkeypatch.setattr(suffix_dedup, "LEAST", 1)
+    hashed = docs.filter("text is not null").selectExpr("doc_id", "xxhash64(text) as th", "text")
+    assert len(suffix_dedup.hot_anchors(hashed, "doc_id long, th long, place long, anchor long, block long, flag byte", 1.0)) > 5
+    assert _suffix_rows(suffix_dedup.dedup_bytes(docs, sample=1.0)) == _suffix_brute_force(docs)
+
+
+def test_suffix_dedup_of_many_texts_under_one_id(spark):
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared = [text(130) for _ in range(20)]
+    rows = [(1 if k % 2 else None, text(134) if k % 10 else text(20) + r.choice(shared) + text(20)) for k in range(30_000)]
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _suffix_brute_force(docs)
+    assert _suffix_rows(suffix_dedup.dedup_bytes(docs)) == want and sum(", 0, 0, " not in x for x in want) > 2000
+
+
+def test_suffix_blocks_are_combined_over_slices(monkeypatch):
+    r = random.Random(3)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1000)
+    same = "".join(r.choice("abcdefgh") for _ in range(400))
+    order = [5, 9, 4, 7, None, 8, 8, 2, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array([1] * len(order)), pa.array([same] * len(order))], names=["doc_id", "th", "text"])
+    first = {}
+    for out in suffix_dedup._blocks(iter([batch]), np.zeros(0, np.uint64)):
+        for i, block, place, flag in zip(*[out.column(c).to_pylist() for c in (0, 4, 2, 5)]):
+            if flag == suffix_dedup.PLAIN:
+                first.setdefault((block, place), []).append(i)
+            else:  # an earlier one of equal bytes came out before or comes out with it
+                assert any(x is None or i is not None and x < i for x in first[block, place])
+    assert all(None in x and len(x) < len(order) - 2 for x in first.values())
+
+
+def test_previous_factors_of_suffixes():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 30, 200):
+        v = r.permutation(n)
+        before = [next((k for k in range(i - 1, -1, -1) if v[k] < v[i]), -1) for i in range(n)]
+        assert suffix_dedup.previous_smaller(v).tolist() == suffix_dedup.previous_smaller(v, 1).tolist() == before
+        assert suffix_dedup.next_smaller(v).tolist() == [next((k for k in range(i + 1, n) if v[k] < v[i]), -1) for i in range(n)]
+    for letters, period in ((1, 0), (2, 0), (3, 70), (2, 130)):
+        data = r.integers(97, 97 + letters, 400).astype(np.uint8)
+        data = np.tile(data[:period], 9)[:400] if period else data
+        starts = np.sort(r.choice(301, 150, replace=False))
+        body = data.tobytes()
+        same = lambda s, t: next((k for k in range(100) if body[s + k] != body[t + k]), 100)
+        want = [max((same(s, t) for t in starts[:k]), default=0) for k, s in enumerate(starts)]
+        assert suffix_dedup.longest_previous_factors(data, starts).tolist() == want
 
 
 @pytest.mark.parametrize("block", [5, 1_000_000])
