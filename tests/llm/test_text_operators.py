@@ -13,7 +13,7 @@ import pytest
 
 from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines long, key string, v long, salt int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines long, key string, v long, salt int, _id string, _th long, _lines string, _starts int, hits string, items int, n_hit string, m map<string,int>"
 
 
 def _texts(seed=1):
@@ -40,8 +40,8 @@ BENCHMARK = [(1, " ".join(TEXTS[0].split()[:30])), (2, "A b C"), (10, " ".join(T
 @pytest.fixture(scope="module")
 def docs(spark):
     r = random.Random(2)
-    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["s1", "s2", "s3", "", None]), 7, 1, "k", 2, 3) for i, t in enumerate(TEXTS)]
-    rows += [rows[5], rows[12], (None, TEXTS[2], None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["s1", "s2", "s3", "", None]), 7, 1, "k", 2, 3, "i", 4, "l", 5, "h", 6, None, {"a": i, "b": 1}) for i, t in enumerate(TEXTS)]
+    rows += [rows[5], rows[12], (None, TEXTS[2], *[None] * 15), (None, None, *[None] * 15), (None, TEXTS[20], *[None] * 15), (3, TEXTS[14], *[None] * 15)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -85,6 +85,55 @@ def test_near_duplicates(docs, threshold):
     assert len({x[2] for x in want}) < len(rows) - 8
 
 
+def _components(sets, percent):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    return [find(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("block,levels,together", [(8, 1, 10**9), (8, 6, 300), (3, 0, 10**9), (2048, 6, 150)])
+def test_large_nodes_branch_and_large_clusters_split(spark, block, levels, together):
+    r = random.Random(block)
+    words = [f"w{k}" for k in range(400)]
+    base, rows = [r.choice(words) for _ in range(60)], []
+    for k in range(60):
+        w = list(base)
+        w[r.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join(r.choice(words) for _ in range(r.randint(1, 60)))) for k in range(60)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    root = _components(sets, 80)
+    least = {g: min(rows[k][0] for k in range(len(rows)) if root[k] == g) for g in set(root)}
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, block, levels, together)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: least[root[k]] for k, (i, _) in enumerate(rows)}
+    assert len(set(root)) < 110
+
+
+def test_one_row_of_each_component_stays(docs):
+    rows = [(r.doc_id, r.th, r.text) for r in docs.selectExpr("doc_id", "xxhash64(text) as th", "text").collect()]
+    sets = []
+    for _, _, text in rows:
+        w = _words(text, SPACED)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    groups, want = defaultdict(list), set()
+    for k, g in enumerate(_components(sets, 80)):
+        groups[g].append(k)
+    for members in groups.values():
+        want |= {rows[min(members, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1]))]}
+    out = near_dedup.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == sorted(repr((i, t)) for i, _, t in want)
+
+
 def test_walk_reaches_all_and_tests_little():
     links = {(a, b) for a in range(0, 60) for b in range(0, 60) if a != b and a % 3 == b % 3}
     asked = []
@@ -131,29 +180,34 @@ def test_mix_order_follows_the_weights(spark):
         assert all(abs(order[:end].count(s) / end - order.count(s) / len(order)) < 0.05 for s in range(3))
 
 
-def test_line_dedup(docs):
-    rows = sorted({(i is not None, i, t) for i, t in _rows(docs)}, key=lambda x: (x[0], x[1] or 0, x[2] or ""))
-    got = defaultdict(list)
-    for r in line_dedup.dedup_lines(docs).collect():
-        got[r.doc_id].append((r.n_lines, r.n_removed, r.n_spans, r.text))
-    seen = set()
-    for _, i, text in rows:
-        if i is None:
-            for k in range(len(text.split("\n")) - 2) if text else ():
-                seen.add(tuple(text.split("\n")[k : k + 3]))
-    for _, i, text in rows:
-        if i is None:
-            continue
-        lines = text.split("\n") if text is not None else []
-        gone = set()
+def _line_dedup_brute_force(rows):
+    """Lines of each (doc_id, hash, text) and the numbers of those removed."""
+    seen, out = set(), {}
+    for known, i, th, text in sorted({(i is not None, i or 0, th, t) for i, th, t in rows if t is not None}):
+        lines, gone = text.split("\n"), set()
         for k in range(len(lines) - 2):
             w = tuple(lines[k : k + 3])
             gone |= {k, k + 1, k + 2} if w in seen else set()
             seen.add(w)
-        want = (len(lines), len(gone), sum(k - 1 not in gone for k in gone), None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
-        assert set(got[i]) == {want}, (i, text)
+        out[i if known else None, text] = (lines, gone)
+    return out
+
+
+def test_line_dedup(docs):
+    rows = docs.selectExpr("doc_id", "xxhash64(text)", "text", "m['a']").collect()
+    found, want = _line_dedup_brute_force([tuple(r)[:3] for r in rows]), []
+    for i, _, text, a in rows:
+        lines, gone = found.get((i, text), ([], set()))
+        kept = None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        want.append(repr((i, a, len(lines), len(gone), sum(k - 1 not in gone for k in gone), kept)))
     out = line_dedup.dedup_lines(docs)
-    assert set(docs.columns) <= set(out.columns) and out.count() == docs.count()
+    assert sorted(repr((r.doc_id, (r.m or {}).get("a"), r.n_lines, r.n_removed, r.n_spans, r.text)) for r in out.collect()) == sorted(want)
+    assert set(docs.columns) | {"n_lines", "n_removed", "n_spans"} == set(out.columns)
+    plain = line_dedup.dedup_lines(docs, counts=False, drop_emptied=True)
+    assert set(plain.columns) == set(docs.columns) and "Python" not in plain._jdf.queryExecution().toString()
+    left = lambda lines, gone: "".join(x for k, x in enumerate(lines) if k not in gone)
+    emptied = sum(bool(found[i, t][1]) and not left(*found[i, t]).strip() for i, _, t, _ in rows if t is not None)
+    assert emptied >= 3 and plain.count() == len(rows) - emptied and {r.n_lines for r in plain.select("n_lines").collect()} == {1, None}
 
 
 def _suffix_brute_force(docs):
@@ -237,25 +291,31 @@ def test_previous_factors_of_suffixes():
         assert suffix_dedup.longest_previous_factors(data, starts).tolist() == want
 
 
-@pytest.mark.parametrize("block", [5, 1_000_000])
-def test_decontamination(spark, docs, block):
+@pytest.mark.parametrize("full", [False, True])
+def test_decontamination(spark, docs, full, monkeypatch):
+    if full:  # as if there were so many items that the map lets every window pass
+        monkeypatch.setattr(decontaminate, "_fingerprint_map", lambda windows: np.full(1 << (decontaminate.MAP_BITS - 6), (1 << 64) - 1, np.uint64))
     bench = spark.createDataFrame(BENCHMARK, "item_id long, text string")
-    got = defaultdict(set)
-    found = decontaminate.find_contamination(docs, bench, block)
-    assert found.count() == docs.count()
-    for r in found.collect():
-        got[(r.doc_id, r.text)].add((r.n_words, r.n_hit, tuple(sorted(r.items)), r.contaminated))
-    for i, text in _rows(docs):
+    rows, want, clean = docs.selectExpr("doc_id", "text", "m['a'] as a").collect(), [], []
+    for i, text, a in rows:
         w, hit, items = _words(text, ALNUM), set(), set()
         for item, passage in BENCHMARK:
             p = _words(passage, ALNUM)
             n = min(13, len(p))
-            for a in range(len(p) - n + 1 if p else 0):
-                for b in range(len(w) - n + 1):
-                    if w[b : b + n] == p[a : a + n]:
-                        hit |= set(range(b, b + n))
+            for x in range(len(p) - n + 1 if p else 0):
+                for y in range(len(w) - n + 1):
+                    if w[y : y + n] == p[x : x + n]:
+                        hit |= set(range(y, y + n))
                         items.add("" if item is None else str(item))
-        assert got[(i, text)] == {(len(w), len(hit), tuple(sorted(items)), bool(hit) and 20 * len(hit) >= len(w))}, text
+        want.append(repr((i, text, a, len(w), len(hit), tuple(sorted(items)), bool(hit) and 20 * len(hit) >= len(w))))
+        clean += [] if hit and 20 * len(hit) >= len(w) else [repr((i, text, a))]
+    got = decontaminate.find_contamination(docs, bench).collect()
+    assert sorted(repr((r.doc_id, r.text, (r.m or {}).get("a"), r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated)) for r in got) == sorted(want)
+    assert all(set().union(*[range(h.s, h.e) for h in r.hits] or [()]) and len(set().union(*[range(h.s, h.e) for h in r.hits])) == r.n_hit for r in got if r.n_hit)
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(repr((r.doc_id, r.text, (r.m or {}).get("a"))) for r in kept.collect()) == sorted(clean)
+    if not full:
+        assert decontaminate.contamination(docs, bench).count() == len(rows)
 
 
 def test_token_counts(docs):

@@ -1,6 +1,7 @@
 """Tool-call linking: links, order, validation and canonical form, with ties, repeats, cycles, nulls and clashing columns."""
 
 import json
+import random
 
 import pytest
 
@@ -49,6 +50,47 @@ def test_canonical_json(tables):
     assert json.loads(rows[2, 1])["arguments"] is None
 
 
+def _layers(edges, calls):
+    known, out = {c: set(e for e in edges.get(c, ()) if e in calls) for c in calls}, {}
+    while ready := [c for c in known if c not in out and known[c] <= set(out)]:
+        out |= {c: 1 + max((out[p] for p in known[c]), default=-1) for c in ready}
+    return out
+
+
+def test_layers_of_long_chains_and_forks(spark, monkeypatch):
+    r, rows, want, rounds = random.Random(2), [], {}, []
+    graphs = [{f"c{k}": [f"c{k - 1}"] * (k > 0) for k in range(1000)}]  # a chain
+    graphs.append({f"d{k}": [f"d{k // 3 * 3 - j}" for j in (1, 2, 3)] * (k > 2) for k in range(300)})  # three side by side
+    graphs.append({f"e{k}": r.sample([f"e{j}" for j in range(k)], min(k, 2)) + ["gone"] for k in range(40)})
+    graphs.append({f"f{k}": [f"f{(k + 1) % 5}"] if k < 5 else [f"f{k - 1}", "f9"] for k in range(12)})  # a cycle and what is behind it
+    for conv, graph in enumerate(graphs):
+        rows += [(conv, k, c, "f", "{}", deps) for k, (c, deps) in enumerate(graph.items())]
+        want |= {(f"={conv}", c): n for c, n in _layers(graph, set(graph)).items()}
+    calls = spark.createDataFrame(rows, "conv_id long, turn int, call_id string, name string, arguments string, depends_on array<string>")
+    kept = tool_calls.cut
+    monkeypatch.setattr(tool_calls, "cut", lambda df, name: rounds.append(name) or kept(df, name))
+    got = {(x["_conv"], x.call_id): x.layer for x in tool_calls.layers(tool_calls._keyed(calls)).collect()}
+    assert got == want and max(got.values()) == 999 and len(rounds) < 30
+
+
+def test_nested_parameters_and_allowed_values(spark):
+    rows = [("f", "where", "object", True, None), ("f", "where.city", "string", True, None), ("f", "where.zone", "integer", False, None), ("f", "unit", "string", False, ["c", "f"]), ("f", "n", "number", False, ["1", "2"]), ("g", "a", "object", False, None), ("g", "a.b", "object", False, None), ("g", "a.b.c", "boolean", True, None)]
+    parameters = spark.createDataFrame(rows, "name string, parameter string, type string, required boolean, allowed array<string>")
+    cases = [
+        ("f", '{"where": {"city": "x", "zone": 3}, "unit": "c", "n": 1}', []),
+        ("f", '{"where": {"zone": "3", "more": 1}, "unit": "k", "n": 3}', ["missing where.city", "not allowed n", "not allowed unit", "unknown where.more", "wrong type where.zone"]),
+        ("f", '{"where": "here"}', ["missing where.city", "wrong type where"]),
+        ("f", '{"unit": null}', ["missing where", "wrong type unit"]),
+        ("g", '{"a": {"b": {}}}', ["missing a.b.c"]),
+        ("g", '{"a": {}}', []),
+        ("g", '{"a": {"b": {"c": 1, "it\'s": 2}}}', ["unknown a.b.it's", "wrong type a.b.c"]),
+    ]
+    calls = spark.createDataFrame([(k, 0, "x", name, text, []) for k, (name, text, _) in enumerate(cases)], "conv_id long, turn int, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn int, call_id string, content string")
+    got = {r.conv_id: r.problems for r in tool_calls.link_tool_calls(calls, results, parameters).collect()}
+    assert [got[k] for k in range(len(cases))] == [p for _, _, p in cases]
+
+
 def test_empty(spark, tables):
     calls, results, parameters = tables
     assert tool_calls.link_tool_calls(calls.filter("false"), results.filter("false"), parameters.filter("false")).count() == 0

@@ -2,16 +2,17 @@
 
 Texts are words of digits, letters (A-Z in lower case) and characters from U+0080. In each window of 13 words the k-gram
 of least hash is kept as a fingerprint, for documents and items alike, so every shared span of 13 words shares one.
-Document fingerprints are joined with those of the items, hits are extended to the windows they stand for, and a
-window counts when all its words agree. Items of fewer words are one window each; documents are tried at those
-lengths directly.
+Items of fewer words are one window each, and documents are winnowed at those lengths too.
 
-The items' windows are sent to the tasks in blocks of at most ``BLOCK_WINDOWS`` rows; a larger benchmark takes one pass over the
-documents per block, and the passes' hits are merged by document.
+The items' fingerprints, as bits of a map of fixed size, go to the tasks that scan the documents; fingerprints that can't be an item's stay
+there. Those left are extended to all windows that choose them and joined with the items' windows as tables, by
+fingerprint and 128 bits of hashes over all words of the window (two sums of independent values of the words). A frequent passage is
+dealt to several tasks; Spark broadcasts the items' side if it is small. One pass over the documents serves any size of
+benchmark: a larger one only lets more windows pass the map.
 
 Defined results: null and empty texts have no words and no hits; items without words match nothing; items of equal id
 count once, an item without id as the empty string; rows equal in ``doc_id`` and text get equal results; an empty table on
-either side gives no hits; further columns stay.
+either side gives no hits; further columns stay, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewalk.llm.bytesets import ALNUM, Words, prefix_sums, slices, sliding_min, span_hashes
+from tidewalk.llm.bytesets import ALNUM, U, Words, mixed, prefix_sums, slices, sliding_min, span_hashes
+from tidewalk.llm.columns import fresh
 from tidewalk.llm.scratch import cut
 
 WINDOW, K = 13, 5
-#: Windows of items in one broadcast: 24 bytes each and their ids.
-BLOCK_WINDOWS = 1_000_000
-FOUND = "array<struct<s:int,e:int>>"
+#: Bits of the map of the items' fingerprints (a power of two).
+MAP_BITS = 26
+#: Parts that the rows of a frequent window are dealt to.
+SALT = 8
+RESULTS = ["n_words", "hits", "items", "n_hit", "contaminated"]
+KEY = ["fingerprint", "n", "h1", "h2"]
 
 
 def _windows(words: Words, n: int) -> np.ndarray:
@@ -37,106 +41,83 @@ def _windows(words: Words, n: int) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - words.at[:-1], counts)
 
 
-def _fingerprints(words: Words, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the 13-word windows and, for each, the hash of its fingerprint."""
-    starts = _windows(words, WINDOW)
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    at = np.arange(len(words.hash) - K + 1)
-    grams = span_hashes(sums, at, at + K)
-    return starts, grams[sliding_min(grams, WINDOW - K + 1)[starts]]
+class _Winnowed:
+    """Fingerprints and hashes of the windows of a run of texts."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        self.words = Words(data, at, ALNUM)
+        self.sums = [prefix_sums(self.words.hash), prefix_sums(mixed(self.words.hash ^ U(0xA24BAED4963EE407)))]
+
+    def fingerprints(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of n words and, for each, the hash of its least k-gram."""
+        starts, k = _windows(self.words, n), min(K, n)
+        if not len(starts):
+            return starts, np.zeros(0, U)
+        at = np.arange(len(self.words.hash) - k + 1)
+        grams = span_hashes(self.sums[0], at, at + k)
+        return starts, grams[sliding_min(grams, n - k + 1)[starts]]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        return [span_hashes(s, start, end) for s in self.sums]
+
+
+def _bit(fingerprints: np.ndarray, n) -> np.ndarray:
+    return (mixed(fingerprints + np.asarray(n).astype(U)) >> U(64 - MAP_BITS)).astype(np.int64)
 
 
 def _item_windows(batches):
-    """item, n (words of the window), hash, fingerprint of every item window."""
+    """item, fingerprint, n (words of the window), h1, h2, bit of every item window."""
     for batch in batches:
         ids = batch.column(0).cast(pa.string()).fill_null("")
         for i, j, data, at in slices(batch.column(1)):
-            words = Words(data, at, ALNUM)
-            sums = prefix_sums(words.hash)
-            counts = np.diff(words.at)
-            starts, fps = _fingerprints(words, sums)
-            short = np.flatnonzero((counts > 0) & (counts < WINDOW))
-            begin = np.concatenate([starts, words.at[short]])
-            n = np.concatenate([np.full(len(starts), WINDOW), counts[short]])
-            text = np.searchsorted(words.at, begin, "right") - 1
-            hashes = span_hashes(sums, begin, begin + n)
-            yield pa.RecordBatch.from_arrays([
-                ids.slice(i, j - i).take(pa.array(text)), pa.array(n.astype(np.int32)), pa.array(hashes.view(np.int64)),
-                pa.array(np.concatenate([fps, np.zeros(len(short), np.uint64)]).view(np.int64)),
-            ], names=["item", "n", "hash", "fingerprint"])
-
-
-class _Block:
-    """A block of item windows: by length the sorted hashes with the items of each, and the fingerprints."""
-
-    def __init__(self, rows: pa.Table):
-        n, hashes = rows["n"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
-        names = rows["item"].combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
-        self.names, item = names.dictionary, np.asarray(names.indices)
-        self.fingerprints = np.unique(rows["fingerprint"].to_numpy().view(np.uint64)[n == WINDOW])
-        self.by_length = {}
-        for length in np.unique(n).tolist():
-            own = np.flatnonzero(n == length)
-            own = own[np.argsort(hashes[own], kind="stable")]
-            self.by_length[length] = (*np.unique(hashes[own], return_index=True), item[own])
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """start and length of each occurring window; its text and item, once per pair."""
-        sums, begins, lengths, pairs = prefix_sums(words.hash), [], [], []
-        for length, (known, first, item) in self.by_length.items():
-            if length == WINDOW:
-                starts, fps = _fingerprints(words, sums)
-                starts = starts[_find(self.fingerprints, fps) >= 0]
-            else:
-                starts = _windows(words, length)
-            at = _find(known, span_hashes(sums, starts, starts + length))
-            starts, at = starts[at >= 0], at[at >= 0]
-            begins.append(starts)
-            lengths.append(np.full(len(starts), length))
-            text = np.searchsorted(words.at, starts, "right") - 1
-            once = np.unique(text * len(known) + at)
-            text, at = once // len(known), once % len(known)
-            n = np.append(first[1:], len(item))[at] - first[at]
-            which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at], n)
-            pairs.append(np.stack([np.repeat(text, n), item[which]]))
-        if not begins:
-            empty = np.zeros(0, np.int64)
-            return empty, empty, empty, empty
-        pairs = np.unique(np.concatenate(pairs, 1), axis=1)
-        return np.concatenate(begins), np.concatenate(lengths), pairs[0], pairs[1]
-
-
-def _find(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Index of each value in sorted ``known``, or -1."""
-    if not len(known):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return np.where(known[at] == values, at, -1)
-
-
-def _document_hits(block: _Block, words: Words) -> list[pa.Array]:
-    """Of each text: its number of words, its runs of hit words, and the items that occur."""
-    begin, length, text, item = block.hits(words)
-    step = np.zeros(len(words.hash) + 1, np.int64)
-    np.add.at(step, begin, 1)
-    np.add.at(step, begin + length, -1)
-    hit = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
-    starts, ends = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(~hit[1:] & hit[:-1])
-    inner = words.at[1:-1]
-    cut_at = np.unique(inner[(inner > 0) & (inner < len(hit) - 2)])
-    cut_at = cut_at[hit[cut_at] & hit[cut_at + 1]] if len(cut_at) else cut_at  # runs end where a text ends
-    starts, ends = np.sort(np.concatenate([starts, cut_at])), np.sort(np.concatenate([ends, cut_at]))
-    own = np.searchsorted(words.at, starts, "right") - 1
-    n = len(words.at) - 1
-    base = words.at[own]
-    runs = pa.StructArray.from_arrays([pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], ["s", "e"])
-    order = np.lexsort((item, text))
-    return [
-        pa.array(np.diff(words.at).astype(np.int64)),
-        pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)).astype(np.int32)), runs),
-        pa.ListArray.from_arrays(pa.array(np.searchsorted(text[order], np.arange(n + 1)).astype(np.int32)), block.names.take(pa.array(item[order])).cast(pa.string())),
-    ]
+            texts = _Winnowed(data, at)
+            size = np.diff(texts.words.at)
+            for n in np.unique(np.minimum(size, WINDOW))[:].tolist():
+                if not n:
+                    continue
+                starts, fps = texts.fingerprints(n)
+                text = np.searchsorted(texts.words.at, starts, "right") - 1
+                own = (size[text] == n) | (n == WINDOW)  # shorter windows only of items of that length
+                starts, fps, text = starts[own], fps[own], text[own]
+                yield pa.RecordBatch.from_arrays([
+                    ids.slice(i, j - i).take(pa.array(text)), pa.array(fps.view(np.int64)), pa.array(np.full(len(starts), n, np.int32)),
+                    *[pa.array(h.view(np.int64)) for h in texts.hashes(starts, starts + n)], pa.array(_bit(fps, n)),
+                ], names=["item", *KEY, "bit"])
+
+
+def _fingerprint_map(windows: DataFrame) -> np.ndarray:
+    """The bits of all fingerprints, 64 in a value; it has 2**MAP_BITS bits whatever the number of items."""
+    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    rows = windows.groupBy(F.expr("shiftright(bit, 6)").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), U)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(U)
+    return out
+
+
+def _scan(batches, known: np.ndarray, lengths: list[int]):
+    """doc_id, th, n_words, windows (those whose fingerprint may be an item's) of each text."""
+    for batch in batches:
+        for i, j, data, at in slices(batch.column(2)):
+            texts = _Winnowed(data, at)
+            starts, sizes, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)]
+            for n in lengths:
+                start, fp = texts.fingerprints(n)
+                bit = _bit(fp, n)
+                hit = np.flatnonzero(known[bit >> 6] >> (bit & 63).astype(U) & U(1))
+                starts.append(start[hit])
+                sizes.append(np.full(len(hit), n))
+                fps.append(fp[hit])
+            start, n, fp = np.concatenate(starts), np.concatenate(sizes), np.concatenate(fps)
+            order = np.argsort(start, kind="stable")
+            start, n, fp = start[order], n[order], fp[order]
+            text = np.searchsorted(texts.words.at, start, "right") - 1
+            h1, h2 = texts.hashes(start, start + n)
+            windows = pa.StructArray.from_arrays([
+                pa.array((start - texts.words.at[text]).astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+            ], ["s", *KEY])
+            offsets = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
+            own = [batch.column(c).slice(i, j - i) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(texts.words.at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), windows)], names=["doc_id", "th", "n_words", "windows"])
 
 
 def _merged(runs: Column) -> Column:
@@ -148,38 +129,43 @@ def _merged(runs: Column) -> Column:
     return F.when(F.size(runs) == 0, F.lit(0)).otherwise(total["n"])
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, with_text: bool = True) -> DataFrame:
-    """documents plus n_words, hits (runs of hit words, start and end), items, n_hit, contaminated (at least 5 % of the words hit).
+def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document without its text: doc_id, th (xxhash64 of the text), n_words, hits (windows of hit words, start and end), items, n_hit, contaminated.
 
-    Without ``with_text`` the texts are left out.
+    contaminated: at least one word is hit, and at least 5 % are.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(_item_windows, "item string, n int, hash long, fingerprint long")
-    items = cut(items.distinct(), "item-windows")
-    blocks = max(1, -(-items.count() // block_windows))
-    names = ("n_words", "runs", "items")
-    kept = [c for c in documents.columns if c not in names]
-    sent = [c for c in kept if c != "text" or with_text or blocks > 1]
-    out = T.StructType([*[documents.schema[c] for c in sent], T.StructField("n_words", T.LongType()), *T._parse_datatype_string(f"runs {FOUND}, items array<string>").fields])
-    passes = []
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("hash", "n"), F.lit(blocks)) == b)
-        block = spark.sparkContext.broadcast(_Block(own.toArrow()))
-
-        def scan(batches, block=block):
-            for batch in batches:
-                text = batch.column(batch.schema.get_field_index("text"))
-                for i, j, data, at in slices(text):
-                    yield pa.RecordBatch.from_arrays([*[batch.column(kept.index(c)).slice(i, j - i) for c in sent], *_document_hits(block.value, Words(data, at, ALNUM))], names=[*sent, *names])
-
-        passes.append(documents.select(*[f"`{c}`" for c in kept]).mapInArrow(scan, out))
-    found = passes[0]
-    for other in passes[1:]:
-        found = found.unionByName(other)
-    if blocks > 1:
-        same = [c for c in kept if not isinstance(documents.schema[c].dataType, T.MapType)]
-        found = found.groupBy(*[f"`{c}`" for c in same], "n_words").agg((F.count("*") / blocks).cast("int").alias("_copies"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
-    found = found.withColumn("n_hit", _merged(F.col("runs")).cast("long"))
-    found = found if with_text else found.drop("text")
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).withColumnRenamed("runs", "hits")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    windows = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(_item_windows, "item string, fingerprint long, n int, h1 long, h2 long, bit long")
+    windows = cut(windows.distinct(), "item-windows")
+    known = documents.sparkSession.sparkContext.broadcast(_fingerprint_map(windows))
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most WINDOW of them
+    texts = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    schema = f"doc_id {kind}, th long, n_words long, windows array<struct<s:int,fingerprint:long,n:int,h1:long,h2:long>>"
+    scanned = cut(texts.mapInArrow(lambda batches: _scan(batches, known.value, lengths), schema), "scanned")
+
+    found = scanned.select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*")
+    found = found.withColumn("salt", F.pmod(F.hash("th", "s"), F.lit(SALT)))
+    dealt = windows.select("item", *KEY, F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
+    found = found.join(dealt, [*KEY, "salt"]).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    found = found.agg(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e"))).alias("hits"), F.collect_set("item").alias("items"))
+    out = scanned.drop("windows").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+    out = out.select("doc_id", "th", "n_words", F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.withColumn("n_hit", _merged(F.col("hits")).cast("long"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """documents plus n_words, hits, items, n_hit and contaminated (see ``contamination``)."""
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in RESULTS]
+    documents = documents.select(*kept)
+    id_, th = fresh(documents, "id", "th")
+    found = contamination(documents, benchmark).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias(id_), F.col("th").alias(th), *RESULTS)
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & F.xxhash64("text").eqNullSafe(F.col(th))).drop(id_, th)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    id_, th = fresh(documents, "id", "th")
+    gone = contamination(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & F.xxhash64("text").eqNullSafe(F.col(th)), "left_anti")

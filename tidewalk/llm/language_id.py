@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewalk.llm.bytesets import U, mixed, powers
+from tidewalk.llm.columns import fresh
 from tidewalk.llm.scratch import cut
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -264,4 +265,4 @@ def predict(documents: DataFrame, model: LanguageModel, columns: list[str] | Non
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pred, pa.array(score)], names=[*columns, "lang_pred", "score"])
 
     out = T.StructType([*[documents.schema[c] for c in columns], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text")).mapInArrow(scan, out)
+    return documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias(fresh(documents, "text")[0])).mapInArrow(scan, out)

@@ -6,7 +6,7 @@ occurrences cover are removed. Windows are judged on the input, not on what is l
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line; a text of fewer than three
 lines has no window and stays whole; a null ``doc_id`` comes before all others; rows equal in ``doc_id`` and text count as
-one document, and each gets that document's result; an empty table gives an empty result; further columns stay.
+one document, and each gets that document's result; an empty table gives an empty result; further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewalk.llm.columns import fresh
+
 WINDOW = 3
+COUNTS = ("n_lines", "n_removed", "n_spans")
 #: Copies of each repeated window that its occurrences are dealt to, so that a hot window spreads over tasks.
 SALT = 8
 
@@ -39,20 +42,22 @@ def later_windows(documents: DataFrame) -> DataFrame:
     return windows.join(first, ["h1", "h2", "salt"]).filter(F.struct("doc_id", "th", "i") > F.col("first")).select("doc_id", "th", "i")
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """documents with ``text`` less the covered lines, plus n_lines, n_removed and n_spans (runs of removed lines)."""
-    starts = later_windows(documents).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("i").alias("_starts"))
-    joined = documents.join(starts, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_th")) & F.col("text").isNotNull(), "left")
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.array(*[s + j for j in range(WINDOW)]))))
-    joined = joined.withColumn("_covered", F.coalesce(covered, F.array().cast("array<int>"))).withColumn("_lines", _lines())
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    runs = F.size(F.array_except(F.col("_covered"), F.transform("_covered", lambda c: c + 1)))
-    rest = [F.col(f"`{c}`") for c in documents.columns if c not in ("text", "n_lines", "n_removed", "n_spans")]
-    return joined.select(
-        *rest,
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.size("_covered").cast("long").alias("n_removed"),
-        runs.cast("long").alias("n_spans"),
-        F.when(F.size("_covered") == 0, F.col("text")).otherwise(rebuilt).alias("text"),
-    )
+def dedup_lines(documents: DataFrame, counts: bool = True, drop_emptied: bool = False) -> DataFrame:
+    """documents with ``text`` less the covered lines and, with ``counts``, n_lines, n_removed and n_spans (runs of removed lines).
+
+    Columns of those names are replaced by the counts. ``drop_emptied`` leaves out documents that lose lines and keep nothing but white space.
+    """
+    id_, th, starts, covered, lines, rest = fresh(documents, "id", "th", "starts", "covered", "lines", "rest")
+    found = later_windows(documents).groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.collect_set("i").alias(starts))
+    joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & F.xxhash64("text").eqNullSafe(F.col(th)) & F.col("text").isNotNull(), "left")
+    hidden = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(*[s + j for j in range(WINDOW)]))))
+    joined = joined.withColumn(covered, F.coalesce(hidden, F.array().cast("array<int>"))).withColumn(lines, _lines())
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    joined = joined.withColumn(rest, F.when(F.size(covered) == 0, F.col("text")).otherwise(rebuilt))
+    if drop_emptied:
+        joined = joined.filter((F.size(covered) == 0) | F.col(rest).rlike(r"\S"))
+    runs = F.size(F.array_except(F.col(covered), F.transform(covered, lambda c: c + 1)))
+    numbers = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size(covered).cast("long").alias("n_removed"), runs.cast("long").alias("n_spans")] if counts else []
+    others = [F.col(f"`{c}`") for c in documents.columns if c != "text" and not (counts and c in COUNTS)]
+    return joined.select(*others, *numbers, F.col(rest).alias("text"))

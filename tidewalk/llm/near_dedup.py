@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewalk.llm.bytesets import SPACED, U, Words, mixed, slices
+from tidewalk.llm.columns import fresh
 from tidewalk.llm.scratch import cut
 
 SHINGLE = 5
 COORDINATES, TREES = 128, 16
 #: Members of a node that are compared exhaustively; levels of branching.
 BLOCK, LEVELS = 2048, 6
+#: Shingles of the sets that a task confirms together; a cluster with more goes in pairs of parts.
+TOGETHER = 4_000_000
 #: Copies of a joined row that the rows of a hot key are dealt to.
 SALT = 8
 #: Documents whose names are broadcast to fetch their texts; beyond it the texts are shuffled.
@@ -133,8 +136,17 @@ def _walk(n: int, linked):
                 yield from ((k, int(x)) for x in found)
 
 
-def _clusters(batches, least: int):
-    """cluster, v from node, v, sig sorted by node: members of a node that MinHash values join."""
+def _parts(own: np.ndarray, size: np.ndarray, together: int) -> list[np.ndarray]:
+    """The members as one group or, with more than ``together`` shingles, as all pairs of parts of half that size."""
+    if size.sum() <= together or len(own) <= 2:
+        return [own]
+    part = np.cumsum(size) * 2 // together
+    parts = [own[part == k] for k in np.unique(part)]
+    return [np.concatenate([a, b]) for k, a in enumerate(parts) for b in parts[k + 1 :]] or [own]
+
+
+def _clusters(batches, least: int, together: int):
+    """cluster, v from node, v, sig, n sorted by node: members of a node that MinHash values join."""
     clusters, members = [], []
 
     def out():
@@ -144,15 +156,17 @@ def _clusters(batches, least: int):
         return batch
 
     for table in _groups(batches):
-        v, sig = np.asarray(table.column(1)), _matrix(table.column(2).combine_chunks())
+        v, sig, size = np.asarray(table.column(1)), _matrix(table.column(2).combine_chunks()), np.asarray(table.column(3))
         root = np.arange(len(v))
         for a, b in _walk(len(v), lambda k, others: _agreeing(sig, least, k, others)):
             root[b] = root[a]
         order = np.argsort(root, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(root[order])) + 1, [len(v)]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b - a > 1:
-                own = np.sort(v[order[a:b]])
+            if b - a < 2:
+                continue
+            joined = order[a:b][np.argsort(v[order[a:b]])]
+            for own in _parts(v[joined], size[joined], together):
                 name = int(mixed(np.bitwise_xor.reduce(mixed(own.astype(U)), keepdims=True) + U(len(own))).view(np.int64)[0])
                 clusters += [name] * len(own)
                 members += own.tolist()
@@ -219,52 +233,75 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return _salted(nodes, nodes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), ["key"], "v")
 
 
-def _block_pairs(nodes: DataFrame) -> DataFrame:
-    """Nodes of at most BLOCK members in place of larger ones: every pair of blocks of half that size makes one."""
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK // 2)).cast("int")
+def _block_pairs(nodes: DataFrame, block: int) -> DataFrame:
+    """Nodes of about ``block`` members in place of larger ones: every pair of blocks of half that size makes one."""
+    blocks = F.ceil(F.col("m") / F.lit(max(1, block // 2))).cast("int")
     rows = nodes.withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select(F.xxhash64("key", F.least("home", "other"), F.greatest("home", "other")).alias("key"), "v")
 
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id linked with it, itself included), kept, th (xxhash64 of the text)."""
+def near_duplicates(documents: DataFrame, threshold: float = 0.8, block: int = BLOCK, levels: int = LEVELS, together: int = TOGETHER) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id linked with it, itself included), kept (doc_id is that), th (xxhash64 of the text) and leads.
+
+    ``leads`` holds for one document of each component, the kept one of least th where several texts have its doc_id (and
+    for all its repeated rows).
+    """
     hashed = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
     sketches = cut(hashed.mapInArrow(_sketch, "doc_id long, th long, n long, s1 long, s2 long, paths array<long>, sig binary"), "sketches")
     full = sketches.filter("n > 0")
-    sets = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th", "paths", "sig")).alias("row"))
-    sets = cut(sets.select("s1", "s2", "rep", "row.*").withColumn("v", F.monotonically_increasing_id()), "sets")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th", "n", "paths", "sig")  # rows without id come last
+    sets = full.groupBy("s1", "s2").agg(F.min(row).alias("row"))
+    sets = cut(sets.select("s1", "s2", "row.*").withColumn("v", F.monotonically_increasing_id()), "sets")
 
     least, percent = least_agreement(threshold), round(threshold * 100)
     nodes = cut(_shared(sets.select("v", F.posexplode("paths").alias("tree", "path")).select(F.xxhash64("tree", "path").alias("key"), "v")), "nodes")
-    leaves = [nodes.filter(F.col("m") <= BLOCK).select("key", "v")]
-    for level in range(LEVELS):
-        large = nodes.filter(F.col("m") > BLOCK)
+    leaves = [nodes.filter(F.col("m") <= block).select("key", "v")]
+    for level in range(levels):
+        large = nodes.filter(F.col("m") > block)
         if not large.limit(1).count():
             break
         nodes = cut(_shared(_branches(large, sets, level)), "nodes")
-        leaves.append(nodes.filter(F.col("m") <= BLOCK).select("key", "v"))
+        leaves.append(nodes.filter(F.col("m") <= block).select("key", "v"))
     else:
-        leaves.append(_block_pairs(nodes.filter(F.col("m") > BLOCK)))
+        leaves.append(_block_pairs(nodes.filter(F.col("m") > block), block))
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
-    small = small.join(sets.select("v", "sig"), "v").select("key", "v", "sig").repartition("key").sortWithinPartitions("key")
-    clusters = cut(small.mapInArrow(lambda rows: _clusters(rows, least), "cluster long, v long").distinct(), "clusters")
+    small = small.join(sets.select("v", "sig", "n"), "v").select("key", "v", "sig", "n").repartition("key").sortWithinPartitions("key")
+    clusters = cut(small.mapInArrow(lambda rows: _clusters(rows, least, together), "cluster long, v long").distinct(), "clusters")
 
     wanted = clusters.select("v").distinct().join(sets.select("v", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "v")
     wanted = cut(wanted, "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
-    texts = hashed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NAMES else wanted, same).select("v", "text")
+    texts = hashed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NAMES else wanted, same).groupBy("v").agg(F.any_value("text").alias("text"))  # once for rows that repeat
     texts = clusters.join(texts, "v").join(sets.select("v", "sig"), "v").select("cluster", "v", "sig", "text")
     texts = texts.repartition("cluster").sortWithinPartitions("cluster")
     links = texts.mapInArrow(lambda rows: _links(rows, least, percent), "a long, b long").distinct()
 
     labels = components(cut(links, "links"))
     named = sets.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.select("s1", "s2", "label").join(names, "label").drop("label")
+    names = named.groupBy("label").agg(F.min(F.struct("nameless", "doc_id", "th")).alias("name"))
+    named = named.select("s1", "s2", "label").join(names, "label").select("s1", "s2", "name.*").withColumnsRenamed({"doc_id": "component_id", "th": "leader_th"}).drop("nameless")
     rows = _salted(full.select("doc_id", "th", "n", "s1", "s2"), named, ["s1", "s2"], "doc_id")
-    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th"]
-    empty = sketches.filter("n = 0").withColumn("component_id", F.col("doc_id"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("leader_th"))).alias("leads")]
+    empty = sketches.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("leader_th", F.col("th"))
     return rows.select(*out).unionByName(empty.select(*out))
+
+
+def one_of_each(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns: the leading document, and one of its rows if they repeat.
+
+    Documents without words are no component and stay, but of rows equal in doc_id and text one is left too: the least
+    by the JSON of all columns.
+    """
+    id_, th, copies, row = fresh(documents, "id", "th", "copies", "row")
+    found = cut(near_duplicates(documents, threshold), "near")
+    named = found.select(F.col("doc_id").alias(id_), F.col("th").alias(th), "leads")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.xxhash64("text").eqNullSafe(F.col(th))
+    kept = documents.join(named.filter(~F.col("leads")).drop("leads").distinct(), same, "left_anti")
+    again = named.filter("leads").groupBy(id_, th).agg(F.count("*").alias(copies)).filter(F.col(copies) > 1).drop(copies)
+    repeated = kept.join(again, same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    repeated = repeated.groupBy(F.col("doc_id").alias(id_), F.xxhash64("text").alias(th)).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row)).select(f"{row}.*")
+    return kept.join(again, same, "left_anti").unionByName(repeated)

@@ -5,7 +5,8 @@ are validated against the tools' parameters, and each call becomes one canonical
 (layer, turn, call_id) is a topological order of a conversation's calls; no conversation meets in one task for it.
 
 Tables: calls (conv_id, turn, call_id, name, arguments, depends_on: array of call ids), results (conv_id, turn, call_id,
-content), parameters (name, parameter, type, required; a tool without parameters has one row with a null parameter).
+content), parameters (name, parameter, type, required, and allowed if there are any: an array of the values it may have, as strings; a
+tool without parameters has one row with a null parameter). A dot in a parameter's name means a field of an object.
 
 Defined results: a null conv_id is a conversation of its own; a call with a null call_id is linked with nothing; of several calls of
 one id the first (by turn, then arguments) is linked, the others have status ``repeated``; of several results the first counts;
@@ -23,6 +24,8 @@ from tidewalk.llm.scratch import cut
 
 #: Rows of the parameters table up to which it is broadcast.
 BROADCAST_PARAMETERS = 10_000
+#: Edges up to which calls that depend on several others are jumped over.
+FAN = 4
 KEY = ["_conv", "call_id"]
 
 
@@ -31,22 +34,31 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def layers(calls: DataFrame) -> DataFrame:
-    """_conv, call_id, layer of all calls that are on or behind no cycle: Kahn's algorithm, a layer at a time."""
+    """_conv, call_id, layer (longest way from a call without dependencies) of all calls that are on or behind no cycle.
+
+    An edge says that a call lies at least ``w`` layers behind its parent; the parent of a call without dependencies is null, the ground.
+    In each round an edge goes on to its parent's parents, with the weights added, if the parent has one of them, or both
+    ends have at most ``FAN`` edges; of equal edges the heaviest stays. So ways of up to ``FAN`` calls side by side halve in
+    each round, and a call has its layer when its only edge is to the ground. Wider tangles settle at least a layer a
+    round. A round that settles nothing leaves cycles alone.
+    """
     known = calls.select(*KEY)
     edges = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("parent"))
-    edges = cut(edges.join(known.withColumnRenamed("call_id", "parent"), ["_conv", "parent"], "left_semi"), "edges")
-    placed = cut(known.join(edges, KEY, "left_anti").withColumn("layer", F.lit(0)), "layer")
-    newest, rounds = placed, 1
+    edges = edges.join(known.withColumnRenamed("call_id", "parent"), ["_conv", "parent"], "left_semi").select(*KEY, "parent")
+    ground = known.join(edges, KEY, "left_anti").select(*KEY, F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("w"))
+    counted = lambda rows: cut(rows.withColumn("n", F.count("*").over(Window.partitionBy(*KEY))), "edges")
+    edges, placed = counted(edges.withColumn("w", F.lit(1).cast("long")).unionByName(ground)), -1
     while True:
-        # an edge is open until its parent has a layer; a call is ready when its last open edge closes
-        waiting = edges.join(newest.select("_conv", F.col("call_id").alias("parent"), F.lit(True).alias("met")), ["_conv", "parent"], "left")
-        waiting = waiting.withColumn("met", F.coalesce("met", F.lit(False)))
-        ready = cut(waiting.groupBy(*KEY).agg(F.bool_and("met").alias("ready")).filter("ready").select(*KEY, F.lit(rounds).alias("layer")), "layer")
-        if not ready.limit(1).count():
-            return placed
-        edges = cut(waiting.filter(~F.col("met")).select("_conv", "call_id", "parent"), "edges")
-        placed = placed.unionByName(ready)
-        newest, rounds = ready, rounds + 1
+        done = edges.filter("n = 1 and parent is null")
+        n = done.count()
+        if n == placed:
+            return done.select(*KEY, F.col("w").cast("int").alias("layer"))
+        placed = n
+        way = edges.filter(F.col("n") <= FAN).select(F.col("_conv").alias("conv"), F.col("call_id").alias("through"), F.col("parent").alias("next"), F.col("w").alias("more"), F.col("n").alias("fan"))
+        moved = edges.join(way, (F.col("_conv") == F.col("conv")) & (F.col("parent") == F.col("through")) & ((F.col("fan") == 1) | (F.col("n") <= FAN)), "left")
+        weight = F.least(F.col("w") + F.coalesce("more", F.lit(0)), F.lit(1 << 40))  # on a cycle it would grow for ever
+        moved = moved.select(*KEY, F.when(F.col("more").isNull(), F.col("parent")).otherwise(F.col("next")).alias("parent"), weight.alias("w"))
+        edges = counted(moved.groupBy(*KEY, "parent").agg(F.max("w").alias("w")))
 
 
 def _kind(value: Column) -> Column:
@@ -58,18 +70,29 @@ def _kind(value: Column) -> Column:
     )
 
 
-def _problems(arguments: Column, parsed: Column, tool: Column) -> Column:
-    """What is wrong with the arguments, in order of code points."""
-    say = lambda text, names: F.transform(names, lambda k: F.concat(F.lit(text), k))
-    given, wanted = F.map_keys(arguments), F.map_keys(tool)
-    missing = F.filter(wanted, lambda k: F.element_at(tool, k)["required"] & ~F.map_contains_key(arguments, k))
+def _path(name: Column) -> Column:
+    """The path in a variant of a parameter whose name has a dot for each level."""
+    return F.concat(F.lit("$"), F.array_join(F.transform(F.split(name, "[.]"), lambda k: F.concat(F.lit("['"), k, F.lit("']"))), ""))
 
-    def wrong(k):
-        want, kind = F.try_element_at(tool, k)["type"], _kind(F.try_element_at(arguments, k))
-        return F.map_contains_key(tool, k) & (want != kind) & ~((want == "number") & (kind == "integer"))
 
-    found = F.concat(say("missing ", missing), say("unknown ", F.array_except(given, wanted)), say("wrong type ", F.filter(given, wrong)))
-    return F.when(tool.isNull(), F.array(F.lit("unknown tool"))).when(parsed.isNull() | arguments.isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_sort(found))
+def _problems(parsed: Column, tool: Column) -> Column:
+    """What is wrong with the arguments, in order of code points."""
+    say = lambda text, names: F.transform(names, lambda k: F.concat(F.lit(text), k))
+    none = F.array().cast("array<string>")
+    fields = lambda path: F.map_keys(F.try_variant_get(parsed, path, "map<string,variant>"))
+    above = lambda k: F.regexp_extract(k, r"^(.*)[.][^.]*$", 1)
+    wanted = F.map_keys(tool)
+    inner = F.array_distinct(F.filter(F.transform(wanted, above), lambda p: p != ""))
+    nested = F.flatten(F.transform(inner, lambda p: F.coalesce(F.transform(fields(_path(p)), lambda k: F.concat(p, F.lit("."), k)), none)))
+    given = F.concat(fields(F.lit("$")), F.coalesce(nested, none))
+    value = lambda k: F.try_variant_get(parsed, _path(k), "variant")
+    rule = lambda k: F.element_at(tool, k)
+    both = F.array_intersect(given, wanted)
+    missing = F.filter(wanted, lambda k: rule(k)["required"] & ~F.array_contains(given, k) & ((above(k) == "") | F.array_contains(given, above(k))))
+    wrong = F.filter(both, lambda k: (rule(k)["type"] != _kind(value(k))) & ~((rule(k)["type"] == "number") & (_kind(value(k)) == "integer")))
+    outside = F.filter(both, lambda k: ~F.array_contains(rule(k)["allowed"], value(k).cast("string")))
+    found = F.concat(say("missing ", missing), say("unknown ", F.array_except(given, wanted)), say("wrong type ", wrong), say("not allowed ", outside))
+    return F.when(tool.isNull(), F.array(F.lit("unknown tool"))).when(fields(F.lit("$")).isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_sort(found))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -88,7 +111,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame)
     known = first.select("_conv", F.col("call_id").alias("dep"))
     absent = first.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("dep")).join(known, ["_conv", "dep"], "left_anti")
     absent = absent.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.concat(F.lit("unknown dependency "), "dep"))).alias("absent"))
-    tools = parameters.groupBy("name").agg(F.map_from_entries(F.collect_list(F.when(F.col("parameter").isNotNull(), F.struct("parameter", F.struct("type", "required"))))).alias("tool"))
+    if "allowed" not in parameters.columns:
+        parameters = parameters.withColumn("allowed", F.lit(None).cast("array<string>"))
+    tools = parameters.groupBy("name").agg(F.map_from_entries(F.collect_list(F.when(F.col("parameter").isNotNull(), F.struct("parameter", F.struct("type", "required", "allowed"))))).alias("tool"))
     tools = F.broadcast(tools) if parameters.count() <= BROADCAST_PARAMETERS else tools
 
     linked = first.join(layers(first), KEY, "left").join(found.select(*KEY, "result"), KEY, "left").join(absent, KEY, "left")
@@ -97,9 +122,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame)
         others = others.withColumn(name, F.lit(None).cast(linked.schema[name].dataType))
     rows = linked.unionByName(others).join(tools, "name", "left")
     rows = rows.withColumn("parsed", F.try_parse_json("arguments"))
-    rows = rows.withColumn("given", F.try_variant_get("parsed", "$", "map<string,variant>"))
     status = F.when(F.col("_nth") > 1, "repeated").when(F.col("layer").isNull() & F.col("call_id").isNotNull(), "cyclic").when(F.col("result").isNull(), "pending").otherwise("linked")
-    problems = F.concat(_problems(F.col("given"), F.col("parsed"), F.col("tool")), F.coalesce("absent", F.array().cast("array<string>")))
+    problems = F.concat(_problems(F.col("parsed"), F.col("tool")), F.coalesce("absent", F.array().cast("array<string>")))
     body = F.to_json(F.struct("parsed", "call_id", "conv_id", F.array_sort(F.array_distinct("depends_on")).alias("depends_on"), "name", F.col("result.content").alias("result"), "turn").alias("x"), {"ignoreNullFields": "false"})
     rows = rows.select("conv_id", "turn", "call_id", "name", "layer", F.col("result.turn").alias("result_turn"), status.alias("status"), problems.alias("problems"), F.regexp_replace(body, r'^\{"parsed":', '{"arguments":').alias("json"))
     orphans = orphans.select("conv_id", F.lit(None).cast(calls.schema["turn"].dataType).alias("turn"), "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("layer"),
@@ -129,5 +153,6 @@ def calls_in(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     calls = conversations.filter("role = 'user'").select("conv_id", "turn", name(turn).alias("call_id"), F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("translate")), (turn % 3 + 1).cast("int")).alias("name"),
         arguments.alias("arguments"), F.when(k >= 1, F.array(name(parent))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
     results = conversations.filter("role = 'assistant'").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
-    parameters = conversations.sparkSession.createDataFrame(TOOLS, "name string, parameter string, type string, required boolean")
+    rows = ", ".join(f"('{tool}', '{parameter}', '{kind}', {str(required).lower()})" for tool, parameter, kind, required in TOOLS)
+    parameters = conversations.sparkSession.sql(f"select * from values {rows} as t(name, parameter, type, required)")
     return calls, results, parameters
