@@ -98,9 +98,11 @@ def test_shrunk_cosine(spark):
         assert retrieval.item_similarity(retrieval.item_pairs(signals)).first().similarity == pytest.approx(want, abs=1e-8)
 
 
-def test_leaving_a_user_out_equals_a_model_without_the_user(spark):
+@pytest.mark.parametrize("users,items,touched,chunk", [(12, 11, 5, 64), (30, 70, 25, 3)])
+def test_leaving_a_user_out_equals_a_model_without_the_user(spark, users, items, touched, chunk, monkeypatch):
+    monkeypatch.setattr(retrieval, "CHUNK", chunk)
     kinds = ["SAVE", "BUILD", "OPEN", "SHARE", "COMPLETE"]
-    events = _events(spark, [(u, (u * 7 + k * 3) % 11, kinds[(u + k) % 5], u * 20 + k) for u in range(12) for k in range(5)])
+    events = _events(spark, [(u, (u * 7 + k * 3 + u * k % 5) % items, kinds[(u + k) % 5], u * 20 + k) for u in range(users) for k in range(touched)])
     signals = retrieval.collaborative_signals(states.project_states(events))
     nothing = spark.createDataFrame([], "user_id long, project_id long")
     got = {(r.user_id, r.project_id): r.collaborative for r in retrieval.collaborative_scores(signals, retrieval.item_pairs(signals), nothing).collect()}
@@ -279,15 +281,23 @@ def test_snapshots_keep_null_apart_from_zero(spark):
 
 
 def test_catalog_and_onboarding_problems(spark):
-    from tidewalk.operators import views
-
-    catalog = _catalog(spark, [(1, ["a"], 3, 0.5), (2, [], 1, 1.5), (3, ["a"] * 6, 81, 0.5)]).withColumn("title", F.when(F.col("project_id") == 3, " ").otherwise("Same"))
-    found = sorted((r.project_id, r.problem) for r in views.catalog_problems(catalog).collect())
-    assert found == [(1, "duplicate title"), (2, "duplicate title"), (2, "hours out of range"), (2, "needs 1 to 5 tags"), (2, "prior out of range"), (3, "hours out of range"), (3, "needs 1 to 5 tags"), (3, "no title"), (3, "tags repeat")]
+    from tidewalk.operators import onboarding, views
+
+    catalog = _catalog(spark, [(1, ["a"], 3, 0.5), (2, [], 0, 1.5), (3, ["a"] * 6, 201, 0.5), (4, ["z"], 200, 1.0)]).withColumn("title", F.when(F.col("project_id") == 3, " abc ").otherwise("Enough"))
+    more = [(1, "s" * 30, "d" * 300, ["a", "b", "c"], "https://x"), (2, " " * 40, None, [], None), (3, "s" * 29, "d" * 299, ["a", "b"], "ftp://x"), (4, "s" * 30, "d" * 300, ["a", "b", "c"], None)]
+    catalog = catalog.join(spark.createDataFrame(more, "project_id long, summary string, description string, concepts array<string>, source_url string"), "project_id")
+    tags = spark.createDataFrame([("a",), ("a",), ("b",)], "slug string")
+    languages = catalog.select(F.explode("language_slugs").alias("slug")).distinct()
+    found = sorted(((r.project_id or 0, r.problem) for r in views.catalog_problems(catalog, tags, languages).collect()))
+    assert found == [(0, "duplicate tag a"), (0, "unused tag b"), (2, "description too short"), (2, "hours are no integer from 1 to 200"), (2, "needs 1 to 5 tags"), (2, "needs 3 concepts"), (2, "prior out of range"), (2, "summary too short"),
+        (3, "description too short"), (3, "hours are no integer from 1 to 200"), (3, "needs 1 to 5 tags"), (3, "needs 3 concepts"), (3, "source is no web address"), (3, "summary too short"), (3, "tags repeat"), (3, "title too short"), (4, "unknown tag z")]
+    broken = spark.createDataFrame([(1, "Not-Kebab", ["x", "x"]), (2, "ok", ["y"]), (3, "ok", ["y"])], "project_id long, slug string, language_slugs array<string>")
+    assert sorted((r.project_id, r.problem) for r in views.catalog_problems(broken).collect()) == [(1, "languages repeat"), (1, "slug has a bad form"), (2, "duplicate slug"), (3, "duplicate slug")]
+    assert [r.project_id for r in views.items_by_slug(catalog, spark.createDataFrame([("s4",), (catalog.first().slug,), ("nothing",)], "slug string")).collect()] and views.item_by_slug(catalog, "nothing").count() == 0
     answers = spark.createDataFrame([(1, ["a", "b", "c"], 1, 2), (2, ["a", "a"], 1, 1), (3, None, 1, 2)], "user_id long, topics array<string>, chosen long, rejected long")
     assert sorted((r.user_id, r.problem) for r in views.onboarding_problems(answers).collect()) == [(2, "chose the rejected item"), (2, "too few topics"), (2, "topics repeat"), (3, "too few topics")]
     old, new = (spark.createDataFrame(x, "user_id long, e double") for x in ([(1, 0.1), (2, 0.2)], [(2, 0.9), (3, 0.3)]))
-    assert sorted(map(tuple, views.upsert(old, new, "user_id").collect())) == [(1, 0.1), (2, 0.9), (3, 0.3)]
+    assert sorted(map(tuple, onboarding.upsert(old, new, "user_id").collect())) == [(1, 0.1), (2, 0.9), (3, 0.3)]
 
 
 def test_bpr_learns_and_agrees_with_itself(spark):
@@ -297,7 +307,7 @@ def test_bpr_learns_and_agrees_with_itself(spark):
     data = spark.createDataFrame([(u, i, "positive") for u in range(8) for i in range(12) if i % 2 == u % 2 and (u + i) % 3] + [(0, 1, "negative")], "user_id long, project_id long, label string")
     users, items = bpr.train(data, catalog, rounds=6)
     frame = data.filter("label = 'positive'").select("user_id", "project_id", F.lit(1).alias("good"))
-    scored = users.join(items).join(frame, ["user_id", "project_id"], "left").withColumn("s", bpr._dot("p", "q"))
+    scored = users.join(items).join(frame, ["user_id", "project_id"], "left").withColumn("s", bpr.score(F.col("p"), F.col("q")))
     means = {r.good: r.m for r in scored.groupBy("good").agg(F.avg("s").alias("m")).collect()}
     assert means[1] > means[None]
     again = bpr.train(data.repartition(3), catalog, rounds=1)[0].orderBy("user_id").collect()
@@ -349,3 +359,120 @@ def test_stream_rejects_and_appends(spark, tmp_path):
     assert ingest.drain(good, "good", "append").count() == 20
     assert {r.reason for r in ingest.drain(bad, "bad", "append").collect()} == {"unknown_project"}
     assert ingest.drain(ingest.deduped_impressions(stream), "once", "append").groupBy("user_id", "project_id").count().filter("count > 1").count() == 0
+
+
+def test_global_rank_and_lists_of_users_without_profile(spark):
+    from tidewalk.operators.ranks import global_rank
+
+    rows = [(i, f"s{i:04}", (i * 7 % 10) / 10, (i * 37 % 101) / 100) for i in range(300)]
+    items = spark.createDataFrame(rows, "project_id long, slug string, prior double, popularity double").repartition(5)
+    got = [r.project_id for r in global_rank(items, [F.desc("popularity"), F.col("slug")]).orderBy("place").collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (-r[3], r[1]))] and global_rank(items.filter("false"), [F.col("slug")]).count() == 0
+    users = [(1, 0.0), (2, 0.5), (3, 1.0), (4, 0.95), (5, 1 / 1.0725), (6, 0.3)]
+    people = spark.createDataFrame(users, "user_id long, e double")
+    gone = [(u, i) for u in (1, 3, 6) for i in range(u, 300, 4)]
+    scores = [(2, 7, 1.0, 0.4), (3, 8, 1.0, 0.9), (3, 12, 1.0, 0.06)]
+    affinities = spark.createDataFrame([(6, 5, 0.4), (6, 9, -0.2)], "user_id long, project_id long, affinity double")
+    excluded = spark.createDataFrame(gone, "user_id long, project_id long")
+    collaborative = spark.createDataFrame(scores, "user_id long, project_id long, evidence double, collaborative double")
+    catalog = items.drop("popularity")
+    popular = retrieval.popularity_candidates(items, people, excluded)
+    frame = retrieval.item_signals(people, catalog, items, affinities, collaborative, popular, excluded)
+    found = {(r.user_id, r["rank"]): (r.project_id, r.exploration) for r in retrieval.exploration_candidates(frame, excluded).collect()}
+    own, near, want = {(u, i): c for u, i, _, c in scores}, {(6, 5): 0.4, (6, 9): -0.2}, {}
+    for u, e in users:
+        listed = []
+        for i, slug, prior, pop in rows:
+            a = near.get((u, i), 0) if u == 6 else None
+            c = own.get((u, i))
+            p = pop if a is None and c is None else max(0, a or 0, c or 0)
+            x = max(0, a or 0)
+            novelty = 0.65 * (1 - pop) + 0.35 * 4 * x * (1 - x)
+            if (u, i) not in set(gone) and p >= 0.05:
+                listed.append((-round((1 - e) * p + e * (0.65 * novelty + 0.35 * p), 9), -prior, slug, i))
+        for k, (score, _, _, i) in enumerate(sorted(listed)[: int(8 + 7 * e + 0.5)]):
+            want[u, k + 1] = (i, -score)
+    assert found.keys() == want.keys() and all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1], abs=1e-8) for k in want)
+
+
+def test_pairs_and_topics_of_onboarding(spark):
+    from tidewalk.operators import onboarding
+
+    catalog = spark.createDataFrame([(1, "a", "A"), (2, "b", "B"), (3, "c", "C")], "project_id long, slug string, title string")
+    pairs = spark.createDataFrame([(0, "a", "b"), (1, "c", "a")], "position int, left string, right string")
+    loaded = onboarding.load_pairs(pairs, catalog)
+    assert sorted((r.position, r.left_id, r.right_id, r.right_title) for r in loaded.collect()) == [(0, 1, 2, "B"), (1, 3, 1, "A")]
+    with pytest.raises(onboarding.OnboardingError):
+        onboarding.load_pairs(spark.createDataFrame([(0, "a", "gone")], pairs.schema), catalog)
+    answers = spark.createDataFrame([(7, 0, "a"), (7, 1, "a")], "user_id long, position int, slug string")
+    choices = onboarding.choices_of(answers, loaded)
+    assert sorted((r.position, r.chosen, r.rejected) for r in choices.collect()) == [(0, 1, 2), (1, 1, 3)]
+    topics = spark.createDataFrame([("ai", "ml", 1.0), ("ai", "nlp", 0.7), ("ai", "x", 0.0), ("ai", "nlp", 0.2)], "topic string, tag string, weight double")
+    assert sorted((r.feature, r.value) for r in onboarding.topic_features(topics).collect()) == [("tag:ml", 1.0), ("tag:nlp", 0.7)]
+    old = spark.createDataFrame([(7, "BEGINNER"), (8, None)], "user_id long, difficulty string")
+    kept, chosen = onboarding.complete(old, choices.select("user_id", "position", "chosen", "rejected"), spark.createDataFrame([(7, "SURPRISE_ME"), (9, "ADVANCED")], old.schema), spark.createDataFrame([(7, 1, 3, 1), (9, 0, 2, 1)], choices.schema))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == ["(7, None)", "(8, None)", "(9, 'ADVANCED')"] and sorted((r.user_id, r.position) for r in chosen.collect()) == [(7, 1), (9, 0)]
+
+
+def test_stored_runs(spark, tmp_path):
+    from tidewalk.operators import runs
+
+    def made(user, minute, n, results=1, weights='{"content": 0.5, "novelty": 0.5, "other": 1, "session": null}'):
+        diagnostics = '{"version":1,"pipeline":{"final":%d},"context":{"session":{"confidence":0.25},"exploration":{"mode":"balanced"}}}' % results if n else "{}"
+        return (f"{user}@{minute}", user, None, "x", T0 + dt.timedelta(minutes=minute), 10, 0.5, weights, diagnostics)
+
+    schema = "run_id string, user_id long, session_id long, algorithm string, created_at timestamp_ntz, requested_limit int, exploration_preference double, ranking_weights string, diagnostics string"
+    rows = [made(1, m, m % 2) for m in range(30)] + [made(2, 5, 1)]
+    results = [(r[0], r[1], p, p, p, 0.5, 0.5, None, None, 0.25, 0.1, ["content", "wrong"], '{"content": 0.5, "x": "y"}', "plain", '{"explanation":{"text":"rich","primary":"taste"}}' if p == 1 else "[]") for r in rows for p in (1, 2)]
+    columns = "run_id string, user_id long, project_id long, rank int, pre_rank int, final_score double, content double, collaborative double, session double, novelty double, popularity double, sources array<string>, raw_signals string, explanation string, diagnostics string"
+    store = runs.RunStore(spark, str(tmp_path / "store"))
+    for part in (rows[:20], rows[20:]):
+        ids = {r[0] for r in part}
+        store.record(spark.createDataFrame(part, schema), spark.createDataFrame([r for r in results if r[0] in ids], columns))
+    assert {r.user_id: r.stored for r in store.count().collect()} == {1: 25, 2: 1}
+    recent = store.recent().collect()
+    assert sorted((r.user_id, r.place) for r in recent) == [*((1, k + 1) for k in range(10)), (2, 1)]
+    newest = next(r for r in recent if r.user_id == 1 and r.place == 1)
+    assert (newest.run_id, newest.n_results, newest["mode"], newest.session_confidence) == ("1@29", 2, "balanced", 0.25)
+    catalog = spark.createDataFrame([(1, "s", "One"), (2, "t", "Two")], "project_id long, slug string, title string")
+    asked = spark.createDataFrame([(1, "1@29"), (2, "1@29"), (1, "1@0")], "user_id long, run_id string")
+    found = {(r.run_id, r.project_id): r for r in store.detail(asked, catalog).collect()}
+    assert set(found) == {("1@29", 1), ("1@29", 2)}  # not another user's run, nor one that is gone
+    first, second = found["1@29", 1], found["1@29", 2]
+    assert first.weights == {"content": 0.5, "novelty": 0.5} and first.sources == ["content"] and first.raw_signals == {"content": 0.5} and (first.explanation, second.explanation) == ("rich", "plain")
+    assert first.content_part == 0.25 and first.collaborative_part is None and first.popularity_part is None and second.detail is None and first.run.context.exploration["mode"] == "balanced"
+    smaller = store.prune(str(tmp_path / "pruned"), 3)
+    assert {r.user_id: r.stored for r in smaller.count().collect()} == {1: 3, 2: 1} and smaller.results().count() == 8
+    json = runs.to_json(spark.sql("select cast('NaN' as double) as a, array(cast('Infinity' as double), 1D) as b, map('k', cast('NaN' as double)) as c, null as d"), "out", a=F.col("a"), s=F.struct("b", "c"), d=F.col("d"))
+    assert json.first().out == '{"a":null,"s":{"b":[null,1.0],"c":{"k":null}},"d":null}'
+
+
+def test_stored_factors(spark, tmp_path):
+    from tidewalk.operators import bpr
+
+    users = spark.createDataFrame([(u, [0.1 * u] * 16) for u in range(5)], "user_id long, p array<double>")
+    items = spark.createDataFrame([(i, [0.2 * i] * 16) for i in range(7)], "project_id long, q array<double>")
+    path = str(tmp_path / "model")
+    first = bpr.save_model(users, items, path, "today")
+    assert first == bpr.save_model(users.repartition(3), items, path, "tomorrow") != bpr.checksum(users.filter("user_id > 0"), items)
+    assert [df.count() for df in bpr.load_model(spark, path)] == [5, 7]
+    for broken in (users.withColumn("p", F.slice("p", 1, 3)), users.withColumn("p", F.transform("p", lambda x: x + 1)), users.withColumn("p", F.transform("p", lambda x: F.lit(float("nan")))), users.filter("false"), users.unionByName(users)):
+        broken.write.mode("overwrite").parquet(f"{path}/users")
+        with pytest.raises(bpr.ModelError):
+            bpr.load_model(spark, path)
+    best = bpr.best_untouched(users, items, spark.createDataFrame([(1, 6), (1, 5), (2, 0)], "user_id long, project_id long"), 2)
+    assert sorted((r.user_id, r["rank"], r.project_id) for r in best.collect()) == [(0, 1, 0), (0, 2, 1), (1, 1, 4), (1, 2, 3), *((u, k, 7 - k) for u in (2, 3, 4) for k in (1, 2))]
+
+
+def test_metrics_must_be_finite(spark):
+    good, bad = (spark.createDataFrame([("x", v)], "algorithm string, novelty double") for v in (0.5, float("nan")))
+    assert evaluation.assert_finite(good, ["novelty"]).first().novelty == 0.5
+    with pytest.raises(Exception, match="novelty is not finite"):
+        evaluation.assert_finite(bad, ["novelty"]).collect()
+
+
+def test_as_of_sums_over_days(spark):
+    events = [(p, T0 + dt.timedelta(hours=7 * k), float(k + p)) for p in (1, 2) for k in range(30)]
+    marks = [(p, T0 + dt.timedelta(hours=h), h) for p in (1, 2, 3) for h in (0, 1, 7, 50, 51, 300)]
+    found = evaluation.as_of_sums(spark.createDataFrame(marks, "project_id long, t timestamp_ntz, h int"), spark.createDataFrame(events, "project_id long, t timestamp_ntz, x double"), ["x"])
+    assert {(r.project_id, r.h): r.x for r in found.collect()} == {(p, h): sum(x for q, at, x in events if q == p and at < t) for p, t, h in marks}

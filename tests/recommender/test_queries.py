@@ -10,7 +10,7 @@ from tidewalk import queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
-CHECKED = ["interactions_view", "project_states", "long_term_profile", "popularity_candidates", "similar_projects", "collab_candidates", "hybrid_ranking", "session_confidence", "eval_metrics", "stream_popularity", "stream_sessions", "recent_runs"]
+CHECKED = ["interactions_view", "project_states", "long_term_profile", "popularity_candidates", "similar_projects", "collab_candidates", "hybrid_ranking", "session_confidence", "eval_metrics", "stream_popularity", "stream_sessions", "diversified_feed", "run_detail", "recommendation_context", "catalog_problems", "onboarding_upsert"]
 
 
 @pytest.mark.parametrize("name", CHECKED)

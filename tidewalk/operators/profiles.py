@@ -71,6 +71,16 @@ def rank_features(profile: DataFrame, limit: int, positive: bool = True) -> Data
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+#: Features of a family that a profile page shows; the other families are shown as a whole, if they are liked.
+SHOWN = {"tag": 12, "language": 6}
+
+
+def profile_view(profile: DataFrame, positive: bool = True) -> DataFrame:
+    """The features of one sign that a profile page shows, with their rank in the family."""
+    most = lookup(SHOWN, F.col("family"), default=1 << 30 if positive else 0)
+    return rank_features(profile, 1 << 30, positive).filter(F.col("rank") <= most)
+
+
 def answers_of(users: DataFrame, catalog: DataFrame, tags: DataFrame) -> DataFrame:
     """Onboarding answers that stand for each user: the user's number picks topics, items and preferences.
 

@@ -57,8 +57,12 @@ def rank_candidates(inputs: DataFrame) -> DataFrame:
     """
     total = sum((F.coalesce(F.col(f"w_{c}") * clamp(F.col(c), -1 if c == "content" else 0, 1), F.lit(0.0)) for c in COMPONENTS), F.lit(0.0))
     score = clamp01(total) * F.when(F.col("saved"), CONFIG.saved_factor).otherwise(1.0)
+    return by_score(inputs.withColumn("score", r9(score)))
+
+
+def by_score(scored: DataFrame) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("prior"), "slug")
-    return inputs.withColumn("score", r9(score)).withColumn("rank", F.row_number().over(order))
+    return scored.withColumn("rank", F.row_number().over(order))
 
 
 def contributions(ranked: DataFrame) -> DataFrame:
@@ -70,14 +74,14 @@ def _pick(scores, tags, vectors, lam: float, cap: int, limit: int) -> list[tuple
     """Maximal marginal relevance within the band of good scores: (index, mmr, similarity, relaxed) in order of choice."""
     left, nearest, used, out = np.ones(len(scores), bool), np.zeros(len(scores)), np.zeros(tags.shape[1], int), []
     while len(out) < limit and left.any():
-        value = np.where(left & (scores >= CONFIG.quality_ratio * scores[left].max()), lam * scores - (1 - lam) * nearest, -np.inf)
+        value = np.where(left & (scores >= CONFIG.quality_ratio * scores[left].max()), np.round(lam * scores - (1 - lam) * nearest, 9), -np.inf)
         allowed = ~tags[:, used >= cap].any(1) & (nearest < CONFIG.near_duplicate)
         relaxed = not np.isfinite(value[allowed]).any()
         best = int(np.argmax(value if relaxed else np.where(allowed, value, -np.inf)))  # the first of equals has the better rank
         out.append((best, value[best], nearest[best], relaxed))
         left[best] = False
         used += tags[best]
-        nearest = np.maximum(nearest, np.clip(vectors @ vectors[best], 0, 1))
+        nearest = np.maximum(nearest, np.round(np.clip(vectors @ vectors[best], 0, 1), 9))
     return out
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import clamp, clamp01, exploration_limit, exploration_score, lookup, novelty, plausibility, r9, safe_div, top_k
+from tidewalk.operators.ranks import global_rank
+
+#: Places of a neighbour list that are joined together.
+CHUNK = 64
 
 
 def popularity_evidence(interactions: DataFrame) -> DataFrame:
@@ -23,19 +27,21 @@ def popularity_scores(catalog: DataFrame, evidence: DataFrame) -> DataFrame:
     return scored.select("project_id", "slug", "prior", "behaviour", r9(clamp01(CONFIG.popularity_prior * clamp01(F.col("prior")) + CONFIG.popularity_behaviour * F.col("behaviour"))).alias("popularity"))
 
 
+def _first_places(ranked: DataFrame, users: DataFrame, own: DataFrame, limit: int) -> DataFrame:
+    """Each user with the first ``limit`` rows of one order that all share, and as many more as the user has rows in ``own``."""
+    n = own.groupBy("user_id").agg(F.count("*").alias("n"))
+    depth = users.select("user_id").join(n, "user_id", "left")
+    depth = depth.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(0)) + limit)).alias("place"))
+    return depth.join(ranked, "place")
+
+
 def popularity_candidates(scores: DataFrame, users: DataFrame, excluded: DataFrame, limit: int = CONFIG.popular_candidates) -> DataFrame:
     """Each user's most popular items that aren't excluded.
 
-    A user's first ``limit`` lie within the first limit + (own excluded items) of the global order, so only
-    those ranks are joined with the user, and no more than the deepest of them are ranked at all.
+    A user's first ``limit`` lie within the first limit + (own excluded items) of the global order, so only those are joined with the user.
     """
-    order = [F.desc("popularity"), F.col("slug")]
-    hidden = excluded.groupBy("user_id").agg(F.count("*").alias("n"))
-    deepest = limit + (hidden.agg(F.max("n")).first()[0] or 0)
-    ranked = scores.orderBy(*order).limit(deepest).withColumn("place", F.row_number().over(Window.orderBy(*order)))
-    depth = users.select("user_id").join(hidden, "user_id", "left")
-    depth = depth.select("user_id", F.explode(F.sequence(F.lit(1), (F.coalesce("n", F.lit(0)) + limit).cast("int"))).alias("place"))
-    pairs = depth.join(ranked, "place").join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti")
+    ranked = global_rank(scores, [F.desc("popularity"), F.col("slug")])
+    pairs = _first_places(ranked, users, excluded, limit).join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti")
     return top_k(pairs, ["user_id"], [F.col("place")], limit).select("user_id", "project_id", "popularity", "rank")
 
 
@@ -46,6 +52,14 @@ def affinity(vectors: DataFrame, features: DataFrame) -> DataFrame:
     return dots.join(norms, "project_id").select("user_id", "project_id", r9(clamp(safe_div(F.col("dot"), F.col("norm")), -1, 1)).alias("affinity"))
 
 
+def pair_affinity(pairs: DataFrame, vectors: DataFrame, features: DataFrame) -> DataFrame:
+    """The affinities of the given pairs (user_id, project_id) alone."""
+    norms = F.sqrt(F.sum(F.col("value") * F.col("value")))
+    rows = pairs.select("user_id", "project_id").distinct().join(features, "project_id").join(vectors.select("user_id", "feature", "vector"), ["user_id", "feature"], "left")
+    dots = rows.groupBy("user_id", "project_id").agg(F.sum(F.col("vector") * F.col("value")).alias("dot"), norms.alias("norm")).filter("dot is not null")
+    return dots.select("user_id", "project_id", r9(clamp(safe_div(F.col("dot"), F.col("norm")), -1, 1)).alias("affinity"))
+
+
 def content_candidates(affinities: DataFrame, catalog: DataFrame, excluded: DataFrame, limit: int = CONFIG.content_candidates) -> DataFrame:
     found = affinities.filter(F.col("affinity") >= CONFIG.min_affinity).join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti").join(catalog.select("project_id", "prior", "slug"), "project_id")
     return top_k(found, ["user_id"], [F.desc("affinity"), F.desc("prior"), F.col("slug")], limit).select("user_id", "project_id", "affinity", "rank")
@@ -61,13 +75,17 @@ def similar_projects(features: DataFrame, catalog: DataFrame, limit: int = CONFI
     return top_k(pairs, ["project_id"], [F.desc("similarity"), F.desc("prior"), F.col("slug")], limit).select("project_id", "other_id", "similarity", "rank")
 
 
-def collaborative_signals(states: DataFrame) -> DataFrame:
-    """user_id, project_id, signal (positive), state: the strongest thing the user did."""
+def signal_of_state():
+    """How much a user is for an item, by the flags of their state; 0 if it is disliked."""
     done = F.when(F.col("completed"), 5.0).when(F.col("built"), 4.0).otherwise(0.0)
     flag = lambda c, w: F.when(F.col(c), w).otherwise(0.0)
-    value = F.when(F.col("disliked"), 0.0).otherwise(done + flag("saved", 2.0) + flag("shared", 3.0) + flag("opened", 0.5))
+    return F.when(F.col("disliked"), 0.0).otherwise(done + flag("saved", 2.0) + flag("shared", 3.0) + flag("opened", 0.5))
+
+
+def collaborative_signals(states: DataFrame) -> DataFrame:
+    """user_id, project_id, signal (positive), state: the strongest thing the user did."""
     state = F.coalesce(*[F.when(F.col(c), F.lit(c)) for c in ("completed", "built", "saved", "shared", "opened")])
-    return states.select("user_id", "project_id", value.alias("signal"), state.alias("state")).filter("signal > 0")
+    return states.select("user_id", "project_id", signal_of_state().alias("signal"), state.alias("state")).filter("signal > 0")
 
 
 def item_pairs(signals: DataFrame) -> DataFrame:
@@ -99,25 +117,48 @@ def collaborative_seeds(signals: DataFrame) -> DataFrame:
     return signals.select("user_id", "project_id", F.col("signal").alias("weight"), "state", F.row_number().over(order).alias("rank"))
 
 
+def neighbour_lists(pairs: DataFrame) -> DataFrame:
+    """pairs with place and chunk: where j stands among the items similar to i if users that have no j are left out.
+
+    Leaving out such a user changes the norm of i alone, so the order stays. Items within one per cent of each other don't
+    count in each other's place: rounding may still decide between them.
+    """
+    raw = F.col("dot") / F.sqrt("nj") * F.col("overlap") / (F.col("overlap") + CONFIG.shrinkage)
+    ahead = F.expr("count(*) over (partition by i order by fall range between unbounded preceding and 0.01D preceding)")
+    listed = pairs.withColumn("fall", -F.log(raw)).withColumn("place", ahead + 1)
+    return listed.withColumn("chunk", F.floor(F.col("place") / CHUNK)).drop("fall")
+
+
 def collaborative_scores(signals: DataFrame, pairs: DataFrame, excluded: DataFrame) -> DataFrame:
     """user_id, project_id, evidence, collaborative, support (at most 3 seeds), with each user left out of the model.
 
     What one user adds to a pair is known (the product of the user's two signals), so it is taken off instead of
-    building a model per user. Seeds still fill neighbour slots, so pairs are corrected before the 20 best are
-    taken, and seeds and excluded items dropped after that.
+    building a model per user. Only a user's own items change places among an item's neighbours; so of the others
+    the first 20 + (own items) of the common list are enough. Seeds still fill neighbour slots, so pairs are corrected before
+    the 20 best are taken, and seeds and excluded items dropped after that.
     """
     seeds = signals.select("user_id", F.col("project_id").alias("i"), F.col("signal").alias("vi"))
     own = signals.select("user_id", F.col("project_id").alias("j"), F.col("signal").alias("vj"))
-    rows = seeds.join(pairs, "i").join(own, ["user_id", "j"], "left").withColumn("v", F.coalesce("vj", F.lit(0.0)))
+    depth = signals.groupBy("user_id").agg((F.count("*") + CONFIG.neighbours).alias("deep"))
+    asked = seeds.join(depth, "user_id").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("deep") / CHUNK))))
+    others = asked.join(neighbour_lists(pairs), ["i", "chunk"]).filter("place <= deep").join(own.select("user_id", "j"), ["user_id", "j"], "left_anti")
+    others = others.select("user_id", "i", "j", "vi", F.lit(0.0).alias("v"), "dot", "overlap", "ni", "nj")
+    both = seeds.join(own, "user_id").filter("i <> j").join(pairs, ["i", "j"]).select("user_id", "i", "j", "vi", F.col("vj").alias("v"), "dot", "overlap", "ni", "nj")
+    rows = others.unionByName(both)
     left_out = similarity(
         F.col("dot") - F.col("vi") * F.col("v"), F.col("overlap") - (F.col("v") > 0).cast("int"),
         F.col("ni") - F.col("vi") * F.col("vi"), F.col("nj") - F.col("v") * F.col("v"),
     )
-    rows = rows.select("user_id", "i", "j", "vi", F.col("vj").isNotNull().alias("seed"), left_out.alias("similarity")).filter("similarity > 0")
+    rows = rows.select("user_id", "i", "j", "vi", (F.col("v") > 0).alias("seed"), left_out.alias("similarity")).filter("similarity > 0")
     near = top_k(rows, ["user_id", "i"], [F.desc("similarity"), F.col("j")], CONFIG.neighbours).filter("not seed")
     near = near.withColumnRenamed("j", "project_id").join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti")
     support = F.slice(F.array_sort(F.collect_list(F.struct(F.negative(r9(F.col("similarity") * F.col("vi"))).alias("minus"), F.col("i").alias("seed_id")))), 1, 3)
     raw = near.groupBy("user_id", "project_id").agg(r9(F.sum(F.col("similarity") * F.col("vi"))).alias("evidence"), support.alias("support"))
+    return with_confidence(raw, seeds)
+
+
+def with_confidence(raw: DataFrame, seeds: DataFrame) -> DataFrame:
+    """raw (user_id, project_id, evidence, support) scored against each user's peak, by the weight vi of the user's seeds."""
     trust = seeds.groupBy("user_id").agg(F.least(F.lit(1.0), F.sum("vi") / CONFIG.full_confidence).alias("confidence"))
     peak = F.max("evidence").over(Window.partitionBy("user_id"))
     raw = raw.join(trust, "user_id").withColumn("collaborative", r9(clamp01(safe_div(F.col("evidence"), peak) * F.col("confidence"))))
@@ -129,15 +170,36 @@ def collaborative_candidates(scores: DataFrame, catalog: DataFrame, limit: int =
     return top_k(known, ["user_id"], [F.desc("collaborative"), F.col("slug")], limit).select("user_id", "project_id", "collaborative", "rank")
 
 
-def item_signals(users: DataFrame, catalog: DataFrame, popularity: DataFrame, affinities: DataFrame, collaborative: DataFrame, popular: DataFrame) -> DataFrame:
+def unprofiled_pairs(users: DataFrame, catalog: DataFrame, popularity: DataFrame, own: DataFrame, limit: int = CONFIG.exploration_max) -> DataFrame:
+    """user_id, project_id: the items that users without a profile can explore, beside those in ``own`` (excluded or with a collaborative score).
+
+    Without affinity an item's plausibility is its popularity, and its exploration score is linear in it: the best
+    are among the most popular, the least popular of those plausible or, where all scores are equal, those of highest prior.
+    """
+    items = catalog.select("project_id", "slug", "prior").join(popularity.select("project_id", "popularity"), "project_id").filter(F.col("popularity") >= CONFIG.exploration_plausibility)
+    ties = [F.desc("prior"), F.col("slug")]
+    parts = [_first_places(global_rank(items, [*first, *ties]), users, own, limit).select("user_id", "project_id") for first in ([F.desc("popularity")], [F.col("popularity")], [])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def item_signals(users: DataFrame, catalog: DataFrame, popularity: DataFrame, affinities: DataFrame, collaborative: DataFrame, popular: DataFrame, excluded: DataFrame) -> DataFrame:
     """All signals of each user and item that share any: the frame on which exploration and ranking work.
 
     An item without affinity, collaborative score or a place among the user's popular ones is plausible for no user with
-    a profile, so no pair that could become a candidate is missing; users without a profile explore popular items.
+    a profile; users without one explore the whole catalog, of which ``unprofiled_pairs`` are enough. So no pair that could
+    become a candidate is missing.
     """
     keys = ["user_id", "project_id"]
-    pairs = affinities.select(*keys).unionByName(collaborative.select(*keys)).unionByName(popular.select(*keys)).distinct()
+    bare = users.select("user_id").join(affinities.select("user_id").distinct(), "user_id", "left_anti")
+    own = excluded.select(*keys).unionByName(collaborative.select(*keys)).join(bare, "user_id", "left_semi")
+    pairs = affinities.select(*keys).unionByName(collaborative.select(*keys)).unionByName(popular.select(*keys)).unionByName(unprofiled_pairs(bare, catalog, popularity, own)).distinct()
     frame = pairs.join(users, "user_id").join(catalog.select("project_id", "slug", "prior"), "project_id").join(popularity.select("project_id", "popularity"), "project_id")
+    return with_novelty(frame, affinities, collaborative)
+
+
+def with_novelty(frame: DataFrame, affinities: DataFrame, collaborative: DataFrame) -> DataFrame:
+    """frame (user_id, project_id, popularity, ...) with affinity (null without a profile), collaborative and novelty."""
+    keys = ["user_id", "project_id"]
     frame = frame.join(affinities, keys, "left").join(collaborative.select(*keys, "collaborative"), keys, "left")
     has_profile = affinities.select("user_id").distinct().withColumn("has_profile", F.lit(True))
     frame = frame.join(has_profile, "user_id", "left").withColumn("affinity", F.when(F.col("has_profile"), F.coalesce("affinity", F.lit(0.0)))).drop("has_profile")

@@ -50,8 +50,9 @@ PARTS = {
     case user_id % 5 when 0 then 'UNDER_2_HOURS' when 1 then 'ONE_EVENING' when 2 then 'WEEKEND' when 3 then 'ONE_TO_TWO_WEEKS' else 'ANYTHING' end as duration from app_users) u
   join numbered c on c.item_no = u.c join numbered r on r.item_no = u.r""",
     "picked_topics": "select distinct user_id, tag from (select user_id, (user_id * 7 + unnest([0, 5, 10])) % (select count(*) from tags) as tag_no from app_users) join tags using (tag_no)",
+    "topic_tags": "select tag as topic, tag, 1.0::double as weight from tags union all select t.tag, n.tag, 0.5::double from tags t join tags n on n.tag_no = (t.tag_no + 1) % (select count(*) from tags)",
     "onboarding": """select user_id, feature, sum(signal) as signal from (
-  select user_id, 'tag:' || tag as feature, 2.0::double as signal from picked_topics
+  select user_id, 'tag:' || w.tag as feature, 2.0::double * weight as signal from picked_topics p join topic_tags w on w.topic = p.tag
   union all select user_id, feature, 1.5::double * value from answers join features on project_id = chosen
   union all select user_id, feature, -0.5::double * value from answers join features on project_id = rejected
   union all select user_id, 'difficulty:' || difficulty, 1.0::double from answers where difficulty is not null
@@ -116,7 +117,8 @@ PARTS = {
   join norms using (project_id))""",
     "item_frame": f"""select *, round(0.65 * (1 - {_clamp('popularity')}) + 0.35 * 4 * {_clamp('coalesce(affinity, 0)')} * (1 - {_clamp('coalesce(affinity, 0)')}), 9) as novelty from (
   select u.user_id, u.e, c.project_id, c.slug, c.prior, p.popularity, case when u.user_id in (select user_id from affinities) then coalesce(a.affinity, 0) end as affinity, s.collaborative
-  from (select user_id, project_id from affinities union select user_id, project_id from collaborative_scores union select user_id, project_id from popular) k join app_users u on u.user_id = k.user_id join catalog c on c.project_id = k.project_id join popularity p on p.project_id = c.project_id left join affinities a on a.user_id = u.user_id and a.project_id = c.project_id
+  from (select user_id, project_id from affinities union select user_id, project_id from collaborative_scores union select user_id, project_id from popular
+    union select user_id, project_id from app_users cross join catalog where user_id not in (select user_id from affinities)) k join app_users u on u.user_id = k.user_id join catalog c on c.project_id = k.project_id join popularity p on p.project_id = c.project_id left join affinities a on a.user_id = u.user_id and a.project_id = c.project_id
   left join collaborative_scores s on s.user_id = u.user_id and s.project_id = c.project_id)""",
     "exploration": f"""select user_id, project_id, exploration, plausibility, row_number() over (partition by user_id order by exploration desc, prior desc, slug) as rank from (
   select *, round({_clamp('(1 - e) * plausibility + e * (0.65 * novelty + 0.35 * plausibility)')}, 9) as exploration from (
@@ -145,9 +147,19 @@ PARTS = {
 }
 
 
-def sql(query: str, extra: dict[str, str] | None = None) -> str:
-    """query behind a WITH of all parts that it and they mention, in order."""
-    parts, wanted, todo = PARTS | (extra or {}), [], [query]
+#: Parts that evaluation cases are made of.
+EARLY = ("interactions", "catalog", "features", "norms", "gaps", "sessionized")
+
+
+def sql(query: str, extra: dict[str, str] | None = None, late: dict[str, str] | None = None) -> str:
+    """query behind a WITH of all parts that it and they mention, in order; extra parts follow the others, or EARLY if they replace some, and late ones come last."""
+    extra = extra or {}
+    if set(extra) & set(PARTS):
+        parts = {n: PARTS[n] for n in EARLY} | {n: t for n, t in extra.items() if n not in PARTS} | {n: extra.get(n, t) for n, t in PARTS.items() if n not in EARLY}
+    else:
+        parts = PARTS | extra
+    parts = parts | (late or {})
+    wanted, todo = [], [query]
     while todo:
         text = todo.pop()
         for name in parts:
@@ -155,4 +167,51 @@ def sql(query: str, extra: dict[str, str] | None = None) -> str:
                 wanted.append(name)
                 todo.append(parts[name])
     order = [n for n in parts if n in wanted]
-    return ("with " + ",\n".join(f"{n} as ({parts[n]})" for n in order) + "\n" if order else "") + query
+    word = "with recursive " if any("--recursive" in parts[n] for n in wanted) else "with "
+    return (word + ",\n".join(f"{n} as ({parts[n]})" for n in order) + "\n" if order else "") + query
+
+
+def diversified(ranked: str, limit: int = 10) -> dict[str, str]:
+    """Parts that pick from ``ranked`` one item of each user at a time: rows of ``picks`` have final_rank."""
+    return {
+        "cosines": """select a.project_id as a, b.project_id as b, round(least(1, greatest(0, sum(a.value * b.value) / (any_value(x.norm) * any_value(y.norm)))), 9) as c
+  from features a join features b on a.feature = b.feature join norms x on x.project_id = a.project_id join norms y on y.project_id = b.project_id group by all""",
+        "mmr_walk": f"""--recursive
+  select user_id, r.project_id, score, rank as pre_rank, least(0.95, greatest(0.5, 0.9 - 0.2 * e))::double as lam, greatest(2, floor((0.45 - 0.15 * e) * {limit} + 0.5)) as cap, tag_slugs as tags,
+    list_transform(tag_slugs, lambda t: 0) as used, 0.0::double as nearest, count(*) over (partition by user_id) >= 3 as applied, 0 as step, null::int as final_rank, 0.0::double as mmr, 0.0::double as max_similarity, false as relaxed
+  from {ranked} r join catalog using (project_id)
+  union all
+  select t.user_id, t.project_id, score, pre_rank, lam, cap, tags, list_transform(tags, lambda x, i: used[i] + list_contains(best_tags, x)::int), greatest(nearest, coalesce(c, 0)), applied, step + 1,
+    if(pick = 1, step + 1, null)::int, if(applied, value, round(lam * score, 9)), if(applied, nearest, 0.0), applied and not open
+  from (select *, first_value(project_id) over (partition by user_id order by pick) as best, first_value(tags) over (partition by user_id order by pick) as best_tags from (
+    select *, row_number() over (partition by user_id order by case when applied and (allowed or not open) then value end desc nulls last, pre_rank) as pick from (
+      select *, bool_or(allowed and value is not null) over (partition by user_id) as open from (
+        select *, case when score >= 0.8 * max(score) over (partition by user_id) then round(lam * score - (1 - lam) * nearest, 9) end as value,
+          nearest < 0.9 and len(list_filter(used, lambda u: u >= cap)) = 0 as allowed from mmr_walk where final_rank is null and step < {limit})))) t
+  left join cosines on a = t.project_id and b = best""",
+        "picks": "select * from mmr_walk where final_rank is not null",
+    }
+
+
+def at_cutoff(with_session: bool) -> dict[str, str]:
+    """The parts that differ where each case is scored at its own cutoff, beside those of the cases themselves."""
+    clamp = _clamp
+    return {
+        "case_log": "select s.*, cutoff from sessionized s join cases using (user_id) where created_at < cutoff",
+        "app_users": "select user_id, (user_id % 21) / 20.0::double as e from cases",
+        "active": "select user_id, arg_min(session_no, id) as session_no from sessionized join cases using (user_id) where created_at = cutoff and list_contains(held_out, project_id) group by user_id" if with_session else "select user_id, session_no from sessionized where false",
+        "history": "select * from case_log anti join active using (user_id, session_no)",
+        "session_rows": "select * from case_log semi join active using (user_id, session_no)",
+        "long_signals": """select user_id, feature, sum(scale * value) as signal from (select user_id, project_id, sum(weight * case when age <= 0 then 1 else pow(0.5, age / 30) end) as scale
+  from (select *, date_diff('microsecond', created_at, cutoff) / 86400000000.0::double as age from history where weight <> 0) where age <= 365 group by user_id, project_id) join features using (project_id) group by user_id, feature""",
+        "gone": "select user_id, project_id from out_of_case",
+        "states": PARTS["states"].replace("from interactions", "from case_log"),
+        "popularity": f"""select user_id, project_id, slug, prior, round({clamp('0.4 * least(1, greatest(0, prior)) + 0.6 * behaviour')}, 9) as popularity from (
+  select *, coalesce({clamp('raw / nullif(max(raw) over (partition by user_id), 0)')}, 0) as behaviour from (select *, ln(1 + greatest(0, evidence)) as raw from all_items))""",
+        "popular": "select user_id, project_id, popularity, row_number() over (partition by user_id order by popularity desc, slug) as rank from popularity anti join gone using (user_id, project_id) qualify rank <= 15",
+        "collaborative_scores": "select user_id, project_id, evidence, score as collaborative from case_scored where score >= 0.02",
+        "item_frame": f"""select *, round(0.65 * (1 - {clamp('popularity')}) + 0.35 * 4 * {clamp('coalesce(affinity, 0)')} * (1 - {clamp('coalesce(affinity, 0)')}), 9) as novelty from (
+  select p.user_id, u.e, p.project_id, p.slug, p.prior, p.popularity, case when p.user_id in (select user_id from affinities) then coalesce(a.affinity, 0) end as affinity, s.collaborative
+  from popularity p join app_users u on u.user_id = p.user_id left join affinities a on a.user_id = p.user_id and a.project_id = p.project_id left join collaborative_scores s on s.user_id = p.user_id and s.project_id = p.project_id)""",
+        "raw_weights": PARTS["raw_weights"].replace("from interactions where", "from case_log where"),
+    }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
-from tidewalk.functions.scalar import adjacency, age_days, clamp01, duration_bucket
-from tidewalk.operators import profiles, ranking, retrieval, sessions, states
+from tidewalk.functions.scalar import adjacency, age_days, clamp01, duration_bucket, novelty, r9
+from tidewalk.operators import onboarding, profiles, ranking, retrieval, sessions, states
 from tidewalk.sources import tables
 from tidewalk.sources.shared import cut
 
@@ -90,8 +90,14 @@ class Feed:
 
     @cached_property
     def onboarding(self) -> DataFrame:
-        topics = self.tags.select(F.col("tag").alias("topic"), F.concat(F.lit("tag:"), "tag").alias("feature"), F.lit(1.0).alias("value"))
-        return profiles.onboarding_signals(self.answers, topics, self.features)
+        return profiles.onboarding_signals(self.answers, onboarding.topic_features(self.topics), self.features)
+
+    @cached_property
+    def topics(self) -> DataFrame:
+        """topic, tag, weight: each tag names a topic that also has half of the next tag."""
+        n = F.count("*").over(Window.partitionBy())
+        after = self.tags.select((F.pmod(F.col("tag_no") - 1, n)).alias("tag_no"), F.col("tag").alias("next"))
+        return self.tags.join(after, "tag_no").select(F.col("tag").alias("topic"), F.inline(F.array(F.struct(F.col("tag"), F.lit(1.0).alias("weight")), F.struct(F.col("next").alias("tag"), F.lit(0.5).alias("weight")))))
 
     @stage
     def long_term(self) -> DataFrame:
@@ -149,7 +155,7 @@ class Feed:
 
     @stage
     def frame(self) -> DataFrame:
-        return retrieval.item_signals(self.users, self.catalog, self.popularity, self.affinities, self.collaborative_scores, self.popular)
+        return retrieval.item_signals(self.users, self.catalog, self.popularity, self.affinities, self.collaborative_scores, self.popular, self.excluded)
 
     @stage
     def exploration(self) -> DataFrame:
@@ -194,23 +200,49 @@ class Feed:
         return ranking.diversify(self.ranked, self.features, min(CONFIG.feed_max, max(1, limit)))
 
     def explained(self, feed: DataFrame, brand: str = "us") -> DataFrame:
-        """feed (user_id, project_id, ...) with primary, text and factors."""
+        """feed (user_id, project_id, ...; a written table) with primary, text and factors."""
+        keys = ["user_id", "project_id"]
+        return feed.join(ranking.explain(self.reasons(feed.select(*keys).join(self.ranked, keys)), brand), keys)
+
+    def reasons(self, items: DataFrame) -> DataFrame:
+        """items (user_id, project_id and their signals) with what an explanation is made of; profiles are joined on the items' features alone."""
         keys = ["user_id", "project_id"]
-        tags = lambda profile, prefix, name: (
-            profile.filter(F.col("feature").startswith(prefix)).join(self.features.drop("value"), "feature").groupBy(*keys)
-            .agg(F.collect_list(F.struct(F.substring_index("feature", ":", -1).alias("key"), "signal")).alias(name))
+        shown = items.select(*keys).join(self.features.drop("value"), "project_id")
+        is_a = lambda prefix: F.col("feature").startswith(prefix)
+        entry = F.struct(F.substring_index("feature", ":", -1).alias("key"), "signal")
+        listed = lambda prefix, name: F.collect_list(F.when(is_a(prefix), entry)).alias(name)
+        taste = shown.join(self.long_term.select("user_id", "feature", "signal"), ["user_id", "feature"]).groupBy(*keys).agg(
+            listed("tag:", "taste_tags"), listed("lang:", "languages"), *[F.max(F.when(is_a(f"{x}:"), F.col("signal"))).alias(f"{x}_signal") for x in ("difficulty", "duration")]
         )
-        one = lambda prefix, name: self.long_term.filter(F.col("feature").startswith(prefix)).join(self.features.drop("value"), "feature").groupBy(*keys).agg(F.max("signal").alias(name))
-        items = feed.select(*keys).join(self.ranked, keys).join(self.catalog.select("project_id", "difficulty", duration_bucket(F.col("estimated_hours")).alias("duration")), "project_id")
-        for part in (tags(self.long_term, "tag:", "taste_tags"), tags(self.session_profile, "tag:", "session_tags"), tags(self.long_term, "lang:", "languages"), one("difficulty:", "difficulty_signal"), one("duration:", "duration_signal")):
-            items = items.join(part, keys, "left")
+        now = shown.join(self.session_profile.select("user_id", "feature", "signal"), ["user_id", "feature"]).groupBy(*keys).agg(listed("tag:", "session_tags"))
+        items = items.join(self.catalog.select("project_id", "difficulty", duration_bucket(F.col("estimated_hours")).alias("duration")), "project_id").join(taste, keys, "left").join(now, keys, "left")
         title = self.catalog.select(F.col("project_id").alias("seed_id"), "title")
-        seeds = self.collaborative_scores.select(*keys, F.posexplode("support").alias("place", "seed_id")).join(title, "seed_id").join(self.signals.select("user_id", F.col("project_id").alias("seed_id"), "state"), ["user_id", "seed_id"])
+        seeds = self.collaborative_scores.join(items.select(*keys), keys, "left_semi").select(*keys, F.posexplode("support").alias("place", "seed_id")).join(title, "seed_id")
+        seeds = seeds.join(self.signals.select("user_id", F.col("project_id").alias("seed_id"), "state"), ["user_id", "seed_id"])
         seeds = seeds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "title", "state"))).alias("s")).select(*keys, F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["state"].alias("state"))).alias("seeds"))
         contributing = self.history.filter((F.col("weight") != 0) & (age_days(F.col("created_at"), self.now) <= CONFIG.history_days)).select("user_id").distinct().withColumn("warm", F.lit(True))
         items = items.join(seeds, keys, "left").join(contributing, "user_id", "left").withColumn("cold", F.col("warm").isNull())
         empty = F.array().cast("array<struct<key:string,signal:double>>")
         for name in ("taste_tags", "session_tags", "languages"):
             items = items.withColumn(name, F.coalesce(name, empty))
-        items = items.withColumn("adjacency", adjacency(F.coalesce("content", F.lit(0.0)))).withColumn("underexposure", 1 - clamp01(F.col("popularity")))
-        return feed.join(ranking.explain(items, brand), keys)
+        return items.withColumn("adjacency", adjacency(F.coalesce("content", F.lit(0.0)))).withColumn("underexposure", 1 - clamp01(F.col("popularity")))
+
+    def context(self, pairs: DataFrame, brand: str = "us") -> DataFrame:
+        """What the feed would make of single items: for pairs (user_id, project_id) of users with a profile, the signals, score and explanation.
+
+        Only the pairs are scored. Excluded items are scored too and have ``excluded``.
+        """
+        keys = ["user_id", "project_id"]
+        pairs = cut(pairs.select(*keys).distinct(), "pairs")
+        rows = pairs.join(self.catalog.select("project_id", "slug", "prior"), "project_id").join(self.popularity.select("project_id", "popularity"), "project_id").join(self.weights.filter("has_profile"), "user_id")
+        rows = rows.join(retrieval.pair_affinity(pairs, self.effective, self.features).withColumnRenamed("affinity", "content"), keys, "left").withColumn("content", F.coalesce("content", F.lit(0.0)))
+        rows = rows.join(self.collaborative_scores.select(*keys, "collaborative"), keys, "left")
+        vectors = self.session_profile.join(self.confidence.select("user_id"), "user_id", "left_semi")
+        session = retrieval.pair_affinity(pairs, vectors, self.features).select(*keys, F.greatest(F.lit(0.0), "affinity").alias("session"))
+        rows = rows.join(session, keys, "left").withColumn("session", F.when(F.col("has_session"), F.coalesce("session", F.lit(0.0))))
+        rows = rows.withColumn("novelty", r9(novelty(F.col("popularity"), F.col("content"))))
+        rows = rows.withColumn("sources", F.when(F.col("collaborative").isNull(), F.array(F.lit("content"))).otherwise(F.array(F.lit("content"), F.lit("collaborative"))))
+        state = self.states.select(*keys, "saved", "excluded")
+        rows = rows.join(state, keys, "left").withColumn("saved", F.coalesce("saved", F.lit(False))).withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+        scored = cut(ranking.rank_candidates(rows).drop("rank"), "context")
+        return scored.join(ranking.explain(self.reasons(scored), brand), keys)

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import age_days, clamp01, duration_bucket, exploration_limit, discovery_mode, diversification_lambda, fnv1a, format_duration, format_score, interaction_weight, max_items_per_tag, r9, time_decay
-from tidewalk.operators import bpr, evaluation, profiles, ranking, retrieval, saved, sessions, states, views
-from tidewalk.oracle import AGE, BUCKET, NOW, sql
+from tidewalk.operators import bpr, evaluation, onboarding, profiles, ranking, retrieval, runs, saved, sessions, states, views
+from tidewalk.operators.ranks import global_rank
+from tidewalk.oracle import AGE, BUCKET, at_cutoff, diversified, sql
+from tidewalk.plans.evaluate import Evaluation
 from tidewalk.plans.feed import Feed
 from tidewalk.sources import tables
-from tidewalk.sources.shared import cut
+from tidewalk.sources.shared import cut, new_path
 from tidewalk.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,9 +100,14 @@ def catalog_stats(feed: Feed) -> DataFrame:
 
 @query("select project_id, title, prior, row_number() over (order by prior desc, title, project_id) as place from catalog")
 def catalog_listing(feed: Feed) -> DataFrame:
-    from pyspark.sql import Window
+    return global_rank(feed.catalog.select("project_id", "title", "prior"), [F.desc("prior"), F.col("title"), F.col("project_id")])
 
-    return feed.catalog.select("project_id", "title", "prior", F.row_number().over(Window.orderBy(F.desc("prior"), "title", "project_id")).cast("long").alias("place"))
+
+@query("select user_id, project_id, slug, title from states join catalog using (project_id) where built")
+def projects_by_slug(feed: Feed) -> DataFrame:
+    """The items that users built, looked up by their slugs."""
+    built = feed.states.filter("built").select("user_id", F.lpad(F.col("project_id").cast("string"), 6, "0").alias("slug"))
+    return built.join(views.items_by_slug(feed.catalog, built), "slug").select("user_id", "project_id", "slug", "title")
 
 
 @query("select user_id, feature, round(signal, 9) as signal from onboarding")
@@ -122,12 +129,13 @@ _FAMILY = "case string_split(feature, ':')[1] when 'lang' then 'language' else s
 
 def _top_sql(sign: str, where: str) -> str:
     return f"""select user_id, family, feature, '{sign}' as sign, row_number() over (partition by user_id, family order by abs(round(signal, 9)) desc, feature) as rank, round(family_strength, 9) as family_strength
-  from (select *, signal / max(abs(signal)) over (partition by user_id, family) as family_strength from (select *, {_FAMILY} as family from long_term)) where {where} qualify rank <= 12"""
+  from (select *, signal / max(abs(signal)) over (partition by user_id, family) as family_strength from (select *, {_FAMILY} as family from long_term)) where {where} qualify rank <= case family when 'tag' then 12 when 'language' then 6 else 1000 end"""
 
 
-@query(_top_sql("positive", "signal > 0") + "\nunion all\n" + _top_sql("negative", "signal < 0"))
+@query(_top_sql("positive", "signal > 0") + "\nunion all\n" + _top_sql("negative", "signal < 0 and family in ('tag', 'language')"))
 def profile_top_features(feed: Feed) -> DataFrame:
-    part = lambda positive: profiles.rank_features(feed.long_term, 12, positive).select("user_id", "family", "feature", F.lit("positive" if positive else "negative").alias("sign"), F.col("rank").cast("long"), r9("family_strength").alias("family_strength"))
+    """What a profile page shows: the 12 strongest tags and 6 languages of either sign, and all liked difficulties and durations."""
+    part = lambda positive: profiles.profile_view(feed.long_term, positive).select("user_id", "family", "feature", F.lit("positive" if positive else "negative").alias("sign"), F.col("rank").cast("long"), r9("family_strength").alias("family_strength"))
     return part(True).unionByName(part(False))
 
 
@@ -193,9 +201,10 @@ def collab_candidates(feed: Feed) -> DataFrame:
     return feed.collaborative.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("select user_id, project_id, novelty from item_frame")
+@query("select user_id, project_id, novelty from item_frame where affinity is not null")
 def novelty_scores(feed: Feed) -> DataFrame:
-    return feed.frame.select("user_id", "project_id", "novelty")
+    """Of users with a profile, for the items that share anything with them."""
+    return feed.frame.filter("affinity is not null").select("user_id", "project_id", "novelty")
 
 
 @query("select user_id, project_id, exploration, round(plausibility, 9) as plausibility, rank from exploration")
@@ -244,7 +253,10 @@ def exploration_context(feed: Feed) -> DataFrame:
     return feed.users.select("user_id", "e", discovery_mode(e).alias("mode"), exploration_limit(e).alias("exploration_limit"), r9(diversification_lambda(e)).alias("lambda"), max_items_per_tag(10, e).alias("per_tag"))
 
 
-@query()
+_PICKS = diversified("ranked")
+
+
+@query("select user_id, project_id, score, pre_rank::int as pre_rank, final_rank, mmr, max_similarity, relaxed, applied from picks", _PICKS)
 def diversified_feed(feed: Feed) -> DataFrame:
     return feed.diversified()
 
@@ -252,10 +264,32 @@ def diversified_feed(feed: Feed) -> DataFrame:
 @query()
 def explained_feed(feed: Feed) -> DataFrame:
     """The flagship: every user's diversified feed with its reasons."""
-    shown = feed.diversified()
+    shown = cut(feed.diversified(), "shown")
     return feed.explained(shown).select("user_id", "project_id", "final_rank", "pre_rank", "score", "mmr", "primary", "text", F.to_json("factors").alias("factors"))
 
 
+@query("""select user_id, project_id, rank, row_number() over (partition by user_id order by rank) as place from ranked
+  anti join (select user_id, project_id from session_rows where type = 'IMPRESSION' union select user_id, project_id from states where disliked) using (user_id, project_id) qualify place <= 10""")
+def feed_refill(feed: Feed) -> DataFrame:
+    """The next ten of the ranking that the session hasn't shown and the user hasn't dismissed."""
+    shown, dismissed = feed.session_rows.filter("type = 'IMPRESSION'"), feed.states.filter("disliked")
+    return views.refill(feed.ranked, shown, dismissed).filter("place <= 10").select("user_id", "project_id", F.col("rank").cast("long"), F.col("place").cast("long"))
+
+
+_CONTEXT = """select user_id, project_id, excluded, content, collaborative, session, novelty, popularity, round(least(1::double, greatest(0::double, coalesce(w_content * least(1, greatest(-1, content)), 0) + coalesce(w_collaborative * collaborative, 0)
+    + coalesce(w_session * session, 0) + coalesce(w_novelty * novelty, 0) + coalesce(w_popularity * popularity, 0))) * 0.6, 9) as score
+  from (select *, round(0.65 * (1 - popularity) + 0.35 * 4 * greatest(0, content) * (1 - greatest(0, content)), 9) as novelty from (
+    select s.user_id, s.project_id, s.excluded, coalesce(a.affinity, 0)::double as content, k.collaborative, case when w.has_session then coalesce(f.score, 0) end as session, p.popularity, w.* exclude (user_id, e, cold_start, confidence, has_profile, has_collaborative, has_session)
+    from states s join popularity p using (project_id) join weights w on w.user_id = s.user_id and w.has_profile left join affinities a on a.user_id = s.user_id and a.project_id = s.project_id
+    left join collaborative_scores k on k.user_id = s.user_id and k.project_id = s.project_id left join session_affinity f on f.user_id = s.user_id and f.project_id = s.project_id where s.saved))"""
+
+
+@query(_CONTEXT)
+def recommendation_context(feed: Feed) -> DataFrame:
+    """Why the saved items would be recommended: their signals and scores; the operator explains them too."""
+    return feed.context(feed.states.filter("saved")).select("user_id", "project_id", "excluded", "content", "collaborative", "session", "novelty", "popularity", "score")
+
+
 @query("select user_id, session_no, started_at, last_active_at, n_events from all_sessions")
 def user_sessions(feed: Feed) -> DataFrame:
     return feed.sessions
@@ -301,9 +335,15 @@ _SAVED = {
 }
 
 
+def _page(feed: Feed) -> DataFrame:
+    """Saved items with their scores; only these pairs are scored."""
+    kept = feed.states.filter("saved").select("user_id", "project_id")
+    return saved.saved_page(feed.states, feed.catalog, feed.popularity, retrieval.pair_affinity(kept, feed.effective, feed.features))
+
+
 @query("select user_id, project_id, saved_at, title, match_score, novelty_score, built, completed from page", _SAVED)
 def saved_page(feed: Feed) -> DataFrame:
-    return saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities).select("user_id", "project_id", "saved_at", "title", "match_score", "novelty_score", "built", "completed")
+    return _page(feed).select("user_id", "project_id", "saved_at", "title", "match_score", "novelty_score", "built", "completed")
 
 
 @query("""select 'recent' as sort, user_id, project_id, row_number() over (partition by user_id order by saved_at desc, slug) as place from page
@@ -312,7 +352,7 @@ def saved_page(feed: Feed) -> DataFrame:
   union all select 'difficulty', user_id, project_id, row_number() over (partition by user_id order by case difficulty when 'BEGINNER' then 0 when 'INTERMEDIATE' then 1 else 2 end, saved_at desc, slug) from page
   union all select 'adventurous', user_id, project_id, row_number() over (partition by user_id order by novelty_score desc, saved_at desc, slug) from page""", _SAVED)
 def saved_sorted(feed: Feed) -> DataFrame:
-    page = saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities)
+    page = _page(feed)
     parts = [saved.sort_saved(page, sort).select(F.lit(sort).alias("sort"), "user_id", "project_id", F.col("place").cast("long")) for sort in saved.SORTS]
     out = parts[0]
     for part in parts[1:]:
@@ -322,12 +362,12 @@ def saved_sorted(feed: Feed) -> DataFrame:
 
 @query("select user_id, 'tag' as kind, t as value, count(*) as n from (select user_id, unnest(tag_slugs) as t from page) group by all union all select user_id, 'language', t, count(*) from (select user_id, unnest(language_slugs) as t from page) group by all", _SAVED)
 def saved_facets(feed: Feed) -> DataFrame:
-    return saved.facets(saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities))
+    return saved.facets(_page(feed))
 
 
 @query(f"select user_id, project_id from page where list_contains(tag_slugs, 'red') and difficulty = 'BEGINNER' and {BUCKET} = 'ONE_TO_TWO_WEEKS'", _SAVED)
 def saved_filtered(feed: Feed) -> DataFrame:
-    page = saved.saved_page(feed.states, feed.catalog, feed.popularity, feed.affinities)
+    page = _page(feed)
     return saved.apply_filters(page, tag="red", difficulty="BEGINNER", duration="ONE_TO_TWO_WEEKS").select("user_id", "project_id")
 
 
@@ -355,6 +395,30 @@ def run_snapshot(feed: Feed) -> DataFrame:
     return saved.run_snapshot(feed).drop("e", "cold_start", "confidence", "has_profile", "has_collaborative", "has_session")
 
 
+def _stored(feed: Feed) -> runs.RunStore:
+    store = runs.RunStore(feed.spark, new_path(feed.spark, "runs"))
+    store.record(*runs.snapshot(feed, cut(feed.diversified(), "shown")))
+    return store
+
+
+@query("""select user_id, 1 as place, 1 as stored, least(10, coalesce(n_ranked, 0)) as n_results, e as exploration_preference, case when e <= 0.3 then 'familiar' when e >= 0.7 then 'adventurous' else 'balanced' end as mode, coalesce(confidence, 0) as session_confidence
+  from weights left join (select user_id, count(*) as n_ranked from inputs group by user_id) using (user_id)""")
+def stored_runs(feed: Feed) -> DataFrame:
+    """Every user's feed stored as a run, and the list of stored runs read back."""
+    store = _stored(feed)
+    return store.recent().join(store.count(), "user_id").select("user_id", F.col("place").cast("long"), "stored", "n_results", "exploration_preference", "mode", "session_confidence")
+
+
+@query("""select p.user_id, p.project_id, final_rank as rank, p.pre_rank::int as pre_rank, p.score as final_score, title, sources, w_content * content as content_part, w_collaborative * collaborative as collaborative_part, w_novelty * novelty as novelty_part, mmr,
+  relaxed, saved from picks p join ranked r on r.user_id = p.user_id and r.project_id = p.project_id join catalog c on c.project_id = p.project_id""", _PICKS)
+def run_detail(feed: Feed) -> DataFrame:
+    """The results of the stored runs, from what was stored alone."""
+    store = _stored(feed)
+    rows = store.detail(store.runs(), feed.catalog)
+    return rows.select("user_id", "project_id", "rank", "pre_rank", "final_score", "title", F.array_join("sources", ",").alias("sources"), "content_part", "collaborative_part", "novelty_part",
+        F.col("detail.diversification.mmr").alias("mmr"), F.col("detail.diversification.relaxed").alias("relaxed"), F.col("detail.saved").alias("saved"))
+
+
 _EVAL = {
     "first_touches": "select user_id, project_id, min(created_at) as first_touch, min(created_at) filter (where type in ('SAVE', 'BUILD', 'COMPLETE', 'SHARE')) as first_positive from interactions group by user_id, project_id",
     "positives": "select *, count(*) over (partition by user_id) as n_positives, row_number() over (partition by user_id order by first_touch desc, project_id desc) as r from first_touches where first_positive is not null",
@@ -371,22 +435,36 @@ _EVAL = {
     "r_random": "select 'random' as algorithm, user_id, project_id, row_number() over (partition by user_id order by list_reduce(list_prepend(2166136261::bigint, list_transform(string_split('20260818:' || user_id || ':' || project_id, ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295), project_id) as rank from eval_items qualify rank <= 10",
     "r_popularity": "select 'popularity' as algorithm, user_id, project_id, row_number() over (partition by user_id order by evidence desc, prior desc, slug) as rank from eval_items qualify rank <= 10",
     "r_content": "select 'content' as algorithm, user_id, project_id, row_number() over (partition by user_id order by coalesce(affinity, 0) desc, prior desc, slug) as rank from eval_items left join case_affinity using (user_id, project_id) where user_id in (select user_id from case_signals) qualify rank <= 10",
-    "recs": "select * from r_random union all select * from r_popularity union all select * from r_content",
+    "case_rows": "select c.user_id as case_id, i.* exclude (user_id), i.user_id as other from cases c join interactions i on i.created_at < c.cutoff and i.user_id <> c.user_id",
+    "case_states": """select case_id, other, project_id, coalesce(arg_max(type, row(created_at, id)) filter (where type in ('SAVE', 'UNSAVE', 'DISLIKE')) = 'SAVE', false) as saved,
+    coalesce(arg_max(type, row(created_at, id)) filter (where type in ('SAVE', 'DISLIKE')) = 'DISLIKE', false) as disliked, bool_or(type = 'BUILD') as built, bool_or(type = 'COMPLETE') as completed, bool_or(type = 'OPEN') as opened, bool_or(type = 'SHARE') as shared
+    from (select * from case_rows union all select user_id, t.* exclude (user_id, cutoff), user_id from training t) group by all""",
+    "case_vectors": "select * from (select case_id, other, project_id, case when disliked then 0 else (case when completed then 5 when built then 4 else 0 end) + if(saved, 2, 0) + if(shared, 3, 0) + if(opened, 0.5, 0) end::double as v from case_states) where v > 0",
+    "case_seeds": "select case_id, project_id as i, v as w from case_vectors where case_id = other",
+    "case_others": "select * from case_vectors where case_id <> other",
+    "case_norms": "select case_id, project_id, sum(v * v) as n from case_others group by all",
+    "case_pairs": "select s.case_id, s.i, s.w, b.project_id as j, sum(a.v * b.v) as dot, count(*) as overlap from case_seeds s join case_others a on a.case_id = s.case_id and a.project_id = s.i join case_others b on b.case_id = a.case_id and b.other = a.other and b.project_id <> s.i group by all",
+    "case_near": """select p.*, round(least(1, dot / (sqrt(x.n) * sqrt(y.n)) * overlap / (overlap + 2.0)), 8) as sim from case_pairs p join case_norms x on x.case_id = p.case_id and x.project_id = i join case_norms y on y.case_id = p.case_id and y.project_id = j
+    qualify row_number() over (partition by p.case_id, i order by sim desc, j) <= 20""",
+    "case_raw": "select n.case_id as user_id, j as project_id, round(sum(sim * w), 9) as evidence from case_near n where not exists (select 1 from case_seeds s where s.case_id = n.case_id and s.i = n.j) group by all",
+    "case_scored": "select user_id, project_id, slug, evidence, round(least(1, greatest(0, r.evidence / max(r.evidence) over (partition by user_id) * trust)), 9) as score from case_raw r join (select user_id, project_id, slug from eval_items) e using (user_id, project_id) join (select case_id as user_id, least(1, sum(w) / 6) as trust from case_seeds group by all) using (user_id)",
+    "r_collaborative": "select 'collaborative' as algorithm, user_id, project_id, row_number() over (partition by user_id order by score desc, slug) as rank from case_scored where score >= 0.02 qualify rank <= 10",
+    "recs": "select * from r_random union all select * from r_popularity union all select * from r_content union all select * from r_collaborative union all select * from r_hybrid union all select * from r_session union all select * from r_diversified",
     "case_hits": "select algorithm, user_id, count(*) filter (where rank <= 5) as h5, count(*) as h10, sum(1 / log2(rank + 1)) as gain from recs semi join held using (user_id, project_id) group by algorithm, user_id",
 }
 
 
-class _Evaluation:
-    """What the evaluation queries share."""
+def _hybrids() -> dict[str, str]:
+    """The feed at each case's cutoff, as parts that bring their own."""
+    cases = {n: t for n, t in _EVAL.items() if not n.startswith("r_") and n not in ("recs", "case_hits")}
+    lists = lambda name, session, rank, table, more=(): f"select '{name}' as algorithm, user_id, project_id, {rank} as rank from ({sql(f'select * from {table} where {rank} <= 10', cases | at_cutoff(session), dict(more))})"
+    return {
+        "r_hybrid": lists("hybrid", False, "rank", "ranked"), "r_session": lists("hybrid-session", True, "rank", "ranked"),
+        "r_diversified": lists("hybrid-session-diversified", True, "final_rank", "picks", diversified("ranked")),
+    }
+
 
-    def __init__(self, feed: Feed):
-        self.cases = cut(evaluation.split(feed.interactions), "cases")
-        self.training = evaluation.target_training(feed.interactions, self.cases)
-        self.excluded = evaluation.exclusions(self.training)
-        everything = self.cases.select("user_id", "cutoff").join(feed.catalog.select("project_id", "prior", "slug"))  # cases times catalog
-        self.all_items = cut(evaluation.evidence_before(everything, feed.interactions), "items")
-        self.items = self.all_items.join(self.excluded, ["user_id", "project_id"], "left_anti")
-        self.recommended = evaluation.random_baseline(self.items).unionByName(evaluation.popularity_baseline(self.items)).unionByName(evaluation.content_baseline(self.items, self.training, feed.features))
+_EVAL = {n: t for n, t in _EVAL.items() if n not in ("recs", "case_hits")} | _hybrids() | {n: _EVAL[n] for n in ("recs", "case_hits")}
 
 
 @query("select user_id, cutoff, n_positives, array_to_string(held_out, ',') as held_out, training_positives from cases", _EVAL)
@@ -413,40 +491,41 @@ def eval_universe(feed: Feed) -> DataFrame:
 
 @query("select user_id, project_id, evidence, n_strong from all_items", _EVAL)
 def eval_evidence(feed: Feed) -> DataFrame:
-    return _Evaluation(feed).all_items.select("user_id", "project_id", "evidence", "n_strong")
+    return Evaluation(feed).all_items.select("user_id", "project_id", "evidence", "n_strong")
 
 
 @query("select algorithm, user_id, project_id, rank from recs", _EVAL)
 def eval_recommendations(feed: Feed) -> DataFrame:
-    return _Evaluation(feed).recommended.withColumn("rank", F.col("rank").cast("long"))
+    return Evaluation(feed).lists().withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""with case_rows as (select c.user_id as case_id, i.* exclude (user_id), i.user_id as other from cases c join interactions i on i.created_at < c.cutoff and i.user_id <> c.user_id),
-  case_states as (select case_id, other, project_id, coalesce(arg_max(type, row(created_at, id)) filter (where type in ('SAVE', 'UNSAVE', 'DISLIKE')) = 'SAVE', false) as saved,
-    coalesce(arg_max(type, row(created_at, id)) filter (where type in ('SAVE', 'DISLIKE')) = 'DISLIKE', false) as disliked, bool_or(type = 'BUILD') as built, bool_or(type = 'COMPLETE') as completed, bool_or(type = 'OPEN') as opened, bool_or(type = 'SHARE') as shared
-    from (select * from case_rows union all select user_id, t.* exclude (user_id, cutoff), user_id from training t) group by all),
-  case_vectors as (select * from (select case_id, other, project_id, case when disliked then 0 else (case when completed then 5 when built then 4 else 0 end) + if(saved, 2, 0) + if(shared, 3, 0) + if(opened, 0.5, 0) end::double as v from case_states) where v > 0),
-  seeds as (select case_id, project_id as i, v as w from case_vectors where case_id = other),
-  others as (select * from case_vectors where case_id <> other),
-  case_norms as (select case_id, project_id, sum(v * v) as n from others group by all),
-  case_pairs as (select s.case_id, s.i, s.w, b.project_id as j, sum(a.v * b.v) as dot, count(*) as overlap from seeds s join others a on a.case_id = s.case_id and a.project_id = s.i join others b on b.case_id = a.case_id and b.other = a.other and b.project_id <> s.i group by all),
-  near as (select p.*, round(least(1, dot / (sqrt(x.n) * sqrt(y.n)) * overlap / (overlap + 2.0)), 8) as sim from case_pairs p join case_norms x on x.case_id = p.case_id and x.project_id = i join case_norms y on y.case_id = p.case_id and y.project_id = j
-    qualify row_number() over (partition by p.case_id, i order by sim desc, j) <= 20),
-  raw as (select n.case_id as user_id, j as project_id, round(sum(sim * w), 9) as evidence from near n where not exists (select 1 from seeds s where s.case_id = n.case_id and s.i = n.j) group by all),
-  scored as (select user_id, project_id, slug, round(least(1, greatest(0, r.evidence / max(r.evidence) over (partition by user_id) * confidence)), 9) as score from raw r join eval_items e using (user_id, project_id) join (select case_id as user_id, least(1, sum(w) / 6) as confidence from seeds group by all) using (user_id))
-  select 'collaborative' as algorithm, user_id, project_id, row_number() over (partition by user_id order by score desc, slug) as rank from scored where score >= 0.02 qualify rank <= 10""".replace("with case_rows as", ", case_rows as", 1), _EVAL)
+@query("select algorithm, user_id, project_id, rank from r_collaborative", _EVAL)
 def eval_collaborative(feed: Feed) -> DataFrame:
     """The collaborative baseline: a model of the others' events before each case's cutoff."""
-    e = _Evaluation(feed)
-    return evaluation.collaborative_baseline(e.items, e.training, feed.interactions, e.cases).withColumn("rank", F.col("rank").cast("long"))
+    return evaluation.collaborative_baseline(Evaluation(feed).collaborative, feed.catalog).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def eval_factors(feed: Feed) -> DataFrame:
+    """The lists by learnt factors, alone and blended into the full feed."""
+    return Evaluation(feed).factor_lists().withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def eval_report(feed: Feed) -> DataFrame:
+    """All nine algorithms on the same cases: accuracy, coverage, diversity and novelty."""
+    e = Evaluation(feed)
+    lists = cut(e.lists().unionByName(e.factor_lists()), "lists")
+    beyond = evaluation.coverage(lists, feed.catalog).drop("items").join(evaluation.diversity(lists, feed.features), "algorithm").join(evaluation.list_novelty(lists, e.all_items), "algorithm")
+    return evaluation.assert_finite(evaluation.metrics(lists, e.cases).join(beyond, "algorithm"), ["coverage", "diversity", "novelty"])
 
 
 @query("""select algorithm, count(*) as cases, round(avg(coalesce(h5, 0) / 5), 9) as precision_5, round(avg(coalesce(h10, 0) / 10), 9) as precision_10, round(avg(coalesce(h5, 0) / len(held_out)), 9) as recall_5,
   round(avg(coalesce(h10, 0) / len(held_out)), 9) as recall_10, round(avg(coalesce(gain, 0) / list_sum(list_transform(range(1, len(held_out) + 1), lambda i: 1 / log2(i + 1)))), 9) as ndcg_10, round(avg(if(coalesce(h10, 0) > 0, 1.0, 0.0)), 9) as hit_10
   from (select distinct algorithm from recs) cross join cases left join case_hits using (algorithm, user_id) group by algorithm""", _EVAL)
 def eval_metrics(feed: Feed) -> DataFrame:
-    e = _Evaluation(feed)
-    return evaluation.metrics(e.recommended, e.cases)
+    e = Evaluation(feed)
+    return evaluation.metrics(cut(e.lists(), "lists"), e.cases)
 
 
 @query("""select algorithm, items, coverage, diversity, novelty from (select algorithm, count(distinct project_id) as items, round(count(distinct project_id) / (select count(*) from catalog), 9) as coverage from recs group by algorithm)
@@ -455,8 +534,8 @@ def eval_metrics(feed: Feed) -> DataFrame:
     from recs a join recs b on a.algorithm = b.algorithm and a.user_id = b.user_id and a.rank < b.rank join norms x on x.project_id = a.project_id join norms y on y.project_id = b.project_id) group by algorithm, user_id) group by algorithm) using (algorithm)
   join (select algorithm, round(avg(n), 9) as novelty from (select r.algorithm, r.user_id, avg(1 - ln(1 + n_strong) / ln(1 + peak)) as n from recs r join all_items i using (user_id, project_id) join (select user_id, max(n_strong) as peak from all_items group by user_id) using (user_id) group by r.algorithm, r.user_id) group by algorithm) using (algorithm)""", _EVAL)
 def eval_beyond_accuracy(feed: Feed) -> DataFrame:
-    e = _Evaluation(feed)
-    recommended = cut(e.recommended, "recommended")
+    e = Evaluation(feed)
+    recommended = cut(e.lists(), "lists")
     return evaluation.coverage(recommended, feed.catalog).join(evaluation.diversity(recommended, feed.features), "algorithm").join(evaluation.list_novelty(recommended, e.all_items), "algorithm")
 
 
@@ -470,8 +549,17 @@ def bpr_recommendations(feed: Feed) -> DataFrame:
     """The ten best untouched items of each user by factors trained on all of them."""
     data = bpr.dataset(feed.states, feed.catalog)
     users, items = bpr.train(data, feed.catalog)
-    fresh = users.select("user_id").join(items.select("project_id")).join(data, ["user_id", "project_id"], "left_anti")  # users times catalog
-    return bpr.normalize(bpr.rank(users, items, fresh)).withColumn("unit", r9("unit"))
+    return bpr.normalize(bpr.best_untouched(users, items, data)).withColumn("unit", r9("unit"))
+
+
+@query("""select 'users' as part, count(distinct user_id) as n, 16 as factors from signed union all select 'items', (select count(*) from catalog), 16""", {"signed": "select user_id from states where not disliked and (completed or built or saved or shared)"})
+def bpr_artifact(feed: Feed) -> DataFrame:
+    """Factors written, checked against their checksum and read again."""
+    path = new_path(feed.spark, "bpr-model")
+    bpr.save_model(*bpr.train(bpr.dataset(feed.states, feed.catalog), feed.catalog), path, feed.now)
+    users, items = bpr.load_model(feed.spark, path)
+    part = lambda df, name, c: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.max(F.size(c)).alias("factors"))
+    return part(users, "users", "p").unionByName(part(items, "items", "q"))
 
 
 @query("""with pairs2 as (select o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey group by all),
@@ -500,10 +588,17 @@ def stream_popularity(feed: Feed) -> DataFrame:
 def stream_sessions(feed: Feed) -> DataFrame:
     """Session windows of a stream over the event files, drained."""
     rows = ingest.incoming(ingest.events_stream(feed.spark, f"{feed.folder}/events.parquet"))
-    out = ingest.drain(ingest.session_counts(rows), "sessions")
+    out = ingest.drain_sessions(rows, "sessions")
     return out.withColumn("started_at", F.to_timestamp_ntz(F.col("started_at").cast("string"))).withColumn("expires_at", F.to_timestamp_ntz(F.col("expires_at").cast("string")))
 
 
+@query("select distinct user_id, project_id from interactions where type = 'IMPRESSION'")
+def stream_impressions(feed: Feed) -> DataFrame:
+    """Impressions of a stream over the event files, each item of a user once."""
+    rows = ingest.incoming(ingest.events_stream(feed.spark, f"{feed.folder}/events.parquet"))
+    return ingest.drain(ingest.deduped_impressions(rows), "impressions", "append").select("user_id", "project_id")
+
+
 _KEY = "substr(feature, strpos(feature, ':') + 1)"
 
 
@@ -513,14 +608,56 @@ def feature_labels(feed: Feed) -> DataFrame:
     return views.feature_labels(feed.features)
 
 
-@query("""select project_id, 'duplicate title' as problem from (select *, count(*) over (partition by title) as n from every_item) where n > 1
-  union all select project_id, 'duplicate slug' from (select *, count(*) over (partition by slug) as n from every_item) where n > 1
+_ITEMS = {"every_item": "select p_partkey as project_id, lpad(p_partkey::varchar, 6, '0') as slug, p_name as title, list_distinct(string_split(p_name, ' ')) as own_tags, lower(p_brand) as own_language, p_size as hours, (p_partkey * 37 % 101) / 100.0::double as share, p_name || ' ' || p_type || ' ' || p_brand as summary, string_split(p_name || ' ' || p_type, ' ') as concepts from part"}
+
+
+@query("""select project_id, 'duplicate slug' as problem from (select *, count(*) over (partition by slug) as n from every_item) where n > 1
   union all select project_id, 'slug has a bad form' from every_item where not regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')
-  union all select project_id, 'needs 1 to 5 tags' from every_item where len(tags) not between 1 and 5
-  union all select project_id, 'hours out of range' from every_item where hours not between 2 and 80 union all select project_id, 'prior out of range' from every_item where prior not between 0 and 1""", {"every_item": "select p_partkey as project_id, lpad(p_partkey::varchar, 6, '0') as slug, p_name as title, list_distinct(string_split(p_name, ' ')) as tags, p_size as hours, (p_partkey * 37 % 101) / 100.0::double as prior from part"})
+  union all select project_id, 'title too short' from every_item where length(trim(title)) < 5 union all select project_id, 'summary too short' from every_item where length(trim(summary)) < 30
+  union all select project_id, 'description too short' from every_item where length(trim(summary)) < 300 union all select project_id, 'needs 3 concepts' from every_item where len(concepts) < 3
+  union all select project_id, 'needs 1 to 5 tags' from every_item where len(own_tags) not between 1 and 5
+  union all select project_id, 'hours are no integer from 1 to 200' from every_item where hours not between 1 and 200 union all select project_id, 'prior out of range' from every_item where share not between 0 and 1
+  union all select project_id, 'unknown tag ' || t from (select project_id, unnest(own_tags) as t from every_item) where t not in (select unnest(tag_slugs) from catalog)
+  union all select project_id, 'unknown language ' || own_language from every_item where own_language not in (select unnest(language_slugs) from catalog)""", _ITEMS)
 def catalog_problems(feed: Feed) -> DataFrame:
-    """Integrity of the whole item table."""
-    return views.catalog_problems(tables.as_catalog(tables.table(feed.spark, feed.folder, "part")))
+    """Integrity of the whole item table; the tags and languages of the items that the event log knows are the known ones."""
+    part = tables.table(feed.spark, feed.folder, "part")
+    text = part.select(F.col("p_partkey").alias("project_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("summary"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("description"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("concepts"))
+    known = lambda c: feed.catalog.select(F.explode(c).alias("slug")).distinct()
+    return views.catalog_problems(tables.as_catalog(part).join(text, "project_id"), known("tag_slugs"), known("language_slugs"))
+
+
+@query("""select position, l.slug as "left", r.slug as "right", chosen as left_id, l.title as left_title, rejected as right_id, r.title as right_title
+  from (select *, row_number() over (order by chosen, rejected) as position from (select distinct chosen, rejected from answers)) join catalog l on l.project_id = chosen join catalog r on r.project_id = rejected""")
+def onboarding_pairs(feed: Feed) -> DataFrame:
+    """The pairs between which users chose, found in the catalog by their slugs."""
+    slug = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")
+    pairs = global_rank(feed.answers.select("chosen", "rejected").distinct(), [F.col("chosen"), F.col("rejected")], "position")
+    return onboarding.load_pairs(pairs.select("position", slug("chosen").alias("left"), slug("rejected").alias("right")), feed.catalog)
+
+
+@query("select topic, feature, max(weight) as value from (select topic, 'tag:' || tag as feature, weight from topic_tags) group by all")
+def onboarding_topics(feed: Feed) -> DataFrame:
+    return onboarding.topic_features(feed.topics)
+
+
+@query("""select user_id, if(user_id in (select user_id from active), null, difficulty) as difficulty, if(user_id in (select user_id from active), 'ANYTHING', duration) as duration, if(user_id in (select user_id from active), rejected, chosen) as chosen from answers""")
+def onboarding_upsert(feed: Feed) -> DataFrame:
+    """Users in an active session answer again, without preferences, and choose the other item."""
+    old = feed.answers
+    again = old.join(feed.active.select("user_id"), "user_id", "left_semi")
+    kept, chosen = onboarding.complete(
+        old.select("user_id", "difficulty", "duration"), old.select("user_id", "chosen", "rejected"),
+        again.select("user_id", F.lit("SURPRISE_ME").alias("difficulty"), F.lit("ANYTHING").alias("duration")), again.select("user_id", F.col("rejected").alias("chosen"), F.col("chosen").alias("rejected")),
+    )
+    return kept.join(chosen, "user_id").select("user_id", "difficulty", "duration", "chosen")
+
+
+@query("select user_id, if(user_id in (select user_id from states where disliked), least(1, e + 0.1), e) as e from app_users")
+def settings_upsert(feed: Feed) -> DataFrame:
+    """Users who dislike something become more adventurous."""
+    moved = feed.users.join(feed.states.filter("disliked").select("user_id").distinct(), "user_id", "left_semi").select("user_id", clamp01(F.col("e") + 0.1).alias("e"))
+    return onboarding.upsert(feed.users.select("user_id", "e"), moved, "user_id")
 
 
 @query("""select u.user_id, t.topics, a.chosen, a.rejected, a.difficulty, nullif(a.duration, 'ANYTHING') as duration, if(n < 3, 'too few topics', null) as problem

@@ -6,14 +6,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_DEFAULT = "/tmp/tidewalk-shared"
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a session on a single machine without that setting gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or "/tmp/tidewalk-shared").rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or LOCAL_DEFAULT).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewalk-feed/{name}-{uuid.uuid4().hex}"
+    """A path in this application's folder, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/tidewalk-feed/{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

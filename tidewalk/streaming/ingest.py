@@ -64,3 +64,27 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
         run = stream.writeStream.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(path)).outputMode(mode)
     run.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+#: An event time after all others, by which the last windows of a drained stream close.
+END = "2900-01-01 00:00:00"
+
+
+def drain_sessions(rows: DataFrame, name: str) -> DataFrame:
+    """The sessions of all that the stream ``rows`` has now, written once each as the watermark passes them.
+
+    What is still open at the end is closed by a row of the time END, which comes from a stream of its own in a second run of the
+    same query; that row's own session stays open. State holds open sessions alone.
+    """
+    spark = rows.sparkSession
+    ends, path = new_path(spark, f"{name}-end"), new_path(spark, name)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    last = spark.range(1).select(*[F.lit(END).cast("timestamp").alias("created_at") if f.name == "created_at" else c for f, c in zip(rows.schema, nothing)])
+    last.filter("false").write.parquet(ends)
+    stream = session_counts(rows.unionByName(spark.readStream.schema(rows.schema).parquet(ends)))
+    for closing in (False, True):
+        if closing:
+            last.write.mode("append").parquet(ends)
+        run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
