@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewalk.llm.bytesets import U, mixed, powers
+from tidewalk.llm.columns import fresh
 from tidewalk.llm.language_id import held_out
 
 WORD = re.compile(r"\w+")
@@ -175,8 +176,8 @@ def _windows(ids: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np
     return np.where(mask, ids[np.minimum(place + at[:-1][text], len(ids) - 1)], 0) if len(ids) else place, mask, text
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 350, seed: int = 7, rate: float = 0.01) -> Network:
-    """Fit a network to whole documents' labels."""
+def train(texts: list[str], labels: np.ndarray, steps: int = 350, seed: int = 7, rate: float = 0.01, guess: bool = True) -> Network:
+    """Fit a network to whole documents' labels; with ``guess`` one column of the embeddings starts as each word's surplus in toxic documents."""
     net, index, ids, at = Network(seed), {}, [], [0]
     for text in texts:
         ids += [index.setdefault(w, len(index)) for w in text_words(text)]
@@ -193,7 +194,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 350, seed: int = 7,
     for table, spots, which in ((net.words, own, slice(None)), (net.grams, grams, whose)):  # a first guess: surplus in toxic documents
         n, hits = np.bincount(spots, in_docs[which], len(table)), np.bincount(spots, toxic[which], len(table))
         surplus = (hits - n * share) / np.sqrt(n * share * (1 - share) + 1)
-        table[:, 0] = np.where((n >= SEEN) & (np.abs(surplus) >= 2), np.clip(surplus / 3, -2, 2), 0)
+        if guess:
+            table[:, 0] = np.where((n >= SEEN) & (np.abs(surplus) >= 2), np.clip(surplus / 3, -2, 2), 0)
     order = np.argsort(whose, kind="stable")
     grams, gram_at = grams[order], np.searchsorted(whose[order], np.arange(len(words) + 1))
     r, step = np.random.default_rng(seed), 0
@@ -249,8 +251,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 350, seed: int = 7,
     return net
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, rows_per_class: int = 1200, longest: int = 20_000) -> Network | None:
-    """Train on rows that are not held out; None if one of the labels is missing."""
+def fit(documents: DataFrame, labels: DataFrame, *, rows_per_class: int = 1200, longest: int = 20_000, guess: bool = True) -> Network | None:
+    """Train on rows that are not held out; None if one of the labels is missing. ``guess``: see ``train``."""
     rows = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     short = documents.filter((F.length("text") <= longest) & F.col("doc_id").isNotNull())
     rows = rows.join(short.select("doc_id").distinct(), "doc_id")
@@ -258,7 +260,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows_per_class: int = 1200,
     rows = rows.filter("toxic = 1").orderBy(mix, "doc_id").limit(rows_per_class).unionByName(rows.filter("toxic = 0").orderBy(mix, "doc_id").limit(rows_per_class))
     sample = short.join(F.broadcast(rows), "doc_id").orderBy(mix, "doc_id", F.xxhash64("text"), "toxic").limit(2 * rows_per_class).select("text", "toxic").toArrow()
     y = sample["toxic"].to_numpy().astype(np.float32)
-    return train(sample["text"].to_pylist(), y) if len(np.unique(y)) == 2 else None
+    return train(sample["text"].to_pylist(), y, guess=guess) if len(np.unique(y)) == 2 else None
 
 
 def score(documents: DataFrame, net: Network | None, columns: list[str]) -> DataFrame:
@@ -290,4 +292,4 @@ def score(documents: DataFrame, net: Network | None, columns: list[str]) -> Data
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(columns))], pa.array(_sigmoid(best.astype(np.float64)))], names=[*columns, "score"])
 
     out = T.StructType([*[documents.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
-    return documents.select(*[f"`{c}`" for c in columns], F.col("text").alias("_text")).mapInArrow(scan, out)
+    return documents.select(*[f"`{c}`" for c in columns], F.col("text").alias(fresh(documents, "text")[0])).mapInArrow(scan, out)
