@@ -118,15 +118,15 @@ def collaborative_seeds(signals: DataFrame) -> DataFrame:
 
 
 def neighbour_lists(pairs: DataFrame) -> DataFrame:
-    """pairs with place and chunk: where j stands among the items similar to i if users that have no j are left out.
+    """i, j, ni, raw (their similarity but for the norm of i), place and chunk: where j stands among the items similar to i if users that have no j are left out.
 
     Leaving out such a user changes the norm of i alone, so the order stays. Items within one per cent of each other don't
     count in each other's place: rounding may still decide between them.
     """
     raw = F.col("dot") / F.sqrt("nj") * F.col("overlap") / (F.col("overlap") + CONFIG.shrinkage)
     ahead = F.expr("count(*) over (partition by i order by fall range between unbounded preceding and 0.01D preceding)")
-    listed = pairs.withColumn("fall", -F.log(raw)).withColumn("place", ahead + 1)
-    return listed.withColumn("chunk", F.floor(F.col("place") / CHUNK)).drop("fall")
+    listed = pairs.withColumn("raw", raw).withColumn("fall", -F.log("raw")).withColumn("place", ahead + 1)
+    return listed.select("i", "j", "ni", "raw", "place", F.floor(F.col("place") / CHUNK).alias("chunk"))
 
 
 def collaborative_scores(signals: DataFrame, pairs: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -134,24 +134,26 @@ def collaborative_scores(signals: DataFrame, pairs: DataFrame, excluded: DataFra
 
     What one user adds to a pair is known (the product of the user's two signals), so it is taken off instead of
     building a model per user. Only a user's own items change places among an item's neighbours; so of the others
-    the first 20 + (own items) of the common list are enough. Seeds still fill neighbour slots, so pairs are corrected before
-    the 20 best are taken, and seeds and excluded items dropped after that.
+    the first 20 + (own items) of the common list are enough, and of each chunk of it the 20 best. Seeds still fill neighbour
+    slots, so pairs are corrected before the 20 best are taken, and seeds and excluded items dropped after that.
     """
+    k = CONFIG.neighbours
     seeds = signals.select("user_id", F.col("project_id").alias("i"), F.col("signal").alias("vi"))
     own = signals.select("user_id", F.col("project_id").alias("j"), F.col("signal").alias("vj"))
-    depth = signals.groupBy("user_id").agg((F.count("*") + CONFIG.neighbours).alias("deep"))
-    asked = seeds.join(depth, "user_id").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("deep") / CHUNK))))
-    others = asked.join(neighbour_lists(pairs), ["i", "chunk"]).filter("place <= deep").join(own.select("user_id", "j"), ["user_id", "j"], "left_anti")
-    others = others.select("user_id", "i", "j", "vi", F.lit(0.0).alias("v"), "dot", "overlap", "ni", "nj")
-    both = seeds.join(own, "user_id").filter("i <> j").join(pairs, ["i", "j"]).select("user_id", "i", "j", "vi", F.col("vj").alias("v"), "dot", "overlap", "ni", "nj")
-    rows = others.unionByName(both)
-    left_out = similarity(
-        F.col("dot") - F.col("vi") * F.col("v"), F.col("overlap") - (F.col("v") > 0).cast("int"),
-        F.col("ni") - F.col("vi") * F.col("vi"), F.col("nj") - F.col("v") * F.col("v"),
-    )
-    rows = rows.select("user_id", "i", "j", "vi", (F.col("v") > 0).alias("seed"), left_out.alias("similarity")).filter("similarity > 0")
-    near = top_k(rows, ["user_id", "i"], [F.desc("similarity"), F.col("j")], CONFIG.neighbours).filter("not seed")
-    near = near.withColumnRenamed("j", "project_id").join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti")
+    chunks = neighbour_lists(pairs).groupBy("i", "ni", "chunk").agg(F.collect_list(F.struct("place", "j", "raw")).alias("list"))
+    depth = signals.groupBy("user_id").agg((F.count("*") + k).alias("deep"), F.collect_set("project_id").alias("mine"))
+    asked = seeds.join(depth, "user_id").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("deep") / CHUNK)))).join(chunks, ["i", "chunk"])
+    asked = asked.withColumn("left", F.sqrt(F.col("ni") - F.col("vi") * F.col("vi")))  # above 0: whoever shares a pair without the user likes i
+    fresh = F.filter("list", lambda x: (x["place"] <= F.col("deep")) & ~F.array_contains("mine", x["j"]))
+    entry = lambda minus, j, seed: F.struct(minus.alias("minus"), j.alias("j"), F.lit(seed).alias("seed"))
+    best = lambda entries: F.slice(F.array_sort(F.filter(entries, lambda x: x["minus"] < 0)), 1, k)
+    others = asked.select("user_id", "i", "vi", best(F.transform(fresh, lambda x: entry(F.negative(F.round(x["raw"] / F.col("left"), 8)), x["j"], False))).alias("near"))
+    both = seeds.join(own, "user_id").filter("i <> j").join(pairs, ["i", "j"])
+    left_out = similarity(F.col("dot") - F.col("vi") * F.col("vj"), F.col("overlap") - 1, F.col("ni") - F.col("vi") * F.col("vi"), F.col("nj") - F.col("vj") * F.col("vj"))
+    both = both.select("user_id", "i", "vi", entry(F.negative(left_out), F.col("j"), True).alias("x")).groupBy("user_id", "i", "vi").agg(F.collect_list("x").alias("near"))
+    near = others.unionByName(both).groupBy("user_id", "i", "vi").agg(best(F.flatten(F.collect_list("near"))).alias("near"))
+    near = near.select("user_id", "i", "vi", F.inline(F.filter("near", lambda x: ~x["seed"]))).select("user_id", "i", "vi", F.col("j").alias("project_id"), F.negative("minus").alias("similarity"))
+    near = near.join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti")
     support = F.slice(F.array_sort(F.collect_list(F.struct(F.negative(r9(F.col("similarity") * F.col("vi"))).alias("minus"), F.col("i").alias("seed_id")))), 1, 3)
     raw = near.groupBy("user_id", "project_id").agg(r9(F.sum(F.col("similarity") * F.col("vi"))).alias("evidence"), support.alias("support"))
     return with_confidence(raw, seeds)

@@ -78,12 +78,12 @@ class Feed:
     def session_rows(self) -> DataFrame:
         return self.sessionized.join(self.active.select("user_id", "session_no"), ["user_id", "session_no"], "left_semi")
 
-    @cached_property
+    @stage
     def tags(self) -> DataFrame:
         tags = self.catalog.select(F.explode("tag_slugs").alias("tag")).distinct()
         return tags.withColumn("tag_no", F.row_number().over(Window.orderBy("tag")) - 1)
 
-    @cached_property
+    @stage
     def answers(self) -> DataFrame:
         numbered = self.catalog.withColumn("item_no", F.row_number().over(Window.orderBy("project_id")) - 1)
         return profiles.answers_of(self.users, numbered, self.tags)
