@@ -263,9 +263,10 @@ def test_explanations(spark):
     assert say(taste_tags=[], content=0.0) == ("catalog", "From the Acme catalog.")
     assert say(taste_tags=[], content=0.1, duration_signal=1.0, languages=[("go", 1.0)]) == ("fit", "Fits your preference for weekend-sized go projects.")
     assert say(taste_tags=[], content=0.0, popularity=0.7, sources=["popular"]) == ("popularity", "Popular with Acme users — a good place to start.")
-    assert say(collaborative=0.9, w_collaborative=0.9, sources=["collaborative"], seeds=[("Redis", "saved")]) == ("collaborative", "People who liked “Redis”, which you saved, also liked this. It also matches your interest in data and web.")
+    assert say(collaborative=0.9, w_collaborative=0.9, sources=["collaborative"], seeds=[("Redis", "saved")]) == ("collaborative", "People who liked “Redis”, which you saved, also liked this. Your interest in data and web speaks for it too.")
     assert say(session=0.7, confidence=0.5, session_tags=[("gfx", 1.0)]) == ("session", "Your current session has shifted towards gfx, while this still matches your broader data and web interests.")
     assert say(novelty=0.9, w_novelty=0.9, e=0.7, sources=["exploration"])[1].startswith("You're in a more adventurous discovery mode, so Acme is showing a less familiar project related to data.")
+    assert say(collaborative=0.9, w_collaborative=0.9, sources=["collaborative"], taste_tags=[], seeds=[("Redis", "saved"), ("DNS", "built")])[1] == "People who liked “Redis” (which you saved) and “DNS” (which you are building) also liked this."
     assert CONFIG.explain_features == 2
 
 

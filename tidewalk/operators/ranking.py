@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
-from tidewalk.functions.scalar import clamp, clamp01, discovery_mode, diversification_lambda, finite, join_natural, max_items_per_tag, prose_label, r9, safe_div
+from tidewalk.functions.scalar import clamp, clamp01, discovery_mode, diversification_lambda, finite, join_natural, lookup, max_items_per_tag, prose_label, r9, safe_div
 
 SOURCES = ("content", "collaborative", "popular", "exploration")
 COMPONENTS = ("content", "collaborative", "session", "novelty", "popularity")
@@ -116,10 +118,40 @@ def diversify(ranked: DataFrame, features: DataFrame, limit: int = CONFIG.feed_l
     return rows.select("user_id", "project_id", "score", "rank", "lam", "cap", "vector").groupBy("user_id").applyInPandas(one_user, DIVERSIFIED)
 
 
-# Fixed wording of explanations; the name of the product is a parameter.
-SEED_VERB = {"completed": "completed", "built": "built", "saved": "saved", "shared": "shared", "opened": "opened"}
+# The words of explanations that results must have. The name of the product is a parameter.
 DURATION_PROSE = {"UNDER_2_HOURS": "under-two-hour", "ONE_EVENING": "one-evening", "WEEKEND": "weekend-sized", "ONE_TO_TWO_WEEKS": "week-long"}
 DIFFICULTY_PROSE = {"BEGINNER": "beginner-friendly", "INTERMEDIATE": "intermediate", "ADVANCED": "advanced"}
+STATE_PROSE = {"completed": "completed", "built": "are building", "saved": "saved", "shared": "shared", "opened": "opened"}
+FIXED = {
+    "taste": "Because you like {tags} projects.",
+    "onboarding": "Based on the interests you selected during onboarding: {tags}.",
+    "session": "You've been exploring {now} projects in this session.",
+    "session and taste": "Your current session has shifted towards {now}, while this still matches your broader {tags} interests.",
+    "also session": "You've also been exploring {now} this session.",
+    "fit": "Fits your preference for {fits} projects.",
+    "one seed": "People who liked “{first}”, which you {state}, also liked this.",
+    "two seeds": "People who liked “{first}” and “{second}”, which you {state}, also liked this.",
+    "two seeds, two states": "People who liked “{first}” (which you {state}) and “{second}” (which you {other}) also liked this.",
+    "adventurous": "You're in a more adventurous discovery mode, so {brand} is showing a less familiar project related to {tag}.",
+    "adjacent": "A bit of a wildcard: this explores an adjacent area while still matching your {tag} interests.",
+    "rare": "This is less commonly explored, but still overlaps with your interest in {tag}.",
+    "popular": "Popular with {brand} users — a good place to start.",
+    "popular and taste": "Popular with {brand} users, and related to your interest in {tag}.",
+    "catalog": "From the {brand} catalog.",
+}
+# Words of our own, where results may say it in any way.
+FREE = {
+    "also taste": "Your interest in {tags} speaks for it too.",
+    "rare alone": "Few others have found this one yet.",
+    "weak taste": "Has to do with your interest in {tag}.",
+}
+
+
+def _say(name: str, **parts: Column | str) -> Column:
+    """A sentence with its blanks filled; null if one of them is."""
+    text = re.split(r"\{(\w+)\}", {**FIXED, **FREE}[name])
+    filled = [F.lit(x) if k % 2 == 0 else parts[x] if isinstance(parts[x], Column) else F.lit(parts[x]) for k, x in enumerate(text)]
+    return F.concat(*filled)
 
 
 def _strongest(entries: Column, limit: int) -> Column:
@@ -162,39 +194,37 @@ def explain(items: DataFrame, brand: str = "us") -> DataFrame:
     rows = rows.withColumn("new_leads", c("new") & (c("new_part") > c("content_part")) & (c("new_part") > c("others_part")) & ~(c("taste") & c("cold")))
     rows = rows.withColumn("now_leads", c("now") & (~c("taste") | (at_least("confidence", gate["strong_session"]) & (session_score >= F.greatest(F.lit(0.0), c("affinity"))))))
 
-    label = prose_label(c("new_tag"))
-    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    tag = prose_label(c("new_tag"))
     new_text = (
-        F.when((c("e") >= gate["adventurous"]) & from_source("exploration") & c("new_tag").isNotNull(), say("You're in a more adventurous discovery mode, so ", brand, " is showing a less familiar project related to ", label, "."))
-        .when(c("near"), say("A bit of a wildcard: this explores an adjacent area while still matching your ", label, " interests."))
-        .when(c("rare") & c("new_tag").isNotNull(), say("This is less commonly explored, but still overlaps with your interest in ", label, "."))
-        .otherwise("Less commonly explored than the usual popular picks.")
+        F.when((c("e") >= gate["adventurous"]) & from_source("exploration") & c("new_tag").isNotNull(), _say("adventurous", brand=brand, tag=tag))
+        .when(c("near"), _say("adjacent", tag=tag)).when(c("rare") & c("new_tag").isNotNull(), _say("rare", tag=tag)).otherwise(_say("rare alone"))
     )
     first, second = F.get("seeds", 0), F.get("seeds", 1)
-    others_text = (
-        F.when(F.size("seeds") < 2, say("People who liked “", first["title"], "”, which you ", first["state"], ", also liked this."))
-        .when(first["state"] == second["state"], say("People who liked “", first["title"], "” and “", second["title"], "”, which you ", first["state"], ", also liked this."))
-        .otherwise(say("People who liked “", first["title"], "” (which you ", first["state"], ") and “", second["title"], "” (which you ", second["state"], ") also liked this."))
-    )
-    taste_prose, now_prose = join_natural(F.transform("tags", prose_label)), join_natural(F.transform("now_tags", prose_label))
-    fit_text = say("Fits your preference for ", F.array_join("fits", " "), " projects.")
-    also_now = say("You've also been exploring ", now_prose, " this session.")
-    after = lambda *cases: _first_case([(k, say(" ", v)) for k, v in cases])
-    explored_new = c("new") & from_source("exploration")
-    related = F.get("tags", 0).isNotNull()
+    named = {"first": first["title"], "state": lookup(STATE_PROSE, first["state"]), "second": second["title"], "other": lookup(STATE_PROSE, second["state"])}
+    others_text = F.when(F.size("seeds") < 2, _say("one seed", **named)).when(first["state"] == second["state"], _say("two seeds", **named)).otherwise(_say("two seeds, two states", **named))
+    taste, now = {"tags": join_natural(F.transform("tags", prose_label))}, {"now": join_natural(F.transform("now_tags", prose_label))}
+    strongest = {"tag": prose_label(F.get("tags", 0))}
+    also_taste, also_now, fit = _say("also taste", **taste), _say("also session", **now), _say("fit", fits=F.array_join("fits", " "))
+    explored_new, related = c("new") & from_source("exploration"), F.get("tags", 0).isNotNull()
+
+    def then(text: Column, *more: tuple[Column, Column]) -> Column:
+        """text, and the first further sentence that applies."""
+        return F.concat(text, _first_case([(when, F.concat(F.lit(" "), added)) for when, added in more]))
+
+    heard, found, suits = (c("others"), others_text), (explored_new, new_text), (c("fit"), fit)
+    by_session = F.when(c("taste"), _say("session and taste", **now, **taste)).otherwise(then(_say("session", **now), heard, suits))
     cases = [
-        (c("others_lead") & (c("others_part") >= c("new_part")), "collaborative", say(others_text, after((c("taste"), say("It also matches your interest in ", taste_prose, ".")), (c("now"), also_now), (c("new"), new_text), (c("fit"), fit_text)))),
-        (c("new_leads"), "novelty", say(new_text, after((c("taste") & ~new_text.contains("interest"), say("It matches your interest in ", taste_prose, ".")), (c("others"), others_text)))),
-        (c("now_leads"), "session", F.when(c("taste"), say("Your current session has shifted towards ", now_prose, ", while this still matches your broader ", taste_prose, " interests."))
-            .otherwise(say("You've been exploring ", now_prose, " projects in this session.", after((c("others"), others_text), (c("fit"), fit_text))))),
-        (c("taste") & c("cold"), "onboarding", say("Based on the interests you selected during onboarding: ", taste_prose, ".", after((c("now"), also_now), (explored_new, new_text), (c("fit"), fit_text)))),
-        (c("taste"), "taste", say("Because you like ", taste_prose, " projects.", after((c("now"), also_now), (c("others"), others_text), (explored_new, new_text), (c("fit"), fit_text)))),
-        (c("fit"), "fit", fit_text),
+        (c("others_lead") & (c("others_part") >= c("new_part")), "collaborative", then(others_text, (c("taste"), also_taste), (c("now"), also_now), (c("new"), new_text), suits)),
+        (c("new_leads"), "novelty", then(new_text, (c("taste") & ~new_text.contains("interest"), also_taste), heard)),
+        (c("now_leads"), "session", by_session),
+        (c("taste") & c("cold"), "onboarding", then(_say("onboarding", **taste), (c("now"), also_now), found, suits)),
+        (c("taste"), "taste", then(_say("taste", **taste), (c("now"), also_now), heard, found, suits)),
+        (c("fit"), "fit", fit),
         (explored_new, "novelty", new_text),
-        (c("popular"), "popularity", say("Popular with ", brand, " users", F.when(related, say(", and related to your interest in ", prose_label(F.get("tags", 0)), ".")).otherwise(" — a good place to start."))),
-        ((c("affinity") > 0) & related, "taste", say("Related to your interest in ", prose_label(F.get("tags", 0)), ".")),
+        (c("popular"), "popularity", F.when(related, _say("popular and taste", brand=brand, **strongest)).otherwise(_say("popular", brand=brand))),
+        ((c("affinity") > 0) & related, "taste", _say("weak taste", **strongest)),
     ]
-    primary, text = _first_case([(k, F.lit(p)) for k, p, _ in cases], F.lit("catalog")), _first_case([(k, t) for k, _, t in cases], say("From the ", brand, " catalog."))
+    primary, text = _first_case([(k, F.lit(p)) for k, p, _ in cases], F.lit("catalog")), _first_case([(k, t) for k, _, t in cases], _say("catalog", brand=brand))
     factor = lambda when, kind, names, strength: F.when(when, F.struct(kind.alias("kind") if isinstance(kind, Column) else F.lit(kind).alias("kind"), names.alias("features"), strength.alias("strength")))
     none = F.array().cast("array<string>")
     weak = (primary == "taste") & ~c("taste")
