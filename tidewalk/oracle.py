@@ -215,3 +215,50 @@ def at_cutoff(with_session: bool) -> dict[str, str]:
   from popularity p join app_users u on u.user_id = p.user_id left join affinities a on a.user_id = p.user_id and a.project_id = p.project_id left join collaborative_scores s on s.user_id = p.user_id and s.project_id = p.project_id)""",
         "raw_weights": PARTS["raw_weights"].replace("from interactions where", "from case_log where"),
     }
+
+
+def explained() -> dict[str, str]:
+    """Parts that say why each of ``picks`` is shown: rows of ``reasons`` have primary, text and factors."""
+    prose = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: if(regexp_matches(w, '^[A-Z][a-z]+$'), lower(w), w)), ' ')"
+    both = lambda x: f"array_to_string(list_transform({x}, lambda t: {prose('t')}), ' and ')"
+    verb = lambda x: f"if({x} = 'built', 'are building', {x})"
+    best = lambda table, prefix: f"select user_id, project_id, list(split_part(feature, ':', -1) order by round(signal, 9) desc, split_part(feature, ':', -1)) as best from picks join features using (project_id) join {table} using (user_id, feature) where feature like '{prefix}:%' and signal > 0 group by all"
+    liked = lambda prefix: f"select user_id, project_id, max(signal) as liked from picks join features using (project_id) join long_term using (user_id, feature) where feature like '{prefix}:%' group by all"
+    gated = lambda *cases: " ".join(f"when {when} then ' ' || {text}" for when, text in cases)
+    also_now, heard, found, suits = ("now", "also_now"), ("others", "others_text"), ("new and explored", "new_text"), ("fit", "fit_text")
+    also_taste = "'Your interest in ' || taste_prose || ' speaks for it too.'"
+    return {
+        "seed_names": """select user_id, project_id, list(title order by place)[1:2] as seed_titles, list(state order by place)[1:2] as seed_states from (select user_id, k.project_id, unnest(support) as seed_id, generate_subscripts(support, 1) as place
+  from collaborative_scores k semi join picks using (user_id, project_id)) s join (select project_id as seed_id, title from catalog) using (seed_id) join (select user_id, project_id as seed_id, state from signals) using (user_id, seed_id) group by all""",
+        "why_rows": f"""select p.user_id, p.project_id, p.final_rank, p.pre_rank, p.score, p.mmr, r.e, r.confidence, r.session, r.collaborative, r.novelty, r.popularity, string_split(r.sources, ',') as found_by, r.w_content, r.w_collaborative, r.w_novelty, coalesce(r.content, 0)::double as affinity,
+    coalesce(t.best, [])[1:2] as tags2, coalesce(n.best, [])[1:2] as now2, coalesce(seed_titles, []) as titles, coalesce(seed_states, []) as verbs, p.user_id not in (select user_id from history where weight <> 0 and {AGE} <= 365) as cold,
+    list_filter([case when du.liked > 0 then case {BUCKET} when 'UNDER_2_HOURS' then 'under-two-hour' when 'ONE_EVENING' then 'one-evening' when 'WEEKEND' then 'weekend-sized' else 'week-long' end end,
+      case when di.liked > 0 then case difficulty when 'BEGINNER' then 'beginner-friendly' when 'INTERMEDIATE' then 'intermediate' else 'advanced' end end, l.best[1]], lambda x: x is not null) as fits
+  from picks p join ranked r on r.user_id = p.user_id and r.project_id = p.project_id join catalog c on c.project_id = p.project_id
+  left join ({best('long_term', 'tag')}) t on t.user_id = p.user_id and t.project_id = p.project_id left join ({best('session_profile', 'tag')}) n on n.user_id = p.user_id and n.project_id = p.project_id
+  left join ({best('long_term', 'lang')}) l on l.user_id = p.user_id and l.project_id = p.project_id left join ({liked('difficulty')}) di on di.user_id = p.user_id and di.project_id = p.project_id
+  left join ({liked('duration')}) du on du.user_id = p.user_id and du.project_id = p.project_id left join seed_names s on s.user_id = p.user_id and s.project_id = p.project_id""",
+        "why_parts": """select *, len(tags2) > 0 and affinity >= 0.2 as taste, greatest(0, coalesce(session, 0))::double as now_score, coalesce(confidence >= 0.15, false) and len(now2) > 0 and session is not null and now_score >= 0.25 as now,
+    len(fits) > 0 and affinity > 0 as fit, coalesce(popularity >= 0.5, false) and list_contains(found_by, 'popular') as popular_one, coalesce(collaborative >= 0.3, false) and len(titles) > 0 and list_contains(found_by, 'collaborative') as others,
+    coalesce(w_content, 0) * greatest(0, affinity) as content_share, if(others, coalesce(w_collaborative, 0) * collaborative, 0) as others_share, others and (not taste or others_share > content_share) as others_lead, list_contains(found_by, 'exploration') as explored,
+    4 * least(1, greatest(0, affinity)) * (1 - least(1, greatest(0, affinity))) >= 0.5 and len(tags2) > 0 as beside, 1 - least(1, greatest(0, popularity)) >= 0.6 as rare, coalesce(novelty >= 0.55, false) and affinity >= 0 and (beside or rare) as new, if(new, coalesce(w_novelty, 0) * novelty, 0) as new_share,
+    new and new_share > content_share and new_share > others_share and not (taste and cold) as new_leads, now and (not taste or (coalesce(confidence >= 0.4, false) and now_score >= greatest(0, affinity))) as now_leads from why_rows""",
+        "why_texts": f"""select *, {prose('tags2[1]')} as tag, {both('tags2')} as taste_prose, {both('now2')} as now_prose, 'Fits your preference for ' || array_to_string(fits, ' ') || ' projects.' as fit_text, 'You''ve also been exploring ' || now_prose || ' this session.' as also_now,
+    case when len(titles) < 2 then 'People who liked “' || titles[1] || '”, which you ' || {verb('verbs[1]')} || ', also liked this.' when verbs[1] = verbs[2] then 'People who liked “' || titles[1] || '” and “' || titles[2] || '”, which you ' || {verb('verbs[1]')} || ', also liked this.'
+      else 'People who liked “' || titles[1] || '” (which you ' || {verb('verbs[1]')} || ') and “' || titles[2] || '” (which you ' || {verb('verbs[2]')} || ') also liked this.' end as others_text,
+    case when e >= 0.6 and explored and tag is not null then 'You''re in a more adventurous discovery mode, so us is showing a less familiar project related to ' || tag || '.' when beside then 'A bit of a wildcard: this explores an adjacent area while still matching your ' || tag || ' interests.'
+      when rare and tag is not null then 'This is less commonly explored, but still overlaps with your interest in ' || tag || '.' else 'Few others have found this one yet.' end as new_text from why_parts""",
+        "reasons": f"""select user_id, project_id, final_rank, pre_rank::int as pre_rank, score, mmr,
+    case when others_lead and others_share >= new_share then 'collaborative' when new_leads then 'novelty' when now_leads then 'session' when taste and cold then 'onboarding' when taste then 'taste' when fit then 'fit' when explored and new then 'novelty'
+      when popular_one then 'popularity' when affinity > 0 and len(tags2) > 0 then 'taste' else 'catalog' end as "primary",
+    case when others_lead and others_share >= new_share then others_text || case {gated(('taste', also_taste), also_now, ('new', 'new_text'), suits)} else '' end
+      when new_leads then new_text || case {gated(("taste and not contains(new_text, 'interest')", also_taste), heard)} else '' end
+      when now_leads then if(taste, 'Your current session has shifted towards ' || now_prose || ', while this still matches your broader ' || taste_prose || ' interests.', 'You''ve been exploring ' || now_prose || ' projects in this session.' || case {gated(heard, suits)} else '' end)
+      when taste and cold then 'Based on the interests you selected during onboarding: ' || taste_prose || '.' || case {gated(also_now, found, suits)} else '' end
+      when taste then 'Because you like ' || taste_prose || ' projects.' || case {gated(also_now, heard, found, suits)} else '' end
+      when fit then fit_text when explored and new then new_text when popular_one then if(tag is null, 'Popular with us users — a good place to start.', 'Popular with us users, and related to your interest in ' || tag || '.')
+      when affinity > 0 and len(tags2) > 0 then 'Has to do with your interest in ' || tag || '.' else 'From the us catalog.' end as text,
+    array_to_string(list_filter([if(taste, if(cold, 'onboarding', 'taste') || '(' || array_to_string(tags2, ',') || ')', null), if(now, 'session(' || array_to_string(now2, ',') || ')', null), if(fit, 'fit(' || array_to_string(fits, ',') || ')', null), if(popular_one, 'popularity()', null),
+      if(others, 'collaborative(' || array_to_string(titles, ',') || ')', null), if(new, 'novelty(' || coalesce(tags2[1], '') || ')', null), if("primary" = 'taste' and not taste, 'taste(' || tags2[1] || ')', null), if("primary" = 'catalog', 'catalog()', null)], lambda x: x is not null), ' ') as factors,
+    round(if(taste, affinity, 0) + if(now, now_score, 0) + if(fit, affinity, 0) + if(popular_one, popularity, 0) + if(others, collaborative, 0) + if(new, novelty, 0) + if("primary" = 'taste' and not taste, affinity, 0), 6) as strength from why_texts""",
+    }

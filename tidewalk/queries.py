@@ -11,7 +11,7 @@ from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import age_days, clamp01, duration_bucket, exploration_limit, discovery_mode, diversification_lambda, fnv1a, format_duration, format_score, interaction_weight, max_items_per_tag, r9, time_decay
 from tidewalk.operators import bpr, evaluation, onboarding, profiles, ranking, retrieval, runs, saved, sessions, states, views
 from tidewalk.operators.ranks import global_rank
-from tidewalk.oracle import AGE, BUCKET, at_cutoff, diversified, sql
+from tidewalk.oracle import AGE, BUCKET, at_cutoff, diversified, explained, sql
 from tidewalk.plans.evaluate import Evaluation
 from tidewalk.plans.feed import Feed
 from tidewalk.sources import tables
@@ -261,11 +261,13 @@ def diversified_feed(feed: Feed) -> DataFrame:
     return feed.diversified()
 
 
-@query()
+@query('select user_id, project_id, final_rank, pre_rank, score, mmr, "primary", text, factors, strength from reasons', _PICKS | explained())
 def explained_feed(feed: Feed) -> DataFrame:
     """The flagship: every user's diversified feed with its reasons."""
     shown = cut(feed.diversified(), "shown")
-    return feed.explained(shown).select("user_id", "project_id", "final_rank", "pre_rank", "score", "mmr", "primary", "text", F.to_json("factors").alias("factors"))
+    said = F.array_join(F.transform("factors", lambda x: F.concat(x["kind"], F.lit("("), F.array_join(x["features"], ","), F.lit(")"))), " ")
+    strength = F.round(F.aggregate("factors", F.lit(0.0), lambda n, x: n + F.coalesce(x["strength"], F.lit(0.0))), 6)
+    return feed.explained(shown).select("user_id", "project_id", "final_rank", "pre_rank", "score", "mmr", "primary", "text", said.alias("factors"), strength.alias("strength"))
 
 
 @query("""select user_id, project_id, rank, row_number() over (partition by user_id order by rank) as place from ranked
