@@ -477,3 +477,24 @@ def test_as_of_sums_over_days(spark):
     marks = [(p, T0 + dt.timedelta(hours=h), h) for p in (1, 2, 3) for h in (0, 1, 7, 50, 51, 300)]
     found = evaluation.as_of_sums(spark.createDataFrame(marks, "project_id long, t timestamp_ntz, h int"), spark.createDataFrame(events, "project_id long, t timestamp_ntz, x double"), ["x"])
     assert {(r.project_id, r.h): r.x for r in found.collect()} == {(p, h): sum(x for q, at, x in events if q == p and at < t) for p, t, h in marks}
+
+
+def test_similar_items_of_few_shared_tags(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [f"t{rng.integers(40)}" for _ in range(rng.integers(1, 4))], int(rng.choice([1, 3, 9, 30])), float(rng.integers(10)) / 10) for i in range(120)]
+    level = F.element_at(F.array(F.lit("BEGINNER"), F.lit("INTERMEDIATE"), F.lit("ADVANCED")), (F.col("project_id") % 3 + 1).cast("int"))
+    catalog = _catalog(spark, rows).withColumn("language_slugs", F.array(F.concat(F.lit("l"), (F.col("project_id") % 60).cast("string")))).withColumn("difficulty", level)
+    features = profiles.item_features(catalog)
+    vectors = {}
+    for r in features.collect():
+        vectors.setdefault(r.project_id, {})[r.feature] = r.value
+    known = {r.project_id: r for r in catalog.collect()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for i, v in vectors.items():
+        near = [(-round(min(1, sum(x * w.get(f, 0) for f, x in v.items()) / length(v) / length(w)), 9), -known[j].prior, known[j].slug, j) for j, w in vectors.items() if j != i]
+        want[i] = [j for s, _, _, j in sorted(near)[:5] if s < 0]
+    got = {}
+    for r in retrieval.similar_projects(features, catalog).orderBy("project_id", "rank").collect():
+        got.setdefault(r.project_id, []).append(r.other_id)
+    assert got == want

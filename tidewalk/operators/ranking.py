@@ -93,7 +93,8 @@ DIVERSIFIED = "user_id long, project_id long, score double, pre_rank int, final_
 def diversify(ranked: DataFrame, features: DataFrame, limit: int = CONFIG.feed_limit) -> DataFrame:
     """The feed of each user: its choice depends on what was chosen before, so it runs per user on at most 110 candidates."""
     limit = max(0, int(limit))
-    with_features = features.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("vector"))
+    entry = F.collect_list(F.struct(F.xxhash64("feature").alias("f"), "value", (F.col("feature").startswith("tag:") & (F.col("value") != 0)).alias("tag")))
+    with_features = features.groupBy("project_id").agg(entry.alias("x")).select("project_id", *[F.col(f"x.{c}").alias(c) for c in ("f", "value", "tag")])
     rows = ranked.join(with_features, "project_id", "left").withColumn("lam", diversification_lambda(F.col("e"))).withColumn("cap", max_items_per_tag(limit, F.col("e")))
 
     def one_user(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,12 +102,14 @@ def diversify(ranked: DataFrame, features: DataFrame, limit: int = CONFIG.feed_l
         lam, cap, scores = float(pdf.lam[0]), int(pdf.cap[0]), pdf.score.to_numpy(float)
         applied = limit > 0 and len(pdf) >= CONFIG.min_diversify
         if applied:
-            vectors = [dict(v) if v is not None else {} for v in pdf.vector]
-            names = sorted({f for v in vectors for f in v})
-            matrix = np.array([[v.get(f, 0.0) for f in names] for v in vectors]).reshape(len(pdf), len(names))
-            tags = (matrix != 0) & np.array([f.startswith("tag:") for f in names], bool)
+            own = [(k, f, v, t) for k, (f, v, t) in enumerate(zip(pdf.f, pdf.value, pdf.tag)) if f is not None]
+            item = np.repeat([k for k, *_ in own], [len(f) for _, f, *_ in own]).astype(int)
+            flat = [np.concatenate([x[c] for x in own]) if own else np.zeros(0) for c in (1, 2, 3)]
+            names, which = np.unique(flat[0], return_inverse=True)
+            matrix, tags = np.zeros((len(pdf), len(names))), np.zeros((len(pdf), len(names)), bool)
+            matrix[item, which], tags[item, which] = flat[1], flat[2].astype(bool)
             norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-            picks = _pick(scores, tags.astype(bool), matrix / np.where(norm == 0, 1, norm), lam, cap, limit)
+            picks = _pick(scores, tags, matrix / np.where(norm == 0, 1, norm), lam, cap, limit)
         else:
             picks = [(i, lam * s, 0.0, False) for i, s in enumerate(scores[:limit])]
         at = [p[0] for p in picks]
@@ -115,7 +118,7 @@ def diversify(ranked: DataFrame, features: DataFrame, limit: int = CONFIG.feed_l
             "mmr": [round(p[1], 9) for p in picks], "max_similarity": [round(p[2], 9) for p in picks], "relaxed": [p[3] for p in picks], "applied": applied,
         })
 
-    return rows.select("user_id", "project_id", "score", "rank", "lam", "cap", "vector").groupBy("user_id").applyInPandas(one_user, DIVERSIFIED)
+    return rows.select("user_id", "project_id", "score", "rank", "lam", "cap", "f", "value", "tag").groupBy("user_id").applyInPandas(one_user, DIVERSIFIED)
 
 
 # The words of explanations that results must have. The name of the product is a parameter.

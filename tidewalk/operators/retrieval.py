@@ -65,12 +65,27 @@ def content_candidates(affinities: DataFrame, catalog: DataFrame, excluded: Data
     return top_k(found, ["user_id"], [F.desc("affinity"), F.desc("prior"), F.col("slug")], limit).select("user_id", "project_id", "affinity", "rank")
 
 
+#: Families whose few features each are those of a large part of the catalog.
+COMMON = ("difficulty:", "duration:")
+
+
 def similar_projects(features: DataFrame, catalog: DataFrame, limit: int = CONFIG.similar_limit) -> DataFrame:
-    """The items of largest positive cosine with each item, by an inverted index on features."""
-    norms = features.groupBy("project_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    unit = features.join(norms, "project_id").select("project_id", "feature", (F.col("value") / F.col("norm")).alias("u"))
+    """The items of largest positive cosine with each item.
+
+    Only tags and languages are joined as an index. Of items that share none of these, the cosine depends on what is common
+    (difficulty and duration) and on the norm, so of each combination the few of least norm are enough for all; the
+    cosines of these pairs are then taken over all features.
+    """
+    norm, common = F.sqrt(F.sum(F.col("value") * F.col("value"))), F.col("feature").startswith(COMMON[0]) | F.col("feature").startswith(COMMON[1])
+    items = features.groupBy("project_id").agg(norm.alias("norm"), F.concat_ws(" ", F.array_sort(F.collect_list(F.when(common, F.col("feature"))))).alias("kind"))
+    unit = features.join(items, "project_id").select("project_id", "feature", (F.col("value") / F.col("norm")).alias("u"))
+    rare = unit.filter(~common).select("project_id", "feature")
+    shared = rare.join(rare.withColumnRenamed("project_id", "other_id"), "feature").select("project_id", "other_id")
+    ranked = items.join(catalog.select("project_id", "prior", "slug"), "project_id").withColumn("norm", r9("norm"))
+    few = top_k(ranked, ["kind"], [F.col("norm"), F.desc("prior"), F.col("slug")], limit + 1).select(F.col("project_id").alias("other_id"))  # six items of each combination
+    pairs = shared.unionByName(items.select("project_id").join(few)).filter("project_id <> other_id").distinct()
     other = unit.select(F.col("project_id").alias("other_id"), "feature", F.col("u").alias("w"))
-    pairs = unit.join(other, "feature").filter("project_id <> other_id").groupBy("project_id", "other_id").agg(r9(F.least(F.lit(1.0), F.sum(F.col("u") * F.col("w")))).alias("similarity")).filter("similarity > 0")
+    pairs = pairs.join(unit, "project_id").join(other, ["other_id", "feature"]).groupBy("project_id", "other_id").agg(r9(F.least(F.lit(1.0), F.sum(F.col("u") * F.col("w")))).alias("similarity")).filter("similarity > 0")
     pairs = pairs.join(catalog.select(F.col("project_id").alias("other_id"), "prior", "slug"), "other_id")
     return top_k(pairs, ["project_id"], [F.desc("similarity"), F.desc("prior"), F.col("slug")], limit).select("project_id", "other_id", "similarity", "rank")
 
@@ -193,8 +208,11 @@ def item_signals(users: DataFrame, catalog: DataFrame, popularity: DataFrame, af
     """
     keys = ["user_id", "project_id"]
     bare = users.select("user_id").join(affinities.select("user_id").distinct(), "user_id", "left_anti")
-    own = excluded.select(*keys).unionByName(collaborative.select(*keys)).join(bare, "user_id", "left_semi")
-    pairs = affinities.select(*keys).unionByName(collaborative.select(*keys)).unionByName(popular.select(*keys)).unionByName(unprofiled_pairs(bare, catalog, popularity, own)).distinct()
+    pairs = affinities.select(*keys).unionByName(collaborative.select(*keys)).unionByName(popular.select(*keys))
+    if not bare.isEmpty():
+        own = excluded.select(*keys).unionByName(collaborative.select(*keys)).join(bare, "user_id", "left_semi")
+        pairs = pairs.unionByName(unprofiled_pairs(bare, catalog, popularity, own))
+    pairs = pairs.distinct()
     frame = pairs.join(users, "user_id").join(catalog.select("project_id", "slug", "prior"), "project_id").join(popularity.select("project_id", "popularity"), "project_id")
     return with_novelty(frame, affinities, collaborative)
 
