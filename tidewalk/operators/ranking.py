@@ -72,11 +72,15 @@ def contributions(ranked: DataFrame) -> DataFrame:
     return ranked.select("user_id", "project_id", "rank", *[r9(F.col(f"w_{c}") * F.col(c)).alias(f"{c}_part") for c in COMPONENTS])
 
 
+#: Scores and similarities have 9 digits and lambda two or three: so no half is left to round.
+MMR_DIGITS = 12
+
+
 def _pick(scores, tags, vectors, lam: float, cap: int, limit: int) -> list[tuple]:
     """Maximal marginal relevance within the band of good scores: (index, mmr, similarity, relaxed) in order of choice."""
     left, nearest, used, out = np.ones(len(scores), bool), np.zeros(len(scores)), np.zeros(tags.shape[1], int), []
     while len(out) < limit and left.any():
-        value = np.where(left & (scores >= CONFIG.quality_ratio * scores[left].max()), np.round(lam * scores - (1 - lam) * nearest, 9), -np.inf)
+        value = np.where(left & (scores >= CONFIG.quality_ratio * scores[left].max()), np.round(lam * scores - (1 - lam) * nearest, MMR_DIGITS), -np.inf)
         allowed = ~tags[:, used >= cap].any(1) & (nearest < CONFIG.near_duplicate)
         relaxed = not np.isfinite(value[allowed]).any()
         best = int(np.argmax(value if relaxed else np.where(allowed, value, -np.inf)))  # the first of equals has the better rank
@@ -115,7 +119,7 @@ def diversify(ranked: DataFrame, features: DataFrame, limit: int = CONFIG.feed_l
         at = [p[0] for p in picks]
         return pd.DataFrame({
             "user_id": pdf.user_id[at].to_numpy(), "project_id": pdf.project_id[at].to_numpy(), "score": scores[at], "pre_rank": pdf["rank"][at].to_numpy(), "final_rank": range(1, len(at) + 1),
-            "mmr": [round(p[1], 9) for p in picks], "max_similarity": [round(p[2], 9) for p in picks], "relaxed": [p[3] for p in picks], "applied": applied,
+            "mmr": [round(p[1], MMR_DIGITS) for p in picks], "max_similarity": [round(p[2], 9) for p in picks], "relaxed": [p[3] for p in picks], "applied": applied,
         })
 
     return rows.select("user_id", "project_id", "score", "rank", "lam", "cap", "f", "value", "tag").groupBy("user_id").applyInPandas(one_user, DIVERSIFIED)

@@ -182,11 +182,11 @@ def diversified(ranked: str, limit: int = 10) -> dict[str, str]:
   from {ranked} r join catalog using (project_id)
   union all
   select t.user_id, t.project_id, score, pre_rank, lam, cap, tags, list_transform(tags, lambda x, i: used[i] + list_contains(best_tags, x)::int), greatest(nearest, coalesce(c, 0)), applied, step + 1,
-    if(pick = 1, step + 1, null)::int, if(applied, value, round(lam * score, 9)), if(applied, nearest, 0.0), applied and not open
+    if(pick = 1, step + 1, null)::int, if(applied, value, round(lam * score, 12)), if(applied, nearest, 0.0), applied and not open
   from (select *, first_value(project_id) over (partition by user_id order by pick) as best, first_value(tags) over (partition by user_id order by pick) as best_tags from (
     select *, row_number() over (partition by user_id order by case when applied and (allowed or not open) then value end desc nulls last, pre_rank) as pick from (
       select *, bool_or(allowed and value is not null) over (partition by user_id) as open from (
-        select *, case when score >= 0.8 * max(score) over (partition by user_id) then round(lam * score - (1 - lam) * nearest, 9) end as value,
+        select *, case when score >= 0.8 * max(score) over (partition by user_id) then round(lam * score - (1 - lam) * nearest, 12) end as value,
           nearest < 0.9 and len(list_filter(used, lambda u: u >= cap)) = 0 as allowed from mmr_walk where final_rank is null and step < {limit})))) t
   left join cosines on a = t.project_id and b = best""",
         "picks": "select * from mmr_walk where final_rank is not null",
