@@ -515,3 +515,43 @@ def test_pretokens_are_the_librarys():
         c = chr(code)
         for text in (f"a{c}b {c}{c} 1{c}  {c}\n{c}", f"it's{c}'ll {c}"):
             assert pretokens(text, tokenizer) == [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)], hex(code)
+
+
+def _thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_over_two_letters_stay_apart(spark):
+    """Words whose polynomials modulo 2**64 are equal, alone and inside texts."""
+    around = "one two three four five six seven {} eight nine ten eleven twelve thirteen fourteen"
+    rows, items = [], []
+    for k, n in enumerate([128, 256, 1024, 4096]):
+        a, b = _thue_morse(n)
+        rows += [(10 * k, a), (10 * k + 1, b), (10 * k + 2, around.format(a)), (10 * k + 3, around.format(b)), (10 * k + 4, a + "c" + b)]
+        items += [(k, b), (100 + k, around.format(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_dedup.near_duplicates(docs, threshold=0.85)
+    assert all(r.kept and r.component_id == r.doc_id for r in found.collect())
+    hit = {r.doc_id: sorted(r["items"]) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k in range(4):
+        assert hit[10 * k] == hit[10 * k + 2] == hit[10 * k + 4] == []
+        assert hit[10 * k + 1] == [str(k)] and hit[10 * k + 3] == sorted([str(k), str(100 + k)])
+    want, seen = {}, set()
+    for i, text in rows:
+        data, gone = text.encode(), np.zeros(len(text), bool)
+        for s in range(len(data) - 99):
+            gone[s : s + 100] |= data[s : s + 100] in seen
+            seen.add(data[s : s + 100])
+        want[i] = int(gone.sum())
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(docs).collect()} == want
+
+
+def test_a_window_of_many_items_meets_them_once_a_document(spark):
+    shared = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x{i} {shared} y") for i in range(20)] + [(99, "own5 " + shared + " own5"), (100, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert all(len(out[i]["items"]) == 300 and out[i].n_hit == 40 for i in range(20)) and out[99].n_hit == 41 and len(out[99]["items"]) == 300 and out[100].n_hit == 0

@@ -1,12 +1,14 @@
 """Vectorised work on the UTF-8 bytes of Arrow columns: words, their hashes, and hashes of byte windows.
 
 Everything here sees a batch of texts as one run of bytes with offsets, as Arrow stores it, so that no Python string is
-made per word. Hashes are polynomials mod 2**64 over a table of random values for bytes, taken from prefix sums, and
-mixed at the end.
+made per word. Words and shingles are hashed by chains that mix each eight bytes (each word) into the state before the next one.
+Spans of short fixed lengths (13 words, a hundred or two bytes) have polynomials mod 2**64, taken from prefix sums and mixed at the
+end; these are not used for spans of any length, as long repetitive strings over two letters make such polynomials equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +94,37 @@ def byte_sums(data: np.ndarray) -> np.ndarray:
     return prefix_sums(_BYTE_VALUES[data])
 
 
+#: Bytes of the longest words that are hashed side by side; longer ones are few or of a text of their own.
+SIDE_BY_SIDE = 256
+
+
+def _stirred(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The state after the next value; for a given state it is a bijection of values."""
+    h = (h ^ x) * U(0x9FB21C651E98DF25)
+    h ^= h >> U(32)
+    return h
+
+
+def bytes_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end], of any length; another seed gives unrelated ones."""
+    size = end - start
+    h = mixed(size.astype(U) + U(seed * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= SIDE_BY_SIDE))
+    for k in range(0, SIDE_BY_SIDE, 8):
+        if not len(live):
+            break
+        x, left = lanes[start[live] + k], size[live] - k
+        short = left < 8
+        x[short] &= (U(1) << (left[short] * 8).astype(U)) - U(1)
+        h[live] = mixed(_stirred(h[live], x))
+        live = live[left > 8]
+    for i in np.flatnonzero(size > SIDE_BY_SIDE).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
 class Words:
     """The words of a run of texts: start, end (bytes), at (n + 1 offsets into them by text), hash."""
 
@@ -106,7 +139,11 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.at = np.searchsorted(self.start, at)
-        self.hash = span_hashes(byte_sums(data), self.start, self.end)
+        self.data = data
+        self.hash = self.hashes()
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return bytes_hashes(self.data, self.start, self.end, seed)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words in a text, and their n + 1 offsets; shorter texts give their whole sequence."""
@@ -115,7 +152,21 @@ class Words:
         out_at = np.concatenate([[0], np.cumsum(n)])
         text = np.repeat(np.arange(len(n)), n)
         start = np.arange(out_at[-1]) - out_at[text] + self.at[text]
-        return span_hashes(prefix_sums(self.hash), start, np.minimum(start + k, self.at[text + 1])), out_at
+        whole = max(0, len(self.hash) - k + 1)
+        h = np.full(whole, k, U)
+        for j in range(k):
+            h = _stirred(h, self.hash[j : whole + j])
+        out = np.empty(len(start), U)
+        full = counts[text] >= k
+        out[full] = h[start[full]]
+        first = start[~full]
+        size = counts[text[~full]]
+        h = size.astype(U)
+        for j in range(k - 1):
+            more = size > j
+            h[more] = _stirred(h[more], self.hash[first[more] + j])
+        out[~full] = h
+        return mixed(out), out_at
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:

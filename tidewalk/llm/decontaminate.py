@@ -6,7 +6,7 @@ Items of fewer words are one window each, and documents are winnowed at those le
 
 The items' fingerprints, as bits of a map of fixed size, go to the tasks that scan the documents; fingerprints that can't be an item's stay
 there. Those left are extended to all windows that choose them and joined with the items' windows as tables, by
-fingerprint and 128 bits of hashes over all words of the window (two sums of independent values of the words). A frequent passage is
+fingerprint and 128 bits of hashes over all words of the window (two sums of unrelated hashes of the words). A frequent passage is
 dealt to several tasks; Spark broadcasts the items' side if it is small. One pass over the documents serves any size of
 benchmark: a larger one only lets more windows pass the map.
 
@@ -46,7 +46,7 @@ class _Winnowed:
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         self.words = Words(data, at, ALNUM)
-        self.sums = [prefix_sums(self.words.hash), prefix_sums(mixed(self.words.hash ^ U(0xA24BAED4963EE407)))]
+        self.sums = [prefix_sums(self.words.hash), prefix_sums(self.words.hashes(1))]
 
     def fingerprints(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows of n words and, for each, the hash of its least k-gram."""
@@ -145,9 +145,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = scanned.select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*")
     found = found.withColumn("salt", F.pmod(F.hash("th", "s"), F.lit(SALT)))
-    dealt = windows.select("item", *KEY, F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
+    # windows that the same items hold have one name for these (two xors of 64-bit hashes), so that a passage of many items meets them once a document, not once a window
+    keys = windows.groupBy(*KEY).agg(F.bit_xor(F.xxhash64("item")).alias("i1"), F.bit_xor(F.xxhash64(F.lit("items"), "item")).alias("i2"))
+    keys = cut(keys, "item-keys")
+    dealt = keys.select(*KEY, "i1", "i2", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
     found = found.join(dealt, [*KEY, "salt"]).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    found = found.agg(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e"))).alias("hits"), F.collect_set("item").alias("items"))
+    found = cut(found.agg(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e"))).alias("hits"), F.collect_set(F.struct("i1", "i2")).alias("sets")), "hits")
+    first = keys.groupBy("i1", "i2").agg(F.min(F.struct(*KEY)).alias("key")).select("i1", "i2", "key.*")
+    members = first.join(windows, KEY).select("i1", "i2", "item")
+    named = found.select("_id", "_th", F.explode("sets").alias("i")).select("_id", "_th", "i.*", F.pmod(F.xxhash64("_id", "_th"), F.lit(SALT)).cast("int").alias("salt"))
+    members = members.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    named = named.join(members, ["i1", "i2", "salt"]).groupBy(F.col("_id").alias("_own"), F.col("_th").alias("_own_th")).agg(F.collect_set("item").alias("items"))
+    found = found.join(named, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_th") == F.col("_own_th"))).select("_id", "_th", "hits", "items")
     out = scanned.drop("windows").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     empty = F.array().cast("array<struct<s:int,e:int>>")
     out = out.select("doc_id", "th", "n_words", F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
