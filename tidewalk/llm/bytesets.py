@@ -125,21 +125,24 @@ def bytes_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return h
 
 
+def word_spans(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start and end of the words of a run of texts, and the n + 1 offsets into them by text."""
+    inside = kind[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    full = at[:-1] < at[1:]
+    before[at[:-1][full]] = False
+    after[at[1:][full] - 1] = False
+    start = np.flatnonzero(inside & ~before)
+    return start, np.flatnonzero(inside & ~after) + 1, np.searchsorted(start, at)
+
+
 class Words:
-    """The words of a run of texts: start, end (bytes), at (n + 1 offsets into them by text), hash."""
+    """The words of a run of texts in lower case: start, end (bytes), at (n + 1 offsets into them by text), hash."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, kind: np.ndarray):
-        data = LOWER[data]
-        inside = kind[data]
-        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        full = at[:-1] < at[1:]
-        before[at[:-1][full]] = False
-        after[at[1:][full] - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
-        self.at = np.searchsorted(self.start, at)
-        self.data = data
+        self.data = LOWER[data]
+        self.start, self.end, self.at = word_spans(self.data, at, kind)
         self.hash = self.hashes()
 
     def hashes(self, seed: int = 0) -> np.ndarray:

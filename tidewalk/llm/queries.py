@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, suffix_dedup, token_counts, tool_calls, toxicity
+from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, periodic_runs, suffix_dedup, token_counts, tool_calls, toxicity
 from tidewalk.llm.scratch import cut
 
 
@@ -74,6 +74,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def _with_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32 of the id ends in 0, words from the a-th on are a repeated passage of p words."""
+    h, n = F.col("h"), F.nullif(F.size("w"), F.lit(0))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    rows = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn("w", words).withColumn("n", n)
+    rows = rows.withColumn("g", F.floor(h / 10)).withColumn("a", F.expr("cast(g % n as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    times = F.expr("cast(ceil((n - a) / p) as int)")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(_with_repeats(_table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(longer(best, r), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = out.withColumn("best", best)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -174,7 +196,7 @@ from results r where not exists (select 1 from calls c where c.conv_id = r.conv_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op6_tool_calls, op7_toxicity, op8_token_counts, op9_mpeg_audio, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op6_tool_calls, op7_toxicity, op8_token_counts, op9_mpeg_audio, op10_language_id, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
