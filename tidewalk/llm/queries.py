@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewalk.llm import decontaminate, language_id, line_dedup, mixing, mpeg, near_dedup, periodic_runs, suffix_dedup, token_counts, tool_calls, toxicity
+from tidewalk.llm import decontaminate, hard_negatives, language_id, line_dedup, mixing, mpeg, near_dedup, periodic_runs, suffix_dedup, token_counts, tool_calls, toxicity, vector_dedup
 from tidewalk.llm.scratch import cut
 
 
@@ -74,6 +74,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def _with_repeats(documents: DataFrame) -> DataFrame:
     """doc_id and text; where crc32 of the id ends in 0, words from the a-th on are a repeated passage of p words."""
     h, n = F.col("h"), F.nullif(F.size("w"), F.lit(0))
@@ -194,10 +203,37 @@ select conv_id, null, 'call-' || for_turn, null, null, result_turn, 'orphan', ''
 from results r where not exists (select 1 from calls c where c.conv_id = r.conv_id and c.turn = r.for_turn)
 """
 
+OP11_SQL = r"""
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+anchors as (select * from vectors where vec_id % 100 = 0),
+positives as (
+  select a.vec_id as anchor_id, a.label, a.v, r.vec_id as positive_id, list_inner_product(a.v, r.v)::bigint as positive_score
+  from anchors a join vectors r on r.label = a.label and r.vec_id <> a.vec_id
+  qualify row_number() over (partition by a.vec_id order by positive_score desc, r.vec_id) <= 5),
+scored as (select a.vec_id as anchor_id, r.vec_id as negative_id, list_inner_product(a.v, r.v)::bigint as negative_score from anchors a join vectors r on r.label <> a.label)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id))::int as rank, negative_id, positive_score, negative_score
+from positives join scored using (anchor_id)
+where 80 * positive_score <= 100 * negative_score and negative_score <= positive_score
+qualify rank <= 5
+"""
+
+OP13_SQL = r"""
+with recursive vectors as (
+  select vec_id, embedding::double[] as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+named as (select a as vec_id, min(b) as component_id from reach group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join named using (vec_id) left join (select a as vec_id, count(*) as n from links group by a) using (vec_id)
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op6_tool_calls, op7_toxicity, op8_token_counts, op9_mpeg_audio, op10_language_id, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_line_dedup, op4_suffix_dedup, op5_decontaminate, op6_tool_calls, op7_toxicity, op8_token_counts, op9_mpeg_audio, op10_language_id, op11_hard_negatives, op12_periodic_runs, op13_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_tool_calls": OP6_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_tool_calls": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_vector_dedup": OP13_SQL}
