@@ -118,7 +118,7 @@ def _angles(batches):
 def _compared(batches, threshold: float):
     """v, n (copies of what it is linked with), core, other (a core that is reached from its own) of tile, side, t, v, core, copies, unit, buckets sorted by tile.
 
-    Members of side 0 are compared with those of side 1, or with each other if there is no side 1.
+    Members of side 1 are compared with those of side 2, those of side 0 with each other; a tile has either.
     """
     for table in _groups(batches):
         side, v, core, copies = (np.asarray(table.column(c)) for c in (1, 3, 4, 5))
@@ -185,7 +185,7 @@ def _tiles(entries: DataFrame, block: int) -> DataFrame:
     pairs = a.join(b, same & (key("a") <= key("b")) & ((F.col("a.part") != F.col("b.part")) | (F.col("a.part") == -1)))
     tile = F.xxhash64("a.t", "a.bucket", "a.part", "a.nth", "b.part", "b.nth")
     member = lambda side, n: F.struct(F.col(f"{side}.part").alias("part"), F.col(f"{side}.nth").alias("nth"), F.lit(n).alias("side"))
-    members = F.when(key("a") == key("b"), F.array(member("a", 0))).otherwise(F.array(member("a", 0), member("b", 1)))
+    members = F.when(key("a") == key("b"), F.array(member("a", 0))).otherwise(F.array(member("a", 1), member("b", 2)))
     members = pairs.select(F.col("a.t").alias("t"), F.col("a.bucket").alias("bucket"), tile.alias("tile"), F.explode(members).alias("x")).select("t", "bucket", "tile", "x.*")
     large = large.join(parts, ["t", "bucket", "part"]).withColumn("nth", F.pmod(F.xxhash64("v"), F.col("of")).cast("int"))
     large = large.join(members, ["t", "bucket", "part", "nth"]).select("tile", "side", "t", "v", "core")
