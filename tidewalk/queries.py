@@ -16,7 +16,7 @@ from tidewalk.plans.evaluate import Evaluation
 from tidewalk.plans.feed import Feed
 from tidewalk.sources import tables
 from tidewalk.sources.shared import cut, new_path
-from tidewalk.streaming import ingest
+from tidewalk.streaming import ingest, session_service
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -594,6 +594,21 @@ def stream_sessions(feed: Feed) -> DataFrame:
     return out.withColumn("started_at", F.to_timestamp_ntz(F.col("started_at").cast("string"))).withColumn("expires_at", F.to_timestamp_ntz(F.col("expires_at").cast("string")))
 
 
+@query("""select * from (with flagged as (
+  select user_id, id, created_at, id % 40 = 0 as manual, lag(created_at) over w as before from interactions window w as (partition by user_id order by created_at, id)),
+begun as (select *, coalesce(date_diff('microsecond', before, created_at) > 21600000000, true) as stale from flagged),
+numbered as (select *, sum((stale or manual)::int) over (partition by user_id order by created_at, id rows unbounded preceding) as session_no from begun),
+own as (select user_id, session_no, min(created_at) as started_at, max(created_at) as last_active_at, count(*) as n_events, arg_min(manual, (created_at, id)) as manual from numbered group by all)
+select user_id, session_no, started_at, last_active_at, n_events, manual, case when lead(manual) over w and date_diff('microsecond', last_active_at, lead(started_at) over w) <= 21600000000 then lead(started_at) over w
+  when lead(started_at) over w is not null then last_active_at end as ended_at from own window w as (partition by user_id order by session_no))""")
+def stream_session_service(feed: Feed) -> DataFrame:
+    """Sessions of a stream over the event files as the session service keeps them, drained; every 40th event is a manual start."""
+    rows = ingest.incoming(ingest.events_stream(feed.spark, f"{feed.folder}/events.parquet")).withColumn("manual", F.col("id") % 40 == 0)
+    out, _ = session_service.latest(session_service.drain(session_service.session_log(rows, timeout_minutes=feed.timeout), "session-service"))
+    ntz = lambda c: F.to_timestamp_ntz(F.col(c).cast("string")).alias(c)
+    return out.select("user_id", "session_no", ntz("started_at"), ntz("last_active_at"), "n_events", "manual", ntz("ended_at"))
+
+
 @query("select distinct user_id, project_id from interactions where type = 'IMPRESSION'")
 def stream_impressions(feed: Feed) -> DataFrame:
     """Impressions of a stream over the event files, each item of a user once."""
