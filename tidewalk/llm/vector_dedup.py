@@ -201,7 +201,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, block: int = BL
     vertices = cut(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
     k, tables = plan(vertices.count(), threshold)
     hashed = cut(vertices.select("v", "unit").mapInArrow(lambda batches: _buckets(batches, k, tables), "v long, buckets array<long>"), "buckets")
-    entries = hashed.select("v", F.posexplode("buckets").alias("t", "bucket"))
+    entries = cut(hashed.select("v", F.posexplode("buckets").alias("t", "bucket")), "entries")
 
     cores = _cores(vertices, entries, threshold, block, rounds)
     cored = cut(vertices.select("v", "copies", "first").join(cores, "v", "left"), "cored")
