@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import clamp, clamp01, exploration_limit, exploration_score, lookup, novelty, plausibility, r9, safe_div, top_k
 from tidewalk.operators.ranks import global_rank
+from tidewalk.sources.shared import cut
 
 #: Places of a neighbour list that are joined together.
 CHUNK = 64
@@ -67,6 +68,74 @@ def content_candidates(affinities: DataFrame, catalog: DataFrame, excluded: Data
 
 #: Families whose few features each are those of a large part of the catalog.
 COMMON = ("difficulty:", "duration:")
+#: Rounding that a bound on affinities leaves room for.
+ROOM = 1e-7
+#: How many times the items that are asked for the first probes look at; up to how many times of them a catalog is scored whole.
+AHEAD, FEW = 3, 4
+
+
+class ContentIndex:
+    """The catalog by kinds (difficulty, duration, norm and number of tags: few combinations) and by tags and pairs of tags.
+
+    An item's dot product with a profile is at most what its kind gives, the best language, and its tags: if a >= b are the profile's
+    values for its two best tags, at most a + (n - 1) * b for n tags. So for a user only those pairs of tags are looked up whose
+    bound reaches the user's threshold in a kind, and never the features that a large part of the catalog has.
+    """
+
+    def __init__(self, features: DataFrame, catalog: DataFrame):
+        self.features, self.catalog = features, catalog
+        of = lambda prefix: F.collect_list(F.when(F.col("feature").startswith(prefix), F.col("feature")))
+        norm = F.sqrt(F.sum(F.col("value") * F.col("value")))
+        most = F.max(F.when(F.col("feature").startswith("tag:"), F.col("value")))
+        items = features.groupBy("project_id").agg(F.array_sort(of("tag:")).alias("tags"), F.concat_ws(" ", F.array_sort(F.concat(*map(of, COMMON)))).alias("common"), r9(norm).alias("norm"), F.coalesce(most, F.lit(0.0)).alias("unit"))
+        self.items = cut(items.withColumn("n", F.size("tags")).withColumn("kind", F.xxhash64("common", "norm", "n")), "index-items")
+        pairs = F.flatten(F.transform("tags", lambda a: F.transform(F.filter("tags", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        self.postings = cut(self.items.select("project_id", "kind", F.inline(pairs)), "index-postings")
+        self.kinds = self.items.groupBy("kind").agg(*[F.any_value(c).alias(c) for c in ("common", "norm", "n", "unit")])
+
+    def _probes(self, vectors: DataFrame) -> DataFrame:
+        """user_id, a, b, high, low: pairs of tags that the user likes, and single ones as pairs of equal tags."""
+        liked = vectors.filter(F.col("feature").startswith("tag:") & (F.col("vector") > 0)).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("feature").alias("f"), F.col("vector").alias("v")))).alias("tags"))
+        pair = lambda x, y: F.struct(x["f"].alias("a"), y["f"].alias("b"), F.greatest(x["v"], y["v"]).alias("high"), F.when(x["f"] == y["f"], F.lit(0.0)).otherwise(F.least(x["v"], y["v"])).alias("low"))
+        return liked.select("user_id", F.inline(F.flatten(F.transform("tags", lambda x: F.transform(F.filter("tags", lambda y: y["f"] >= x["f"]), lambda y: pair(x, y))))))
+
+    def thresholds(self, probes: DataFrame, vectors: DataFrame, excluded: DataFrame, limit: int) -> DataFrame:
+        """user_id, threshold: an affinity that at least ``limit`` items that aren't excluded reach, by the items of the user's best pairs."""
+        sizes = self.postings.groupBy("a", "b").agg(F.count("*").alias("m"))
+        own = excluded.groupBy("user_id").agg(F.count("*").alias("gone"))
+        so_far = F.sum("m").over(Window.partitionBy("user_id").orderBy(F.desc(F.col("high") + F.col("low")), "a", "b").rowsBetween(Window.unboundedPreceding, -1))
+        first = probes.join(sizes, ["a", "b"]).join(own, "user_id", "left").withColumn("so_far", F.coalesce(so_far, F.lit(0)))
+        first = first.filter(F.col("so_far") < AHEAD * (limit + F.coalesce("gone", F.lit(0)))).select("user_id", "a", "b")
+        pairs = first.join(self.postings, ["a", "b"]).select("user_id", "project_id").distinct().join(excluded.select("user_id", "project_id"), ["user_id", "project_id"], "left_anti")
+        last = top_k(pair_affinity(pairs, vectors, self.features), ["user_id"], [F.desc("affinity")], limit).filter(F.col("rank") == limit)
+        return last.select("user_id", F.col("affinity").alias("threshold"))
+
+    def candidates(self, vectors: DataFrame, excluded: DataFrame, limit: int) -> DataFrame:
+        """user_id, project_id: pairs among which are each user's first ``limit`` items of positive affinity that aren't excluded."""
+        probes = cut(self._probes(vectors), "probes")
+        found = self.thresholds(probes, vectors, excluded, limit)
+        best = F.max(F.when(F.col("feature").startswith("lang:"), F.col("vector")))
+        common = F.map_from_entries(F.collect_list(F.when(F.col("feature").startswith(COMMON[0]) | F.col("feature").startswith(COMMON[1]), F.struct("feature", "vector"))))
+        users = vectors.groupBy("user_id").agg(F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0)) * CONFIG.language).alias("best"), common.alias("common")).join(found, "user_id", "left")
+        users = users.withColumn("threshold", F.greatest(F.coalesce("threshold", F.lit(0.0)), F.lit(CONFIG.min_affinity)))
+        value = lambda f: F.coalesce(F.try_element_at("common", f), F.lit(0.0)) * F.when(f.startswith(COMMON[0]), F.lit(CONFIG.difficulty)).otherwise(F.lit(CONFIG.duration))
+        kinds = F.broadcast(self.kinds.select("kind", F.split("common", " ").alias("wants"), "norm", "n", "unit"))
+        given = F.aggregate(F.transform("wants", value), F.lit(0.0), lambda x, y: x + y)
+        needs = users.join(kinds).withColumn("need", (F.col("threshold") - ROOM) * F.col("norm") - given - F.col("best"))  # a few rows a user
+        needs = cut(needs.select("user_id", "kind", "n", "unit", "need"), "needs")
+        bound = F.col("unit") * F.when(F.col("a") == F.col("b"), F.col("high")).otherwise(F.col("high") + (F.col("n") - 1) * F.col("low"))
+        least = needs.filter("need > 0").groupBy("user_id").agg(F.min("need").alias("need"), F.max("n").alias("n"), F.max("unit").alias("unit"))
+        asked = probes.join(least, "user_id").filter(bound >= F.col("need")).select("user_id", "a", "b", "high", "low")
+        pairs = asked.join(self.postings, ["a", "b"]).join(needs, ["user_id", "kind"]).filter((F.col("need") > 0) & (bound >= F.col("need"))).select("user_id", "project_id")
+        whole = needs.filter("need <= 0").select("user_id", "kind").join(self.items.select("kind", "project_id"), "kind").select("user_id", "project_id")
+        return cut(pairs.unionByName(whole).distinct(), "content-pairs")
+
+    def top(self, vectors: DataFrame, excluded: DataFrame, limit: int = CONFIG.content_candidates) -> DataFrame:
+        """Each user's content candidates: as ``content_candidates`` over all affinities, of which only the candidates' are computed."""
+        if self.items.count() <= FEW * limit:  # of so few items a large part is asked for
+            return content_candidates(affinity(vectors, self.features), self.catalog, excluded, limit)
+        pairs = self.candidates(vectors, excluded, limit)
+        return content_candidates(pair_affinity(pairs, vectors, self.features), self.catalog, excluded, limit)
 
 
 def similar_projects(features: DataFrame, catalog: DataFrame, limit: int = CONFIG.similar_limit) -> DataFrame:

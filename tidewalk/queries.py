@@ -161,7 +161,23 @@ def content_affinity(feed: Feed) -> DataFrame:
 
 @query("select user_id, project_id, affinity, rank from content")
 def content_candidates(feed: Feed) -> DataFrame:
-    return feed.content.withColumn("rank", F.col("rank").cast("long"))
+    """Without all affinities: by an index of pairs of tags with bounds."""
+    return retrieval.ContentIndex(feed.features, feed.catalog).top(feed.effective, feed.excluded).withColumn("rank", F.col("rank").cast("long"))
+
+
+_PART = "(select p_partkey as project_id, lpad(p_partkey::varchar, 6, '0') as slug, list_distinct(string_split(p_name, ' ')) as tags, lower(p_brand) as lang, case when p_type like 'ECONOMY%' or p_type like 'SMALL%' then 'BEGINNER' when p_type like 'MEDIUM%' or p_type like 'STANDARD%' then 'INTERMEDIATE' else 'ADVANCED' end as difficulty, p_size as hours, (p_partkey * 37 % 101) / 100.0 as prior from part)"
+
+
+@query(f"""select * from (with items as materialized (select * from {_PART}),
+values_of as (select project_id, 'tag:' || unnest(tags) as feature, 1.0::double as value from items union all select project_id, 'lang:' || lang, 0.5 from items union all select project_id, 'difficulty:' || difficulty, 0.35 from items
+  union all select project_id, 'duration:' || case when hours <= 2 then 'UNDER_2_HOURS' when hours <= 5 then 'ONE_EVENING' when hours <= 20 then 'WEEKEND' else 'ONE_TO_TWO_WEEKS' end, 0.35 from items),
+lengths as (select project_id, sqrt(sum(value * value)) as norm from values_of group by 1),
+scores as (select user_id, project_id, round(greatest(-1, least(1, dot / norm)), 9) as affinity from (select user_id, project_id, sum(vector * value) as dot from effective join values_of using (feature) group by all) join lengths using (project_id))
+select user_id, project_id, affinity, row_number() over (partition by user_id order by affinity desc, prior desc, slug) as rank from scores join items using (project_id) anti join gone using (user_id, project_id) where affinity >= 0.01 qualify rank <= 50)""")
+def unseen_content(feed: Feed) -> DataFrame:
+    """Content candidates among all items of the item table, those without any event too."""
+    items = tables.as_catalog(tables.table(feed.spark, feed.folder, "part"))
+    return retrieval.ContentIndex(profiles.item_features(items), items).top(feed.effective, feed.excluded).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""select project_id, other_id, similarity, row_number() over (partition by project_id order by similarity desc, prior desc, slug) as rank from (
