@@ -101,3 +101,16 @@ def test_empty(spark, tables):
 def test_no_python_in_the_plan(tables):
     plan = tool_calls.link_tool_calls(*tables)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_names_and_repeated_parameters(spark):
+    """Repeated and conflicting rows of parameters; quotes, brackets, dots and empty strings in names."""
+    rules = [("f", "it's", "integer", True, None), ("f", "it's", "integer", True, None), ("f", 'q"]', "string", False, ["u"]), ("f", "", "string", False, None), ("f", "a", "object", False, None), ("f", "a.b", "integer", False, None), ("f", "a.c d", "string", True, None), ("f", "twice", "string", False, None), ("f", "twice", "integer", False, None)]
+    arguments = [{"it's": 1}, {"it's": "x", 'q"]': "u", "": 1}, {"it's": 1, 'q"]': "v", "$": 2}, {"it's": 1, "a.b": 1}, {"it's": 1, "a": {"b": "x", "c d": "y"}, "a.b": 1}, {"it's": 1, "a": {"b": 1}, "twice": 1}, {"it's": 1, "a": {"c d": "", "e.f": 0}, "twice": "s"}]
+    want = [[], ["wrong type ", "wrong type it's"], ["not allowed q\"]", "unknown $"], ["unknown a.b"], ["unknown a.b", "wrong type a.b"], ["missing a.c d"], ["unknown a.e.f", "wrong type twice"]]
+    calls = spark.createDataFrame([(1, k, f"c{k}", "f", json.dumps(x), None) for k, x in enumerate(arguments)] + [(1, 100 + k, None, "f", "{}", None) for k in range(5)], "conv_id long, turn int, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn int, call_id string, content string")
+    parameters = spark.createDataFrame(rules, "name string, parameter string, type string, required boolean, allowed array<string>")
+    rows = {r.turn: r for r in tool_calls.link_tool_calls(calls, results, parameters).collect()}
+    assert [rows[k].problems for k in range(len(want))] == want
+    assert all(rows[100 + k].problems == ["missing it's"] and rows[100 + k].status == "pending" for k in range(5))

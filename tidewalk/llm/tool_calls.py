@@ -6,7 +6,8 @@ are validated against the tools' parameters, and each call becomes one canonical
 
 Tables: calls (conv_id, turn, call_id, name, arguments, depends_on: array of call ids), results (conv_id, turn, call_id,
 content), parameters (name, parameter, type, required, and allowed if there are any: an array of the values it may have, as strings; a
-tool without parameters has one row with a null parameter). A dot in a parameter's name means a field of an object.
+tool without parameters has one row with a null parameter). A dot in a parameter's name means a field of an object; an argument whose
+own name has a dot is another one and unknown. Of rows that repeat a parameter the least by type, required and allowed counts.
 
 Defined results: a null conv_id is a conversation of its own; a call with a null call_id is linked with nothing; of several calls of
 one id the first (by turn, then arguments) is linked, the others have status ``repeated``; of several results the first counts;
@@ -70,29 +71,33 @@ def _kind(value: Column) -> Column:
     )
 
 
-def _path(name: Column) -> Column:
-    """The path in a variant of a parameter whose name has a dot for each level."""
-    return F.concat(F.lit("$"), F.array_join(F.transform(F.split(name, "[.]"), lambda k: F.concat(F.lit("['"), k, F.lit("']"))), ""))
+def _fields(value: Column) -> Column:
+    """The fields of an object as a map; null if it is none."""
+    return F.try_variant_get(value, F.lit("$"), "map<string,variant>")
+
+
+def _at(parsed: Column, path: Column) -> Column:
+    """The value at a path, an array of keys."""
+    return F.aggregate(path, parsed, lambda value, key: F.try_element_at(_fields(value), key))
 
 
 def _problems(parsed: Column, tool: Column) -> Column:
-    """What is wrong with the arguments, in order of code points."""
-    say = lambda text, names: F.transform(names, lambda k: F.concat(F.lit(text), k))
-    none = F.array().cast("array<string>")
-    fields = lambda path: F.map_keys(F.try_variant_get(parsed, path, "map<string,variant>"))
-    above = lambda k: F.regexp_extract(k, r"^(.*)[.][^.]*$", 1)
+    """What is wrong with the arguments, in order of code points. tool: its parameters by path."""
+    say = lambda text, paths: F.transform(paths, lambda k: F.concat(F.lit(text), F.array_join(k, ".")))
+    none = F.array().cast("array<array<string>>")
+    inside = lambda path: F.transform(F.map_keys(_fields(_at(parsed, path))), lambda k: F.concat(path, F.array(k)))
+    above = lambda k: F.slice(k, 1, F.greatest(F.size(k) - 1, F.lit(0)))
     wanted = F.map_keys(tool)
-    inner = F.array_distinct(F.filter(F.transform(wanted, above), lambda p: p != ""))
-    nested = F.flatten(F.transform(inner, lambda p: F.coalesce(F.transform(fields(_path(p)), lambda k: F.concat(p, F.lit("."), k)), none)))
-    given = F.concat(fields(F.lit("$")), F.coalesce(nested, none))
-    value = lambda k: F.try_variant_get(parsed, _path(k), "variant")
+    inner = F.array_distinct(F.filter(F.transform(wanted, above), lambda p: F.size(p) > 0))
+    nested = F.flatten(F.transform(inner, lambda p: F.coalesce(inside(p), none)))
+    given = F.concat(F.transform(F.map_keys(_fields(parsed)), lambda k: F.array(k)), F.coalesce(nested, none))
     rule = lambda k: F.element_at(tool, k)
     both = F.array_intersect(given, wanted)
-    missing = F.filter(wanted, lambda k: rule(k)["required"] & ~F.array_contains(given, k) & ((above(k) == "") | F.array_contains(given, above(k))))
-    wrong = F.filter(both, lambda k: (rule(k)["type"] != _kind(value(k))) & ~((rule(k)["type"] == "number") & (_kind(value(k)) == "integer")))
-    outside = F.filter(both, lambda k: ~F.array_contains(rule(k)["allowed"], value(k).cast("string")))
+    missing = F.filter(wanted, lambda k: rule(k)["required"] & ~F.array_contains(given, k) & ((F.size(k) == 1) | F.array_contains(given, above(k))))
+    wrong = F.filter(both, lambda k: (rule(k)["type"] != _kind(_at(parsed, k))) & ~((rule(k)["type"] == "number") & (_kind(_at(parsed, k)) == "integer")))
+    outside = F.filter(both, lambda k: ~F.array_contains(rule(k)["allowed"], _at(parsed, k).cast("string")))
     found = F.concat(say("missing ", missing), say("unknown ", F.array_except(given, wanted)), say("wrong type ", wrong), say("not allowed ", outside))
-    return F.when(tool.isNull(), F.array(F.lit("unknown tool"))).when(fields(F.lit("$")).isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_sort(found))
+    return F.when(tool.isNull(), F.array(F.lit("unknown tool"))).when(_fields(parsed).isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_sort(found))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame)
     """
     nth = Window.partitionBy(*KEY).orderBy("turn", "arguments")
     calls = _keyed(calls).select("_conv", "conv_id", "turn", "call_id", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
-    calls = calls.withColumn("_nth", F.when(F.col("call_id").isNull(), 1).otherwise(F.row_number().over(nth)))
+    calls = calls.filter("call_id is not null").withColumn("_nth", F.row_number().over(nth)).unionByName(calls.filter("call_id is null").withColumn("_nth", F.lit(1)))
     calls = cut(calls, "calls")
     first = calls.filter("_nth = 1 and call_id is not null")
     found = _keyed(results).filter("call_id is not null").groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("result"), F.first("conv_id").alias("conv_id"))
@@ -113,7 +118,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame)
     absent = absent.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.concat(F.lit("unknown dependency "), "dep"))).alias("absent"))
     if "allowed" not in parameters.columns:
         parameters = parameters.withColumn("allowed", F.lit(None).cast("array<string>"))
-    tools = parameters.groupBy("name").agg(F.map_from_entries(F.collect_list(F.when(F.col("parameter").isNotNull(), F.struct("parameter", F.struct("type", "required", "allowed"))))).alias("tool"))
+    rules = parameters.groupBy("name", "parameter").agg(F.min(F.struct("type", "required", "allowed")).alias("rule"))
+    entry = F.struct(F.split("parameter", "[.]", -1).alias("path"), "rule")
+    tools = rules.groupBy("name").agg(F.map_from_entries(F.collect_list(F.when(F.col("parameter").isNotNull(), entry))).alias("tool"))
     tools = F.broadcast(tools) if parameters.count() <= BROADCAST_PARAMETERS else tools
 
     linked = first.join(layers(first), KEY, "left").join(found.select(*KEY, "result"), KEY, "left").join(absent, KEY, "left")
