@@ -1,7 +1,7 @@
 """Stored runs of the feed: what was shown to whom, with all that led to it, as it was then.
 
 A run is a row, each of its results another; what has no column of its own is JSON, in which an absent signal is null and nothing
-is infinite. Runs are appended and never computed anew; of each user only the newest ``kept_runs`` are read.
+is infinite. Runs are added and never computed anew; of each user only the newest ``kept_runs`` are read.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from tidewalk.functions.scalar import discovery_mode, exploration_limit, finite
 from tidewalk.operators.ranking import COMPONENTS, SOURCES
 from tidewalk.operators.saved import recent_runs
 from tidewalk.operators.views import parse_signals
+from tidewalk.sources.shared import cut
+from tidewalk.sources.versioned import VersionedTables
 
 VERSION, ALGORITHM = 1, "hybrid-session"
 COUNTS = ("content", "collaborative", "popular", "exploration", "merged", "ranked", "final")
@@ -96,22 +98,36 @@ def parse_sources(sources: Column) -> Column:
 
 
 class RunStore:
-    """Runs and results under one path of shared storage."""
+    """Runs and results under one path of shared storage, in buckets of users; a change of both is one commit."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
         self.spark, self.path = spark, path
+        self.tables = VersionedTables(spark, path, {"results": (None, ["user_id"]), "runs": (None, ["user_id"])}, buckets)
 
-    def record(self, runs: DataFrame, results: DataFrame) -> None:
-        """Append; results first, so that no reader meets a run without them."""
-        results.write.mode("append").parquet(f"{self.path}/results")
-        runs.write.mode("append").parquet(f"{self.path}/runs")
+    def record(self, runs: DataFrame, results: DataFrame, batch: str | None = None) -> bool:
+        """Add runs with their results, both or neither; a ``batch`` that is stored already changes nothing. Whether it was stored."""
+        return self.tables.append({"results": results, "runs": runs}, batch)
 
     def runs(self, kept: int = CONFIG.kept_runs) -> DataFrame:
         """The newest runs of each user."""
-        return recent_runs(self.spark.read.parquet(f"{self.path}/runs"), kept).drop("place")
+        return recent_runs(self.tables.read("runs"), kept).drop("place")
 
     def results(self, kept: int = CONFIG.kept_runs) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/results").join(self.runs(kept).select("user_id", "run_id"), ["user_id", "run_id"], "left_semi")
+        return self.tables.read("results").join(self.runs(kept).select("user_id", "run_id"), ["user_id", "run_id"], "left_semi")
+
+    def retain(self, kept: int = CONFIG.kept_runs) -> list[int]:
+        """Remove older runs and their results where they are: only buckets of users with more than ``kept`` runs are written again, which come back."""
+        rewritten: list[int] = []
+
+        def pruned(before: dict) -> dict:
+            stored = self.tables.read("runs", state=before)
+            rewritten.extend(self.tables.touched("runs", stored.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") > kept)))
+            runs = recent_runs(self.tables.read("runs", rewritten, before), kept).drop("place")
+            results = self.tables.read("results", rewritten, before).join(runs.select("user_id", "run_id"), ["user_id", "run_id"], "left_semi")
+            return {name: self.tables.rewrite(name, rewritten, rows, before) for name, rows in (("results", results), ("runs", runs))}
+
+        self.tables.change(None, pruned)
+        return rewritten
 
     def count(self) -> DataFrame:
         """user_id, stored: how many runs each user has."""
@@ -139,3 +155,13 @@ class RunStore:
         out = RunStore(self.spark, path)
         out.record(self.runs(kept), self.results(kept))
         return out
+
+
+def served(feed, store: RunStore, batch: str, limit: int = CONFIG.feed_limit) -> tuple[DataFrame, Exception | None]:
+    """The diversified lists and what kept them from being stored, if anything did: a feed is shown even if it can't be recorded."""
+    shown = cut(feed.diversified(limit), "shown")
+    try:
+        store.record(*snapshot(feed, shown, limit), batch)
+    except Exception as e:  # noqa: BLE001
+        return shown, e
+    return shown, None
