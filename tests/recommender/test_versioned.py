@@ -111,3 +111,33 @@ def test_a_feed_that_cannot_be_recorded_is_shown(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runs, "snapshot", lambda *a: (_ for _ in ()).throw(OSError("full")))
     shown, why = runs.served(Shown(), runs.RunStore(spark, str(tmp_path)), "b")
     assert _rows(shown) == [(1, 2)] and isinstance(why, OSError)
+
+
+def test_daily_profiles_equal_the_whole(spark, tmp_path):
+    """After each of several days, with a late retry, days without events, and pairs that leave the window."""
+    import random
+    from datetime import date, datetime, timedelta
+
+    from tidewalk.operators.rolling import RollingSignals
+
+    r, T0 = random.Random(9), datetime(2024, 1, 1)
+    times = [T0, T0 + timedelta(days=3), T0 + timedelta(days=4) - timedelta(microseconds=1)] + [T0 + timedelta(days=r.choice([0, 1, 2, 3, 5, 6, 8]), seconds=r.randrange(86_400)) for _ in range(300)]
+    rows = [(r.randrange(6), r.randrange(5), t, r.choice([0.0, 0.5, 2.0, -1.0, -3.0])) for t in times]
+    events = spark.createDataFrame(rows, "user_id long, project_id long, created_at timestamp_ntz, weight double")
+    features = spark.createDataFrame([(p, f"f{k}", 1.0 + p * k) for p in range(5) for k in range(2)], "project_id long, feature string, value double")
+    kept = RollingSignals(spark, str(tmp_path), history_days=4, half_life=3, buckets=4)
+    kept.load(events, date(2024, 1, 3))
+    with pytest.raises(ValueError):
+        kept.advance(events, date(2024, 1, 5))
+    for day in range(3, 12):
+        if day > 3:
+            assert kept.advance(events, date(2024, 1, day)) and not kept.advance(events, date(2024, 1, day))
+        now = datetime(2024, 1, day) + timedelta(days=1)
+        inside = [(u, p, w * 0.5 ** ((now - t).total_seconds() / 86_400 / 3)) for u, p, t, w in rows if w and now - timedelta(days=4) <= t < now]
+        want = {}
+        for u, p, w in inside:
+            for k in range(2):
+                want[u, f"f{k}"] = want.get((u, f"f{k}"), 0) + w * (1.0 + p * k)
+        found = {(x.user_id, x.feature): x.signal for x in kept.signals(features).collect()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert kept.table.rows().count() == len({(u, p) for u, p, t, w in rows if w and t >= T0 + timedelta(days=7)})

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import age_days, clamp01, duration_bucket, exploration_limit, discovery_mode, diversification_lambda, fnv1a, format_duration, format_score, interaction_weight, max_items_per_tag, r9, time_decay
-from tidewalk.operators import bpr, evaluation, onboarding, profiles, ranking, retrieval, runs, saved, sessions, states, views
+from tidewalk.operators import bpr, evaluation, onboarding, profiles, ranking, retrieval, rolling, runs, saved, sessions, states, views
 from tidewalk.operators.ranks import global_rank
 from tidewalk.oracle import AGE, BUCKET, at_cutoff, diversified, explained, sql
 from tidewalk.plans.evaluate import Evaluation
 from tidewalk.plans.feed import Feed
 from tidewalk.sources import tables
 from tidewalk.sources.shared import cut, new_path
+from tidewalk.sources.versioned import KeyedTable, change_set
 from tidewalk.streaming import ingest, session_service
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +117,18 @@ def onboarding_signals(feed: Feed) -> DataFrame:
     return feed.onboarding.select("user_id", "feature", r9("signal").alias("signal"))
 
 
+@query("""select user_id, feature, round(signal, 9) as signal from (select user_id, feature, sum(scale * value) as signal from (
+  select user_id, project_id, sum(weight * pow(0.5, date_diff('microsecond', created_at, timestamp '2024-01-31') / 86400000000.0::double / 30)) as scale from interactions
+  where weight <> 0 and created_at >= timestamp '2024-01-17' and created_at < timestamp '2024-01-31' group by all) join features using (project_id) group by all) where round(signal, 9) <> 0""")
+def rolling_signals(feed: Feed) -> DataFrame:
+    """Decayed signals of the last fourteen days, kept over the days before the present: loaded, then moved on by three days."""
+    kept = rolling.RollingSignals(feed.spark, new_path(feed.spark, "rolling"), history_days=14, buckets=16)
+    kept.load(feed.interactions, date(2024, 1, 27))
+    for day in (28, 29, 30):
+        kept.advance(feed.interactions, date(2024, 1, day))
+    return kept.signals(feed.features).withColumn("signal", r9("signal")).filter("signal <> 0")
+
+
 @query("select user_id, feature, round(signal, 9) as signal, round(vector, 9) as vector, round(strength, 9) as strength from long_term")
 def long_term_profile(feed: Feed) -> DataFrame:
     return feed.long_term.select("user_id", "feature", *[r9(c).alias(c) for c in ("signal", "vector", "strength")])
@@ -688,9 +702,25 @@ def onboarding_upsert(feed: Feed) -> DataFrame:
 
 @query("select user_id, if(user_id in (select user_id from states where disliked), least(1, e + 0.1), e) as e from app_users")
 def settings_upsert(feed: Feed) -> DataFrame:
-    """Users who dislike something become more adventurous."""
-    moved = feed.users.join(feed.states.filter("disliked").select("user_id").distinct(), "user_id", "left_semi").select("user_id", clamp01(F.col("e") + 0.1).alias("e"))
-    return onboarding.upsert(feed.users.select("user_id", "e"), moved, "user_id")
+    """Users who dislike something become more adventurous: an upsert of the stored settings."""
+    users = feed.users.select("user_id", "e")
+    moved = users.join(feed.states.filter("disliked").select("user_id").distinct(), "user_id", "left_semi").select("user_id", clamp01(F.col("e") + 0.1).alias("e"))
+    stored = KeyedTable(feed.spark, new_path(feed.spark, "settings"), users.schema, ["user_id"], buckets=16)
+    stored.upsert(users, "all")
+    stored.upsert(moved, "disliked")
+    return stored.rows()
+
+
+@query("""select * from (with newer as (select p_partkey as project_id, case when p_partkey % 10 = 5 then upper(p_name) else p_name end as title, case when p_partkey % 7 = 2 then p_size + 1 else p_size end as estimated_hours from part where p_partkey % 11 <> 3),
+  older as (select p_partkey as project_id, p_name as title, p_size as estimated_hours from part where p_partkey % 13 <> 4)
+  select project_id, coalesce(n.title, o.title) as title, coalesce(n.estimated_hours, o.estimated_hours) as estimated_hours, case when o.project_id is null then 'insert' when n.project_id is null then 'delete' else 'update' end as change
+  from older o full join newer n using (project_id) where o.project_id is null or n.project_id is null or o.title is distinct from n.title or o.estimated_hours is distinct from n.estimated_hours)""")
+def catalog_changes(feed: Feed) -> DataFrame:
+    """What turns one version of the item table into another: new, changed and stale items."""
+    items = tables.as_catalog(tables.table(feed.spark, feed.folder, "part")).select("project_id", "title", "estimated_hours")
+    k = F.col("project_id")
+    newer = items.filter(k % 11 != 3).select(k, F.when(k % 10 == 5, F.upper("title")).otherwise(F.col("title")).alias("title"), F.when(k % 7 == 2, F.col("estimated_hours") + 1).otherwise(F.col("estimated_hours")).alias("estimated_hours"))
+    return change_set(items.filter(k % 13 != 4), newer, ["project_id"])
 
 
 @query("""select u.user_id, t.topics, a.chosen, a.rejected, a.difficulty, nullif(a.duration, 'ANYTHING') as duration, if(n < 3, 'too few topics', null) as problem
