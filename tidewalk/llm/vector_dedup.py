@@ -36,7 +36,7 @@ WIDTH, MISS = 2.0, 0.001
 #: Vertices for which there are buckets at least.
 LEAST_VERTICES = 1000
 #: Members of a bucket that are compared in one group; rounds in which larger ones get cores.
-BLOCK, ROUNDS = 256, 4
+BLOCK, ROUNDS = 64, 4
 #: Angles that are nearer to a core's bound than this are compared.
 SLACK = 1e-6
 #: Vectors whose projections are taken together.
