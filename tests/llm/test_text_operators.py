@@ -420,13 +420,26 @@ def test_forward_sums_all_segmentations():
         out = 0.0
         for n in range(1, len(word) + 1):
             piece = ids.get(word[:n], len(chance) - 1 if n == 1 else None)
-            if piece is not None and n <= language_id.LONGEST:
+            if piece is not None and n <= language_id.longest_piece(path):
                 out += chance[piece, column] * total(word[n:], column)
         return out
 
     words = ["▁the", "▁a", "▁straße", "▁՘x", "▁international"]
     want = np.log([[total(w, c) for c in range(2)] for w in words])
     assert np.allclose(forward.log_chances(words), want)
+    long = "▁" + "international" * 700 + "straße՘" * 40  # against the plain recursion over its last characters, in logarithms
+    log = [0.0]
+    for j in range(1, len(long) + 1):
+        ways = [(log[j - n] + np.log(chance[piece, 1])) for n in range(1, min(j, 16) + 1) if (piece := ids.get(long[j - n : j], len(chance) - 1 if n == 1 else None)) is not None]
+        log.append(max(ways) + np.log(sum(np.exp(w - max(ways)) for w in ways)))
+    assert np.isclose(forward.log_chances(["▁a", long])[1, 1], log[-1])
+    middle = "▁" + "international" * 2  # 27 characters, summed side by side; the same one by one
+    one, two = (np.zeros(len(forward.chance) * 2) for _ in range(2))
+    forward._expected_long(middle, 1, 3.0, one)
+    assert np.allclose(one.reshape(-1, 2)[:-1], forward.expected([middle], np.array([1]), np.array([3.0])))
+    assert np.isclose(forward._long(middle, slice(None))[len(middle)], forward.log_chances([middle])[0]).all()
+    share = forward.expected([long], np.array([0]), np.array([1.0]))
+    assert np.isclose((share * np.array([[len(model.id_to_piece(k)) if k < model.get_piece_size() else 1] for k in range(len(share))])).sum(), len(long))
     once = forward.expected(["▁the"], np.array([0]), np.array([2.0]))
     assert np.isclose((once * np.array([[len(model.id_to_piece(k)) if k < model.get_piece_size() else 1] for k in range(len(once))])).sum(), 8)
 

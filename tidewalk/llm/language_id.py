@@ -6,8 +6,9 @@ prediction is the language of largest posterior under equal priors. Piece probab
 expectation-maximisation to the word counts of all labelled documents: Spark counts words by language and sums the
 expected piece counts, and only the pieces' totals (vocabulary times languages) meet on the driver.
 
-Words are runs of word characters that are no digits, in lower case behind a word-start mark; a word of more than ``CHUNK``
-characters counts as several. A character that is no piece has a small fixed chance.
+Words are runs of word characters that are no digits, in lower case behind a word-start mark, whatever their length: those of
+more than ``SHORT`` characters are summed one by one in logarithms, in memory in proportion to the word, the others side by
+side. A character that is no piece has a small fixed chance.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and where no language was learned; rows with a
 null ``lang`` or ``doc_id`` are not learned from; a null ``doc_id`` counts as held out; repeated rows are learned from and
@@ -33,7 +34,8 @@ from tidewalk.llm.columns import fresh
 from tidewalk.llm.scratch import cut
 
 WORD = re.compile(r"[^\W\d_]+")
-CHUNK, LONGEST = 30, 16
+#: Characters of words that are summed side by side (longer ones could fall below the least double); characters of longer words, and their bytes, that are looked at together.
+SHORT, BLOCK, TOGETHER = 31, 4096, 80 << 20
 #: Chance of a character that is no piece, and the count that every piece has besides its own.
 UNKNOWN, SMOOTHING = 1e-9, 0.05
 ROUNDS = 2
@@ -55,6 +57,11 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spans(sums: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Of one word's sums: hashes of the spans of one length from each start."""
+    return mixed((sums[start + length] - sums[start]) * powers(len(sums))[1][start] + U(length))
+
+
 def _span(sums: np.ndarray, i: int, j: int) -> np.ndarray:
     return mixed((sums[:, j] - sums[:, i]) * powers(sums.shape[1])[1][i] + U(j - i))
 
@@ -63,15 +70,24 @@ def _codes(words: list[str], length: int) -> np.ndarray:
     return np.array(words, f"<U{length}").view(np.uint32).reshape(len(words), length)
 
 
+@lru_cache(2)
+def longest_piece(path: str) -> int:
+    """Characters of the longest piece of a sentencepiece model."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return max(len(model.id_to_piece(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+
+
 @lru_cache(2)
 def vocabulary_pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the pieces of a sentencepiece model, and their ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {p: i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and 0 < len(p := model.id_to_piece(i)) <= LONGEST}
+    pieces = {p: i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and (p := model.id_to_piece(i))}
     hashes, ids = [], []
-    for length in range(1, LONGEST + 1):
+    for length in range(1, longest_piece(path) + 1):
         if own := [p for p in pieces if len(p) == length]:
             hashes.append(_span(_hashes(_codes(own, length)), 0, length))
             ids += [pieces[p] for p in own]
@@ -100,24 +116,63 @@ class Forward:
     def __init__(self, path: str, chance: np.ndarray):
         self.slots, self.hashes, self.ids, self.late = piece_slots(path)
         self.chance = np.concatenate([chance, np.zeros((1, chance.shape[1]))])
-        self.none = len(chance)
+        self.none, self.longest = len(chance), longest_piece(path)
 
-    def _pieces(self, sums: np.ndarray, i: int, j: int) -> np.ndarray:
-        h = _span(sums, i, j)
+    def _pieces(self, h: np.ndarray, length: int) -> np.ndarray:
+        """The pieces, or unknown for a single character, or none, of hashes of spans of one length."""
         at = self.slots[(h & SLOTS).astype(np.int64)]
-        out = np.where(self.hashes[at] == h, self.ids[at], self.none - 1 if j == i + 1 else self.none)
+        out = np.where(self.hashes[at] == h, self.ids[at], self.none - 1 if length == 1 else self.none)
         shift, slots, hashes, ids = self.late
         at = slots[(h >> shift & LATE_SLOTS).astype(np.int64)]
         return np.where(hashes[at] == h, ids[at], out)
 
     def _lengths(self, words: list[str]):
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for length in np.unique(size).tolist():
+        for length in np.unique(size[size <= SHORT]).tolist():
             own = np.flatnonzero(size == length)
-            for k in range(0, len(own), 20_000):
-                part = own[k : k + 20_000]
+            step = max(1, TOGETHER // (8 * length * min(length, self.longest)))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
                 sums = _hashes(_codes([words[x] for x in part.tolist()], length))
-                yield part, length, {(i, j): self._pieces(sums, i, j) for j in range(1, length + 1) for i in range(max(0, j - LONGEST), j)}
+                yield part, length, {(i, j): self._pieces(_span(sums, i, j), j - i) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)}
+
+    def _blocks(self, word: str, columns: np.ndarray | slice, backward: bool = False):
+        """first, pieces and logarithms of their chances, by length and start, of runs of starts in a long word."""
+        sums = _hashes(_codes([word], len(word)))[0]
+        starts = range(0, len(word), BLOCK)
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.chance[:, columns])
+        for a in reversed(starts) if backward else starts:
+            start = np.arange(a, min(a + BLOCK, len(word)))
+            pieces = np.full((self.longest, len(start)), self.none)
+            for length in range(1, self.longest + 1):
+                own = start[start + length <= len(word)]
+                pieces[length - 1, : len(own)] = self._pieces(_spans(sums, own, length), length)
+            yield a, pieces, logs[pieces]
+
+    def _long(self, word: str, columns: np.ndarray | slice) -> np.ndarray:
+        """Logarithms of the forward sums before each character of a long word and after the last one, with room behind."""
+        n = self.chance[:1, columns].shape[1]
+        alpha = np.full((len(word) + 1 + self.longest, n), -np.inf)
+        alpha[0] = 0
+        for a, _, logs in self._blocks(word, columns):
+            for i in range(a, a + logs.shape[1]):
+                alpha[i + 1 : i + 1 + self.longest] = np.logaddexp(alpha[i + 1 : i + 1 + self.longest], alpha[i] + logs[:, i - a])
+        return alpha
+
+    def _expected_long(self, word: str, language: int, freq: float, out: np.ndarray) -> None:
+        """Add a long word's expected pieces to ``out``, by piece and language."""
+        alpha = self._long(word, slice(language, language + 1))[:, 0]
+        total, beta = alpha[len(word)], np.full(len(word) + 1 + self.longest, -np.inf)
+        beta[len(word)] = 0
+        for a, pieces, logs in self._blocks(word, slice(language, language + 1), backward=True):
+            logs = logs[:, :, 0]
+            for i in range(a + logs.shape[1] - 1, a - 1, -1):
+                beta[i] = np.logaddexp.reduce(logs[:, i - a] + beta[i + 1 : i + 1 + self.longest])
+            for length in range(1, self.longest + 1):
+                at = np.arange(a, a + logs.shape[1])
+                share = np.exp(alpha[at] + logs[length - 1] + beta[at + length] - total) * freq
+                np.add.at(out, pieces[length - 1] * self.chance.shape[1] + language, share)
 
     def _alpha(self, part, length, pieces, column=None):
         n = 1 if column is not None else self.chance.shape[1]
@@ -125,7 +180,7 @@ class Forward:
         alpha[0] = 1
         weight = {}
         for j in range(1, length + 1):
-            for i in range(max(0, j - LONGEST), j):
+            for i in range(max(0, j - self.longest), j):
                 ids = pieces[i, j]
                 if i + 1 < j and not (ids < self.none).any():
                     continue
@@ -137,6 +192,9 @@ class Forward:
         out = np.zeros((len(words), self.chance.shape[1]))
         for part, length, pieces in self._lengths(words):
             out[part] = np.log(self._alpha(part, length, pieces)[0][length])
+        for k, word in enumerate(words):
+            if len(word) > SHORT:
+                out[k] = self._long(word, slice(None))[len(word)]
         return out
 
     def expected(self, words: list[str], language: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -149,21 +207,21 @@ class Forward:
             beta = np.zeros_like(alpha)
             beta[length] = 1
             for j in range(length, 0, -1):
-                for i in range(max(0, j - LONGEST), j):
+                for i in range(max(0, j - self.longest), j):
                     if (i, j) in weight:
                         beta[i] += weight[i, j] * beta[j]
             scale = (freq[part] / alpha[length][:, 0])[:, None]
             for (i, j), w in weight.items():
-                out += np.bincount(pieces[i, j] * n + own, (alpha[i] * w * beta[j] * scale)[:, 0], len(out))
+                np.add.at(out, pieces[i, j] * n + own, (alpha[i] * w * beta[j] * scale)[:, 0])
+        for k, word in enumerate(words):
+            if len(word) > SHORT:
+                self._expected_long(word, int(language[k]), float(freq[k]), out)
         return out.reshape(-1, n)[:-1]
 
 
 def text_words(text: str | None) -> list[str]:
-    """Words of a text behind the word-start mark, long ones in chunks."""
-    out = WORD.findall(text.lower()) if text else []
-    if out and max(map(len, out)) > CHUNK:
-        out = [w[k : k + CHUNK] for w in out for k in range(0, len(w), CHUNK)]
-    return out
+    """Words of a text, without the word-start mark."""
+    return WORD.findall(text.lower()) if text else []
 
 
 def _word_counts(batches):
