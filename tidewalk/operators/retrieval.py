@@ -10,6 +10,8 @@ from tidewalk.functions.scalar import clamp, clamp01, exploration_limit, explora
 from tidewalk.operators.ranks import global_rank
 from tidewalk.sources.shared import cut
 
+#: Items of a user up to which all their pairs meet in one place.
+HEAVY = 2000
 #: Places of a neighbour list that are joined together.
 CHUNK = 64
 
@@ -172,11 +174,24 @@ def collaborative_signals(states: DataFrame) -> DataFrame:
     return states.select("user_id", "project_id", signal_of_state().alias("signal"), state.alias("state")).filter("signal > 0")
 
 
+def _blocks_of(signals: DataFrame) -> DataFrame:
+    """user_id, blocks: into how many blocks the items of users with more than ``HEAVY`` of them are cut."""
+    return signals.groupBy("user_id").agg(F.ceil(F.count("*") / F.lit(HEAVY)).cast("int").alias("blocks")).filter(F.col("blocks") > 1)
+
+
 def item_pairs(signals: DataFrame) -> DataFrame:
-    """i, j (both directions), dot, overlap, ni, nj (squared norms) of items that users share."""
+    """i, j (both directions), dot, overlap, ni, nj (squared norms) of items that users share.
+
+    The items of heavy users are cut into blocks by hash, and each pair of blocks meets on its own, so no user is one task.
+    """
     s = signals.select("user_id", "project_id", "signal")
     norms = s.groupBy("project_id").agg(F.sum(F.col("signal") * F.col("signal")).alias("n"))
-    half = s.alias("a").join(s.alias("b"), "user_id").filter("a.project_id < b.project_id").groupBy(F.col("a.project_id").alias("i"), F.col("b.project_id").alias("j")).agg(F.sum(F.col("a.signal") * F.col("b.signal")).alias("dot"), F.count("*").alias("overlap"))
+    tiles = s.join(_blocks_of(s), "user_id", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("project_id"), F.col("blocks"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    tiles = tiles.withColumn("other", other).withColumn("tile", F.struct(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))).drop("blocks", "other")
+    a, b = (tiles.select("user_id", "tile", F.col("project_id").alias(x), F.col("signal").alias(f"v{x}"), F.col("block").alias(f"block_{x}")) for x in "ij")
+    apart = (F.col("block_i") != F.col("block_j")) | (F.col("tile.low") == F.col("tile.high"))  # two items of one block meet in its own tile alone
+    half = a.join(b, ["user_id", "tile"]).filter((F.col("i") < F.col("j")) & apart).groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count("*").alias("overlap"))
     both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "dot", "overlap"))
     return both.join(norms.select(F.col("project_id").alias("i"), F.col("n").alias("ni")), "i").join(norms.select(F.col("project_id").alias("j"), F.col("n").alias("nj")), "j")
 
