@@ -141,3 +141,42 @@ def test_daily_profiles_equal_the_whole(spark, tmp_path):
         found = {(x.user_id, x.feature): x.signal for x in kept.signals(features).collect()}
         assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
     assert kept.table.rows().count() == len({(u, p) for u, p, t, w in rows if w and t >= T0 + timedelta(days=7)})
+
+
+def test_choices_answer_all_pairs_once(spark):
+    from tidewalk.operators.onboarding import choice_problems
+
+    pairs = spark.createDataFrame([(0, "a", "b"), (1, "c", "d")], "position int, left string, right string")
+    answers = [(1, 0, "a"), (1, 1, "d"), (2, 0, "c"), (2, 1, None), (3, 0, "a"), (3, 0, "b"), (4, 1, "c"), (5, 0, "a"), (5, 1, "c"), (5, 7, "a")]
+    out = choice_problems(spark.createDataFrame(answers, "user_id long, position int, slug string"), pairs)
+    assert _rows(out) == sorted([(2, 0, "not an item of the pair"), (2, 1, "not an item of the pair"), (3, 0, "pair answered again"), (4, None, "not all pairs once"), (5, None, "not all pairs once"), (5, 7, "unknown pair")], key=repr)
+
+
+def test_split_fingerprint(spark):
+    from datetime import datetime
+
+    from tidewalk.operators.evaluation import split_fingerprint
+
+    rows = [(u, datetime(2024, 1, 1 + u % 20), [u, u + 1]) for u in range(500)]
+    make = lambda rows, n: spark.createDataFrame(rows, "user_id long, cutoff timestamp_ntz, held_out array<long>").repartition(n)
+    (one,), (two,) = (split_fingerprint(make(rows, n)).collect() for n in (1, 7))
+    assert one == two and one.n_cases == 500
+    rows[250] = (250, rows[250][1], [250, 252])
+    assert split_fingerprint(make(rows, 3)).collect()[0].fingerprint != one.fingerprint
+    assert split_fingerprint(make(rows[1:], 3)).collect()[0].fingerprint not in (one.fingerprint, two.fingerprint)
+
+
+def test_selected_runs(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path), buckets=4)
+    for user, k in [(1, 1), (1, 2), (2, 1)]:
+        store.record(*_run(spark, user, k), f"{user}-{k}")
+    asked = lambda *rows: spark.createDataFrame(rows, "user_id long, run_id string")
+    detail = runs.RunStore.detail
+    runs.RunStore.detail = lambda self, named, catalog: named
+    try:
+        assert _rows(store.selected(asked((1, None), (2, "2@1"), (3, None)), None)) == [(1, "1@2"), (2, "2@1")]
+        for wrong in ((1, "2@1"), (3, "x")):
+            with pytest.raises(runs.RunNotFound):
+                store.selected(asked(wrong), None)
+    finally:
+        runs.RunStore.detail = detail

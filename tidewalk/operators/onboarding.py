@@ -34,6 +34,20 @@ def choices_of(answers: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("user_id", "position", F.when(left, F.col("left_id")).otherwise(F.col("right_id")).alias("chosen"), F.when(left, F.col("right_id")).otherwise(F.col("left_id")).alias("rejected"))
 
 
+def choice_problems(answers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """user_id, position, problem of answers (user_id, position, slug) that don't answer all pairs once with one of the pair's items.
+
+    ``position`` is null for a user who answers too few or too many.
+    """
+    n = pairs.count()
+    joined = answers.join(pairs.select("position", "left", "right"), "position", "left")
+    alone = joined.withColumn("problem", F.when(F.col("left").isNull(), "unknown pair").when(~F.col("slug").isin(F.col("left"), F.col("right")) | F.col("slug").isNull(), "not an item of the pair"))
+    found = alone.filter("problem is not null").select("user_id", "position", "problem")
+    again = answers.groupBy("user_id", "position").agg(F.count("*").alias("n")).filter("n > 1").select("user_id", "position", F.lit("pair answered again").alias("problem"))
+    many = answers.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") != n).select("user_id", F.lit(None).cast(answers.schema["position"].dataType).alias("position"), F.lit("not all pairs once").alias("problem"))
+    return found.distinct().unionByName(again).unionByName(many)
+
+
 def complete(profiles: DataFrame, choices: DataFrame, new_profiles: DataFrame, new_choices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles and choices after some users answer (again): all they had said before is replaced, also where they now choose less.
 

@@ -97,6 +97,10 @@ def parse_sources(sources: Column) -> Column:
     return F.filter(sources, lambda s: s.isin(*SOURCES))
 
 
+class RunNotFound(LookupError):
+    """A run that isn't stored, or is another user's."""
+
+
 class RunStore:
     """Runs and results under one path of shared storage, in buckets of users; a change of both is one commit."""
 
@@ -150,6 +154,15 @@ class RunStore:
         text = F.coalesce("detail.explanation.text", "explanation")
         return rows.withColumns(parts).withColumn("explanation", text).drop("diagnostics")
 
+    def selected(self, asked: DataFrame, catalog: DataFrame) -> DataFrame:
+        """``detail`` of one run of each user asked for (user_id, run_id; null: the newest, if there is any); one that isn't the user's is an error."""
+        newest = recent_runs(self.runs(), 1).select("user_id", F.col("run_id").alias("newest"))
+        named = asked.join(newest, "user_id", "left").select("user_id", F.coalesce("run_id", "newest").alias("run_id")).filter("run_id is not null")
+        lost = named.join(self.runs().select("user_id", "run_id"), ["user_id", "run_id"], "left_anti").limit(1).collect()
+        if lost:
+            raise RunNotFound(f"user {lost[0].user_id} has no run {lost[0].run_id}")
+        return self.detail(named, catalog)
+
     def prune(self, path: str, kept: int = CONFIG.kept_runs) -> "RunStore":
         """A store at another path that has only the newest runs."""
         out = RunStore(self.spark, path)

@@ -509,6 +509,14 @@ def eval_fingerprint(feed: Feed) -> DataFrame:
     return evaluation.fingerprint(evaluation.split(feed.interactions))
 
 
+@query("""select * from (with leaves as (select sha256(user_id || '@' || strftime(cutoff, '%Y-%m-%d %H:%M:%S.%f') || ':' || array_to_string(held_out, ',')) as h, left(sha256(user_id::varchar), 4) as four from cases),
+  low as (select four, sha256(string_agg(h, '' order by h)) as h, count(*) as n from leaves group by four), high as (select left(four, 2) as two, sha256(string_agg(h, '' order by four)) as h, sum(n) as n from low group by left(four, 2))
+  select sum(n)::bigint as n_cases, sha256(string_agg(h, '' order by two)) as fingerprint from high)""", _EVAL)
+def eval_split_fingerprint(feed: Feed) -> DataFrame:
+    """One hash of the whole split."""
+    return evaluation.split_fingerprint(evaluation.split(feed.interactions))
+
+
 @query("select user_id, project_id from out_of_case", _EVAL)
 def eval_exclusions(feed: Feed) -> DataFrame:
     return evaluation.exclusions(evaluation.target_training(feed.interactions, evaluation.split(feed.interactions)))
