@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1; equal ones become one vertex. In each of several tables a vertex' bucket is a tuple of projections on random
 normal directions, shifted and cut to steps of ``WIDTH``: two vectors share a step with a chance that only depends on their distance.
-From the number of vertices follows how many projections make a bucket (so that a vertex meets about one unrelated one in it) and from
+From the number of vertices follows how many projections make a bucket (so that a vertex seldom meets an unrelated one in it) and from
 these how many tables are asked for (so that a pair at the threshold is missed with a chance of ``MISS`` at most; nearer pairs far less
 often). Vectors that share a bucket are compared in double precision.
 
@@ -33,10 +33,10 @@ from tidewalk.llm.scratch import cut
 from tidewalk.llm.vectors import matrices, units
 
 WIDTH, MISS = 2.0, 0.001
-#: Vertices for which there are buckets at least.
-LEAST_VERTICES = 1000
+#: Vertices for which there are buckets at least; buckets for each vertex, so that few hold unrelated ones, whose vectors would be shuffled.
+LEAST_VERTICES, ROOM = 1000, 16
 #: Members of a bucket that are compared in one group; rounds in which larger ones get cores.
-BLOCK, ROUNDS = 64, 4
+BLOCK, ROUNDS = 256, 4
 #: Angles that are nearer to a core's bound than this are compared.
 SLACK = 1e-6
 #: Vectors whose projections are taken together.
@@ -52,7 +52,7 @@ def same_step(distance: float, width: float = WIDTH) -> float:
 def plan(vertices: int, threshold: float) -> tuple[int, int]:
     """Projections of a bucket, and tables."""
     near, far = same_step(math.sqrt(2 - 2 * threshold)), same_step(math.sqrt(2))
-    k = max(1, math.ceil(math.log(max(vertices, LEAST_VERTICES)) / -math.log(far)))
+    k = max(1, math.ceil(math.log(ROOM * max(vertices, LEAST_VERTICES)) / -math.log(far)))
     return k, max(1, math.ceil(math.log(MISS) / math.log1p(-(near**k))))
 
 
