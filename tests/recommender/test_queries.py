@@ -10,7 +10,7 @@ from tidewalk import queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
-CHECKED = ["interactions_view", "project_states", "long_term_profile", "popularity_candidates", "similar_projects", "session_confidence", "eval_metrics", "stream_popularity", "stream_sessions", "run_detail", "recommendation_context", "catalog_problems", "onboarding_upsert"]
+CHECKED = ["interactions_view", "project_states", "long_term_profile", "popularity_candidates", "similar_projects", "session_confidence", "eval_metrics", "stream_popularity", "stream_sessions", "run_detail", "recommendation_context", "catalog_problems", "onboarding_upsert", "stream_session_service", "unseen_content", "rolling_signals", "catalog_changes", "settings_upsert", "item_similarity", "eval_split_fingerprint"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
