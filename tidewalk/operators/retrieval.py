@@ -10,6 +10,8 @@ from tidewalk.functions.scalar import clamp, clamp01, exploration_limit, explora
 from tidewalk.operators.ranks import global_rank
 from tidewalk.sources.shared import cut
 
+#: Places of an order of all items that every task gets; only users who ask for more are joined with the others.
+HEAD = 500
 #: Items of a user up to which all their pairs meet in one place.
 HEAVY = 2000
 #: Places of a neighbour list that are joined together.
@@ -31,11 +33,17 @@ def popularity_scores(catalog: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def _first_places(ranked: DataFrame, users: DataFrame, own: DataFrame, limit: int) -> DataFrame:
-    """Each user with the first ``limit`` rows of one order that all share, and as many more as the user has rows in ``own``."""
+    """Each user with the first ``limit`` rows of one order that all share, and as many more as the user has rows in ``own``.
+
+    The head of the order goes to every task, so that users don't all meet at its first places.
+    """
     n = own.groupBy("user_id").agg(F.count("*").alias("n"))
-    depth = users.select("user_id").join(n, "user_id", "left")
-    depth = depth.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(0)) + limit)).alias("place"))
-    return depth.join(ranked, "place")
+    depth = users.select("user_id").join(n, "user_id", "left").select("user_id", (F.coalesce("n", F.lit(0)) + limit).alias("deep"))
+    names = [c for c in ranked.columns if c != "place"]
+    head = ranked.filter(F.col("place") <= HEAD).agg(F.array_sort(F.collect_list(F.struct("place", *names))).alias("head"))  # one row of HEAD places at most
+    first = depth.join(F.broadcast(head)).select("user_id", F.inline(F.slice("head", F.lit(1), F.least(F.col("deep"), F.lit(HEAD)).cast("int"))))
+    later = depth.filter(F.col("deep") > HEAD).select("user_id", F.explode(F.sequence(F.lit(HEAD + 1).cast("long"), "deep")).alias("place"))
+    return first.unionByName(later.join(ranked.filter(F.col("place") > HEAD), "place"))
 
 
 def popularity_candidates(scores: DataFrame, users: DataFrame, excluded: DataFrame, limit: int = CONFIG.popular_candidates) -> DataFrame:
