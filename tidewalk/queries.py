@@ -610,9 +610,8 @@ def bpr_artifact(feed: Feed) -> DataFrame:
 def basket_item_neighbours(feed: Feed) -> DataFrame:
     """Items of the same customers' orders: the item-item model on a sparse table."""
     orders, lines = feed.spark.read.parquet(f"{feed.folder}/orders.parquet"), feed.spark.read.parquet(f"{feed.folder}/lineitem.parquet")
-    bought = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("project_id")).distinct().withColumn("signal", F.lit(1.0))
-    similar = retrieval.item_similarity(retrieval.item_pairs(bought))
-    return retrieval.item_neighbours(similar.drop("overlap")).join(similar.select("i", "j", "overlap"), ["i", "j"]).withColumn("rank", F.col("rank").cast("long"))
+    bought = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("project_id")).distinct()
+    return retrieval.basket_neighbours(bought).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("select project_id, sum(weight) as evidence, count(*) as n_events from interactions where type in ('OPEN', 'SAVE', 'BUILD', 'COMPLETE', 'SHARE') group by project_id")
