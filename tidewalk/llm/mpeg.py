@@ -19,11 +19,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 PAYLOAD_UNIT = 64
+#: Bytes and rows that a task works on at once (one row at least).
+TOGETHER, ROWS = 1 << 20, 1000
 # Fixed values of the format: kbit/s by version 1 or 2 and layer, sample rates by version, samples of a frame.
 BITRATES = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -258,13 +262,23 @@ def payload_of(text: bytes) -> bytes:
     return text.ljust(max(PAYLOAD_UNIT, -(-len(text) // PAYLOAD_UNIT) * PAYLOAD_UNIT), b"\0")
 
 
+def pieces(batch: pa.RecordBatch, column: int):
+    """Slices of a batch of about TOGETHER bytes in the column, so that long texts don't make large pieces."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, k = np.cumsum(sizes, dtype=np.int64), 0
+    while k < batch.num_rows:
+        begin = ends[k - 1] if k else 0
+        n = min(ROWS, max(1, int(np.searchsorted(ends, begin + TOGETHER, "right")) - k))
+        yield batch.slice(k, n)
+        k += n
+
+
 def with_media(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes (UTF-8), media: the text of each document stored in an MPEG audio file."""
 
     def scan(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in pieces(batch, 1):
                 texts = [(x.as_py() or "").encode() for x in part.column(1)]
                 media = pa.array([write_file(payload_of(x)) for x in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
@@ -284,8 +298,7 @@ def read_media(files: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             at = batch.schema.get_field_index("media")
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in pieces(batch, at):
                 found = [read_file(x.as_py()) for x in part.column(at)]
                 payloads = [m.ancillary[: int(m.tags["payload_bytes"])] if m.tags.get("payload_bytes", "").isdecimal() else m.ancillary for m in found]
                 yield pa.RecordBatch.from_arrays([

@@ -56,7 +56,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = cut(mpeg.with_media(_table(spark, sf_dir, "documents")), "media")
+    stored = cut(mpeg.with_media(_table(spark, sf_dir, "documents")), "media", {"parquet.block.size": 16 << 20})
     read = mpeg.read_media(stored)
     offsets = F.crc32(F.array_join("seek_offsets", ","))
     feature = F.concat_ws(";", *[F.concat(F.lit(f"{name}="), F.col(name).cast("string")) for name in ("n_frames", "samples", "sample_rate", "duration_s", "table_fits", "n_checked", "n_broken", "n_skipped")], F.concat(F.lit("seek="), offsets.cast("string")))

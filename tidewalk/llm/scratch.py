@@ -28,14 +28,14 @@ def _own_folder(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", options: dict | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a lost executor costs no recomputation of what lies before.
 
-    The tables stay until the application ends or ``clear_scratch`` removes them.
+    options: of the writer; a smaller ``parquet.block.size`` lets a task hold less of wide rows. The tables stay until the application ends or ``clear_scratch`` removes them.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
