@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,52 @@ def test_active_at_the_timeout():
     assert [(x.started, x.active, end) for x, end in ended] == [(0, 30, 30)] and (now.started, now.session_no) == (61, 2)
     ended, now = service.advance(now, [(91, 4, False)], 30)
     assert not ended and now.n_events == 2
+
+
+class Users:
+    """A map state in a dict, which counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_many_users_are_one_call():
+    """A group has many users: they come out in one frame, and a batch reads and writes the state of its own users alone."""
+    r = random.Random(6)
+    rows = [(u, r.randrange(3000), i, r.random() < 0.1) for i, u in enumerate(r.choices(range(100), k=3000))]
+    work = service.SessionService(30, 10**6, False)
+    work.users = Users()
+    frame = lambda x: pd.DataFrame([(u, t * service.MINUTE, i, m) for u, t, i, m in x], columns=["user_id", "at", "id", "manual"])
+    first = list(work.handleInputRows((0,), iter([frame(rows[:1000]), frame(rows[1000:])]), None))
+    assert len(first) == 1 and work.users.calls == len(work.users.held) == 100
+    own = defaultdict(list)
+    for x in first[0].sort_values(["user_id", "session_no"]).itertuples():
+        own[x.user_id].append((x.started // service.MINUTE, x.active // service.MINUTE, None if x.ended is pd.NA else x.ended // service.MINUTE, x.n_events, x.manual))
+    assert own == brute(rows)
+    work.users.calls = 0
+    again = list(work.handleInputRows((0,), iter([frame([(5, 4000, 5000, False)])]), None))
+    assert work.users.calls == 2 and set(again[0]["user_id"]) == {5} and set(again[0]["version"]) == {2}
+
+
+def test_users_that_share_a_group(spark, tmp_path):
+    """Sessions don't depend on the number of groups, over several batches, with a state to go on from and late rows."""
+    r = random.Random(9)
+    rows = sorted(((u, r.randrange(1200), i, r.random() < 0.1) for i, u in enumerate(r.choices(range(60), k=900))), key=lambda x: x[1] + r.randrange(150))
+    source = Source(spark, tmp_path / "rows")
+    for k in range(0, len(rows), 300):
+        source.add(rows[k : k + 300])
+    for buckets in (1, 3):
+        sessions, lost = found(service.drain(service.session_log(source.stream(), 30, 100, buckets=buckets), f"shared-{buckets}"))
+        assert lost and sessions == brute([x for x in rows if x not in lost])
+        assert sum(s[3] for own in sessions.values() for s in own) + len(lost) == len(rows)
