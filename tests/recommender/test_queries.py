@@ -33,3 +33,12 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["stream_session_service", "stream_sessions", "stream_popularity", "stream_impressions"])
+def test_streams_over_a_folder_of_parts(spark, tmp_path, name):
+    """Tables of several files, in no order of time, give what single files give."""
+    for table in ("events", "part"):
+        spark.read.parquet(f"{FOLDER}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = [sorted(map(repr, queries.queries()[name](spark, folder).collect())) for folder in (FOLDER, str(tmp_path))]
+    assert rows[0] == rows[1] and rows[0]

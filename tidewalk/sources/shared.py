@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or LOCAL_DEFAULT).rstrip("/")
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, of any store that Spark reads, is a folder."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in this application's folder, which goes when the application ends."""
     root = f"{shared_dir(spark)}/tidewalk-feed/{spark.sparkContext.applicationId}"

@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 from tidewalk.config import CONFIG
 from tidewalk.functions.scalar import interaction_weight
-from tidewalk.sources.shared import new_path
+from tidewalk.sources.shared import is_folder, new_path
 from tidewalk.sources.tables import as_interactions
 
 LATE = "1 hour"
 MAX_DWELL_MS = 4 * 3600 * 1000
 
 
-def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream over the event files of a folder (or one file), typed as the batch reader would."""
+def events_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over the event files of a folder (or one file), typed as the batch reader would.
+
+    files_per_trigger: files of a batch; by default all that are there, so that files in no order of time make no row late.
+    """
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if name.endswith(".parquet") else path)
+    stream = spark.readStream.schema(schema)
+    if files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    if is_folder(spark, path):
+        return stream.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def incoming(events: DataFrame) -> DataFrame:
